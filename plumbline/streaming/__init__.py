@@ -1,0 +1 @@
+"""Empty on purpose: every read, check and fix of this engine is a batch job over one table."""
