@@ -33,12 +33,8 @@ def key_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def inconsistent_keys(values: DataFrame) -> DataFrame:
     """(key, label, n, kinds) of keys with more than one distinct non-null value."""
     return (
-        values.groupBy("key")
-        .agg(
-            F.max("label").alias("label"),
-            F.sum("n").alias("n"),
-            F.count("value").alias("kinds"),
-        )
+        values.groupBy("key", "label")  # the key determines its label
+        .agg(F.sum("n").alias("n"), F.count("value").alias("kinds"))
         .where("kinds > 1")
     )
 

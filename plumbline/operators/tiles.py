@@ -62,8 +62,8 @@ def cross_tiles(
 
     def lay(df: DataFrame, own: int, other: int, side: int) -> DataFrame:
         mine = _block(F.col(identity), F.lit(own)).cast("string")
-        others = F.explode(F.sequence(F.lit(0), F.lit(other - 1))).cast("string")
-        cut = df.withColumn("_other", others)
+        cut = df.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        cut = cut.withColumn("_other", F.col("_at").cast("string")).drop("_at")
         pair = (mine, F.col("_other")) if side == LEFT else (F.col("_other"), mine)
         return cut.withColumns(
             {"_tile": F.concat_ws("/", F.lit("cross"), *pair), "_side": F.lit(side)}

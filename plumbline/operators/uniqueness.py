@@ -45,12 +45,8 @@ def duplicate_groups(df: DataFrame, columns: list[str] | None = None) -> tuple[D
         F.col(f"`{columns[0]}`").cast("string").alias("first_value"),
     )
     groups = (
-        keyed.groupBy("digest")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("row_id").alias("retain_id"),
-            F.max("first_value").alias("first_value"),
-        )
+        keyed.groupBy("digest", "first_value")  # the digest determines the first value
+        .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("retain_id"))
         .where("n > 1")
     )
     return keyed.select("digest", "row_id"), groups
