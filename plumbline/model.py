@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
@@ -144,6 +145,11 @@ AUDIT_CELLS = T.StructType(
 )
 
 
+def plan_time() -> Column:
+    """The present as a constant, so that all outputs of one plan carry the same time."""
+    return F.lit(datetime.now(timezone.utc))
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto ``schema``; columns it lacks become typed nulls."""
     return df.select(
@@ -162,7 +168,7 @@ def as_issues(df: DataFrame) -> DataFrame:
     return out.withColumns(
         {
             "status": F.coalesce("status", F.lit(Status.OPEN.value)),
-            "detected_at": F.coalesce("detected_at", F.current_timestamp()),
+            "detected_at": F.coalesce("detected_at", plan_time()),
         }
     )
 
