@@ -58,11 +58,11 @@ def title_case(text: Column) -> Column:
     runs = F.regexp_extract_all(
         text, F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), F.lit(1)
     )
+    # A letter whose upper case is two letters keeps only the first of them upper.
+    first = lambda r: F.upper(F.left(r, F.lit(1)))
+    rest = lambda t: F.lower(F.right(t, F.length(t) - 1))
     cased = F.transform(
-        runs,
-        lambda r: F.concat(
-            F.upper(F.left(r, F.lit(1))), F.lower(F.right(r, F.length(r) - 1))
-        ),
+        runs, lambda r: F.concat(F.left(first(r), F.lit(1)), rest(first(r)), rest(r))
     )
     return F.array_join(cased, "")
 
