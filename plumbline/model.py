@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -150,26 +151,25 @@ def plan_time() -> Column:
     return F.lit(datetime.now(timezone.utc))
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project ``df`` onto ``schema``; columns it lacks become typed nulls."""
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in schema
-        ]
-    )
+def conform(df: DataFrame, schema: T.StructType, **given: str) -> DataFrame:
+    """Project ``df`` onto ``schema``; columns it lacks become typed nulls.
+
+    ``given`` holds SQL for columns that are null or missing.
+    """
+    out = []
+    for f in schema:
+        parts = [f"`{f.name}`"] if f.name in df.columns else []
+        parts += [given[f.name]] if f.name in given else []
+        value = f"coalesce({', '.join(parts)})" if len(parts) > 1 else (parts or ["NULL"])[0]
+        out.append(f"CAST({value} AS {f.dataType.simpleString()}) AS `{f.name}`")
+    return df.selectExpr(*out)
 
 
 def as_issues(df: DataFrame) -> DataFrame:
     """Full-width issues from the columns a check filled in; status starts OPEN."""
-    out = conform(df, ISSUES)
-    return out.withColumns(
-        {
-            "status": F.coalesce("status", F.lit(Status.OPEN.value)),
-            "detected_at": F.coalesce("detected_at", plan_time()),
-        }
+    now = datetime.now(timezone.utc).isoformat(sep=" ")
+    return conform(
+        df, ISSUES, status=f"'{Status.OPEN.value}'", detected_at=f"TIMESTAMP '{now}'"
     )
 
 
@@ -181,6 +181,12 @@ def issue_id(dataset_id: str, category: Category, *key: Column | str) -> Column:
     return F.concat(F.lit("DQ-"), F.upper(F.substring(digest, 1, 16)))
 
 
+def issue_id_text(dataset_id: str, category: Category, key: str) -> str:
+    """The same id for a key that is known on the driver."""
+    digest = hashlib.sha256(f"{dataset_id}|{category.value}|{key}".encode()).hexdigest()
+    return f"DQ-{digest[:16].upper()}"
+
+
 @dataclass(frozen=True)
 class Findings:
     """Issues, their rows in long form, and dict-shaped proposed values (all lazy)."""
@@ -199,7 +205,7 @@ class Findings:
 
 def findings(issues: DataFrame, rows: DataFrame, values: DataFrame | None = None) -> Findings:
     if values is None:
-        values = issues.sparkSession.createDataFrame([], CANONICAL_VALUES)
+        values = issues.sparkSession.range(0)
     return Findings(as_issues(issues), conform(rows, ISSUE_ROWS), conform(values, CANONICAL_VALUES))
 
 

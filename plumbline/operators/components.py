@@ -14,20 +14,20 @@ def _checksum(edges: DataFrame) -> tuple:
     return row.n, row.h
 
 
-def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot_rows: int, total: int) -> DataFrame:
     """Link every higher neighbour of a node to the lowest node it knows."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lowest = both.groupBy("a").agg(
         F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("degree")
     )
-    met = join_counted(both, lowest, "a", "degree", hot_rows).where("b > a")
+    met = join_counted(both, lowest, "a", "degree", hot_rows, total).where("b > a")
     return met.select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int, total: int) -> DataFrame:
     """Link every lower neighbour of a node, and the node, to the lowest of them."""
     lowest = edges.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("degree"))
-    met = join_counted(edges, lowest, "a", "degree", hot_rows).where("b <> low")
+    met = join_counted(edges, lowest, "a", "degree", hot_rows, total).where("b <> low")
     moved = met.select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(lowest.select("a", F.col("low").alias("b"))).distinct()
 
@@ -44,8 +44,8 @@ def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
     current = materialise(current, "links")
     state = _checksum(current)
     while True:
-        large = materialise(_large_star(current, hot_rows), "large-star")
-        current = materialise(_small_star(large, hot_rows), "small-star")
+        large = materialise(_large_star(current, hot_rows, 2 * state[0]), "large-star")
+        current = materialise(_small_star(large, hot_rows, 2 * state[0]), "small-star")
         after = _checksum(current)
         if after == state:
             break

@@ -228,7 +228,7 @@ def link_tiles(
     keyed, bare = profiles.where(F.col(key) != ""), profiles.where(F.col(key) == "")
     sizes = profiles.agg(F.count_if(F.col(key) != "").alias("k"), F.count_if(F.col(key) == "").alias("e")).first()
     shared = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    grouped = join_counted(keyed, shared, key, "_size")
+    grouped = join_counted(keyed, shared, key, "_size", total=sizes.k)
     small = max(256, min(block_rows, sizes.k // cores + 1))
     tiles = key_tiles(grouped, key, "_size", "rep", sizes.k, block_rows if small > block_rows else small)
     tiles = tiles.drop("_size")
@@ -348,7 +348,7 @@ def cluster_evidence(
     spans several tiles ``kinds`` adds up per tile and may count a reason twice.
     """
     sizes = entries.groupBy("cluster").agg(F.count(F.lit(1)).alias("_size"))
-    sized = join_counted(entries, sizes, "cluster", "_size").withColumn(
+    sized = join_counted(entries, sizes, "cluster", "_size", total=total).withColumn(
         "cluster_key", F.col("cluster").cast("string")
     )
     cores = entries.sparkSession.sparkContext.defaultParallelism

@@ -24,9 +24,15 @@ def effective_merges(merges: DataFrame, retired: DataFrame) -> DataFrame:
     open_rows = merges.select(F.col("retain_id").alias("row_id")).distinct()
     contested = retired.join(open_rows, "row_id", "left_semi")
     contested = materialise(contested, "contested")
-    state = merges.withColumn("ok", F.lit(None).cast("boolean"))
+    state = materialise(merges.withColumn("ok", F.lit(None).cast("boolean")), "merge-state")
     while True:
-        steps = join_counted(contested, state.select("issue_id", "n", "at", "ok"), "issue_id", "n")
+        steps = join_counted(
+            contested,
+            state.select("issue_id", "n", "at", "ok"),
+            "issue_id",
+            "n",
+            written=True,
+        )
         first = steps.where("ok IS NULL OR ok").groupBy(F.col("row_id").alias("retain_id")).agg(
             F.min("at").alias("may_go"), F.min(F.when(F.col("ok"), F.col("at"))).alias("goes")
         )

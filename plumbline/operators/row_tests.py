@@ -21,7 +21,7 @@ from plumbline.model import (
     Role,
     Severity,
     findings,
-    issue_id,
+    issue_id_text,
 )
 from plumbline.operators.samples import sample_values
 
@@ -42,23 +42,25 @@ class RowTest:
     extras: dict[str, Column] = field(default_factory=dict)  # more aggregates
 
 
-def test_rows(df: DataFrame, tests: list[RowTest], dataset_id: str) -> DataFrame:
+def failing_rows(df: DataFrame, tests: list[RowTest], dataset_id: str) -> DataFrame:
     """(issue_id, row_id, value) of every failing row, without a shuffle."""
     marks = [
         F.when(
             t.failing,
             F.struct(
-                issue_id(dataset_id, t.category, t.key).alias("issue_id"),
+                F.lit(issue_id_text(dataset_id, t.category, t.key)).alias("issue_id"),
                 F.col(f"`{t.column}`").cast("string").alias("value"),
             ),
         )
         for t in tests
     ]
-    hits = df.select(F.col(ROW_ID).alias("row_id"), F.explode(F.array_compact(F.array(*marks))).alias("hit"))
+    hits = df.select(
+        F.col(ROW_ID).alias("row_id"), F.explode(F.array_compact(F.array(*marks))).alias("hit")
+    )
     return hits.select("hit.issue_id", "row_id", "hit.value")
 
 
-def test_counts(df: DataFrame, tests: list[RowTest]) -> DataFrame:
+def failure_counts(df: DataFrame, tests: list[RowTest]) -> DataFrame:
     """One row: the row count, and per test its failing rows and extra measures."""
     aggregates = [F.count(F.lit(1)).alias("total")]
     for i, t in enumerate(tests):
@@ -68,57 +70,71 @@ def test_counts(df: DataFrame, tests: list[RowTest]) -> DataFrame:
 
 
 def evaluate(df: DataFrame, tests: list[RowTest], dataset_id: str) -> Findings:
-    rows = test_rows(df, tests, dataset_id)
-    found = []
-    for i, t in enumerate(tests):
-        n, total = F.col(f"n{i}"), F.col("total")
-        severity = t.severity(n, total) if callable(t.severity) else F.lit(t.severity.value)
-        extras = [F.col(f"x{i}_{name}").cast("double") for name in t.extras]
-        found.append(
-            F.struct(
-                F.lit(i).alias("test"),
-                issue_id(dataset_id, t.category, t.key).alias("issue_id"),
-                severity.alias("severity"),
-                n.alias("affected_row_count"),
-                total.alias("total"),
-                F.array(*extras).cast("array<double>").alias("extras"),
+    rows = failing_rows(df, tests, dataset_id)
+    counted = failure_counts(df, tests).selectExpr("total", _unpivot(tests))
+    # The fixed fields of the tests: as many rows as the configuration has tests.
+    fixed = df.sparkSession.createDataFrame(
+        [
+            (
+                i,
+                issue_id_text(dataset_id, t.category, t.key),
+                dataset_id,
+                t.category.value,
+                None if callable(t.severity) else t.severity.value,
+                float(t.confidence),
+                [t.column],
+                t.samples,
+                t.action.value,
+                t.column,
+                t.canonical_value,
+                t.rationale,
             )
-        )
-    counted = (
-        test_counts(df, tests)
-        .select(F.explode(F.array(*found)).alias("t"))
-        .select("t.*")
-        .where("affected_row_count > 0")
+            for i, t in enumerate(tests)
+        ],
+        "test int, issue_id string, dataset_id string, category string, severity string, "
+        "confidence double, affected_columns array<string>, k int, action_type string, "
+        "target_column string, canonical_value string, rationale string",
     )
-    # One row per test at most, so the broadcast is bounded by the configuration.
     samples = sample_values(rows, max(t.samples for t in tests))
-    joined = counted.join(F.broadcast(samples), "issue_id", "left")
-
-    def per_test(value: Callable[[int, RowTest], Column]) -> Column:
-        out = F.when(F.col("test") == 0, value(0, tests[0]))
-        for i, t in enumerate(tests[1:], 1):
-            out = out.when(F.col("test") == i, value(i, t))
-        return out
-
-    def description(i: int, t: RowTest) -> Column:
-        parts = {"n": F.col("affected_row_count"), "total": F.col("total")}
-        parts["samples"] = F.col("sample_values")
-        parts |= {name: F.col("extras")[k] for k, name in enumerate(t.extras)}
-        return t.description(parts)
-
-    issues = joined.select(
-        "issue_id",
-        F.lit(dataset_id).alias("dataset_id"),
-        per_test(lambda i, t: F.lit(t.category.value)).alias("category"),
-        "severity",
-        per_test(lambda i, t: F.lit(t.confidence)).alias("confidence"),
-        per_test(description).alias("description"),
-        per_test(lambda i, t: F.array(F.lit(t.column))).alias("affected_columns"),
-        "affected_row_count",
-        per_test(lambda i, t: F.slice("sample_values", 1, t.samples)).alias("sample_values"),
-        per_test(lambda i, t: F.lit(t.action.value)).alias("action_type"),
-        per_test(lambda i, t: F.lit(t.column)).alias("target_column"),
-        per_test(lambda i, t: F.lit(t.canonical_value)).alias("canonical_value"),
-        per_test(lambda i, t: F.lit(t.rationale)).alias("rationale"),
+    joined = (
+        counted.where("n > 0")
+        .join(F.broadcast(fixed), "test")
+        .join(F.broadcast(samples), "issue_id", "left")
+        .withColumn("sample_values", F.expr("slice(sample_values, 1, k)"))
+    )
+    issues = joined.withColumns(
+        {
+            "severity": _severity(tests),
+            "description": _description(tests),
+            "affected_row_count": F.col("n"),
+        }
     )
     return findings(issues, rows.withColumn("role", F.lit(Role.TARGET.value)))
+
+
+def _unpivot(tests: list[RowTest]) -> str:
+    """The one row of counts as one row per test."""
+    parts = []
+    for i, t in enumerate(tests):
+        extras = ", ".join(f"CAST(x{i}_{name} AS DOUBLE)" for name in t.extras)
+        parts.append(f"{i}, n{i}, CAST(array({extras}) AS ARRAY<DOUBLE>)")
+    return f"stack({len(tests)}, {', '.join(parts)}) AS (test, n, extras)"
+
+
+def _severity(tests: list[RowTest]) -> Column:
+    out = F.col("severity")
+    for rule in {t.severity for t in tests if callable(t.severity)}:
+        of_rule = [i for i, t in enumerate(tests) if t.severity is rule]
+        out = F.when(F.col("test").isin(of_rule), rule(F.col("n"), F.col("total"))).otherwise(out)
+    return out
+
+
+def _description(tests: list[RowTest]) -> Column:
+    out = None
+    measures = {"n": F.col("n"), "total": F.col("total"), "samples": F.col("sample_values")}
+    for i, t in enumerate(tests):
+        extras = {name: F.col("extras")[k] for k, name in enumerate(t.extras)}
+        text = t.description(measures | extras)
+        mine = F.col("test") == i
+        out = F.when(mine, text) if out is None else out.when(mine, text)
+    return out

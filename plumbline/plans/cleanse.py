@@ -91,6 +91,7 @@ def execute_approved(
         good.select("issue_id", "action_type", "phase", "at", "affected_row_count"),
         "issue_id",
         "affected_row_count",
+        written=True,
     )
     ids = typed.select(F.col(ROW_ID).alias("row_id"))
     roles = materialise(roles.join(ids, "row_id", "left_semi"), "roles")
@@ -234,6 +235,7 @@ def _removals(good: DataFrame, roles: DataFrame):
         state.where("ok").select("issue_id", "n"),
         "issue_id",
         "n",
+        written=True,
     ).drop("n")
     dropped = roles.where(
         (F.col("action_type") == Action.DROP_ROW.value) & (F.col("role") == Role.DROP.value)
@@ -260,7 +262,7 @@ def _cell_events(good, roles, merge_state, canonical_values) -> DataFrame:
         F.col("affected_row_count").alias("n"),
     )
     targets = roles.where(F.col("role") == Role.TARGET.value).select("issue_id", "row_id", "phase", "at")
-    direct = join_counted(targets, plans, "issue_id", "n").drop("n")
+    direct = join_counted(targets, plans, "issue_id", "n", written=True).drop("n")
 
     winners = merge_state.where("ok").select("issue_id", "at", "retain_id", "target_column", "canonical_value")
     records = canonical_values.join(winners.select("issue_id", "at", "retain_id"), "issue_id")

@@ -109,6 +109,7 @@ def resolve_entities(
         clustered.select("profile", "n", "cluster"),
         "profile",
         "n",
+        written=True,
     )
     members = materialise(members.select("row_id", "cluster", "filled", "profile", "n"), "members")
     elected = elect(members)
@@ -187,7 +188,7 @@ def _cluster_findings(df, dataset_id, clusters, roles) -> Findings:
         .alias("rationale"),
     )
     by_cluster = clusters.select("cluster", "issue_id", "size", high.alias("high"))
-    rows = join_counted(roles, by_cluster, "cluster", "size")
+    rows = join_counted(roles, by_cluster, "cluster", "size", written=True)
     role = F.when(F.col("is_retained"), Role.RETAIN.value).otherwise(Role.RETIRE.value)
     values = (
         canonical_records(df, roles)

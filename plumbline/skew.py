@@ -11,14 +11,24 @@ HOT_ROWS = 1_000_000
 
 
 def join_counted(
-    rows: DataFrame, groups: DataFrame, on: str, count: str, hot_rows: int = HOT_ROWS
+    rows: DataFrame,
+    groups: DataFrame,
+    on: str,
+    count: str,
+    hot_rows: int = HOT_ROWS,
+    total: int | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Inner join of ``rows`` with ``groups`` (one row per key, ``count`` = its row count).
 
     Rows of hot groups meet a broadcast of the few hot groups and are not shuffled;
     all other groups hold fewer than ``hot_rows`` rows and go through a shuffle join.
+    A ``total`` of all rows below ``hot_rows``, or a look at ``groups`` where that is a
+    ``written`` table, can show that no group is hot, and then the plain join is enough.
     """
     hot = groups.where(F.col(count) >= hot_rows)
+    if (total is not None and total < hot_rows) or (written and not hot.take(1)):
+        return rows.join(groups, on)
     cold = groups.where(F.col(count) < hot_rows)
     from_hot = rows.join(F.broadcast(hot), on)
     from_cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
