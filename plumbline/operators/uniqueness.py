@@ -11,22 +11,24 @@ from plumbline.operators.completeness import data_columns
 from plumbline.skew import HOT_ROWS, join_counted
 
 
+def plain_cell(df: DataFrame, column: str) -> Column:
+    """The cell as text that is equal exactly for equal values (-0.0 is 0.0, NaN is null)."""
+    cell, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        cell = F.when(~F.isnan(cell), cell + F.lit(0.0))
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+        return F.to_json(cell)
+    return F.hex(cell) if isinstance(kind, T.BinaryType) else cell.cast("string")
+
+
 def row_digest(df: DataFrame, columns: list[str]) -> Column:
     """SHA-256 over an unambiguous encoding of the cells, as 32 bytes.
 
-    Grouping by the digest keeps wide rows out of the shuffle. Null differs from every
-    value, and -0.0 equals 0.0.
+    Grouping by the digest keeps wide rows out of the shuffle. Null differs from every value.
     """
     parts = []
     for c in columns:
-        cell, kind = F.col(f"`{c}`"), df.schema[c].dataType
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            cell = F.when(~F.isnan(cell), cell + F.lit(0.0))
-        if isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-            cell = F.to_json(cell)
-        elif isinstance(kind, T.BinaryType):
-            cell = F.hex(cell)
-        cell = cell.cast("string")
+        cell = plain_cell(df, c)
         sized = F.concat(F.length(cell).cast("string"), F.lit(":"), cell)
         parts.append(F.coalesce(sized, F.lit("-")))
     return F.unhex(F.sha2(F.concat(*parts), 256))
@@ -42,7 +44,7 @@ def duplicate_groups(df: DataFrame, columns: list[str] | None = None) -> tuple[D
     keyed = df.select(
         row_digest(df, columns).alias("digest"),
         F.col(ROW_ID).alias("row_id"),
-        F.col(f"`{columns[0]}`").cast("string").alias("first_value"),
+        plain_cell(df, columns[0]).alias("first_value"),
     )
     groups = (
         keyed.groupBy("digest", "first_value")  # the digest determines the first value
