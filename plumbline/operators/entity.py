@@ -20,6 +20,8 @@ from plumbline.model import (
 from plumbline.operators.tiles import (
     BLOCK_ROWS,
     block_count,
+    bucket_rows,
+    by_tile,
     cross_tiles,
     equal_key_pairs,
     grid_pairs,
@@ -108,7 +110,7 @@ class Batch:
     def __init__(self, tile: pd.DataFrame, config: SignalConfig):
         self.weights = {s: config.weights.get(s, 0.0) for s in config.active()}
         self.present = {s: (tile[s] != "").to_numpy() for s in self.weights}
-        self.codes = {s: pd.factorize(tile[s])[0] for s in self.weights if s in EXACT}
+        self.codes = {s: pd.factorize(tile[s])[0] for s in self.weights}
         self.values = {s: tile[s].to_numpy() for s in self.weights}
         self.texts = {
             s: similarity.Texts(tile[s].tolist()) for s in self.weights if s not in EXACT
@@ -120,7 +122,7 @@ class Batch:
         for s, w in self.weights.items():
             both = pick_a(self.present[s]) & pick_b(self.present[s])
             weight = weight + w * both
-            if s in self.codes:
+            if s in EXACT:
                 exact = exact + w * (both & (pick_a(self.codes[s]) == pick_b(self.codes[s])))
         return weight, exact
 
@@ -219,36 +221,39 @@ def _link_tile(config: SignalConfig, key: str | None):
 
 def link_tiles(
     profiles: DataFrame, config: SignalConfig, block_rows: int = BLOCK_ROWS
-) -> tuple[DataFrame, str | None]:
-    """Lay out every pair of profiles that could link, and the signal used for blocking."""
+) -> tuple[DataFrame, int, str | None]:
+    """Lay out every pair of profiles that could link: tiles, their number, blocking signal."""
     cores = profiles.sparkSession.sparkContext.defaultParallelism
+    kept = ["rep", "n", *config.active()]
+    profiles = profiles.select(*kept)
     key = blocking_signal(config)
     if key is None:
-        return self_tiles(profiles, "rep", block_count(profiles.count(), cores, block_rows)), None
-    keyed, bare = profiles.where(F.col(key) != ""), profiles.where(F.col(key) == "")
-    sizes = profiles.agg(F.count_if(F.col(key) != "").alias("k"), F.count_if(F.col(key) == "").alias("e")).first()
+        blocks = block_count(profiles.count(), cores, block_rows)
+        return self_tiles(profiles, "rep", blocks), blocks * (blocks + 1) // 2, None
+    has = F.col(key) != ""
+    keyed, bare = profiles.where(has), profiles.where(~has)
+    sizes = profiles.agg(F.count_if(has).alias("keyed"), F.count_if(~has).alias("bare")).first()
     shared = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    grouped = join_counted(keyed, shared, key, "_size", total=sizes.k)
-    small = max(256, min(block_rows, sizes.k // cores + 1))
-    tiles = key_tiles(grouped, key, "_size", "rep", sizes.k, block_rows if small > block_rows else small)
-    tiles = tiles.drop("_size")
-    if sizes.e:
-        bare_blocks = block_count(sizes.e, cores, block_rows)
-        tiles = tiles.unionByName(self_tiles(bare, "rep", bare_blocks))
-        if sizes.k:
-            keyed_blocks = block_count(sizes.k, cores, block_rows)
-            tiles = tiles.unionByName(cross_tiles(bare, keyed, "rep", bare_blocks, keyed_blocks))
-    return tiles, key
+    grouped = join_counted(keyed, shared, key, "_size", total=sizes.keyed)
+    bucket = bucket_rows(sizes.keyed, cores, block_rows)
+    tiles = key_tiles(grouped, key, "_size", "rep", sizes.keyed, bucket).drop("_size")
+    count = sizes.keyed // bucket + 1
+    if sizes.bare:
+        few = block_count(sizes.bare, cores, block_rows)
+        tiles = tiles.unionByName(self_tiles(bare, "rep", few))
+        count += few * (few + 1) // 2
+        if sizes.keyed:
+            many = block_count(sizes.keyed, cores, block_rows)
+            tiles = tiles.unionByName(cross_tiles(bare, keyed, "rep", few, many))
+            count += few * many
+    return tiles, count, key
 
 
 def link_profiles(profiles: DataFrame, config: SignalConfig, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, links, scored): stars that connect linked profiles, and counts with a = -1."""
-    tiles, key = link_tiles(profiles, config, block_rows)
-    columns = ["rep", "n", *config.active(), "_tile", "_side"]
-    return (
-        tiles.select(*columns)
-        .groupBy("_tile")
-        .applyInPandas(_link_tile(config, key), "a long, b long, links double, scored long")
+    tiles, count, key = link_tiles(profiles, config, block_rows)
+    return by_tile(tiles, count).applyInPandas(
+        _link_tile(config, key), "a long, b long, links double, scored long"
     )
 
 
@@ -281,32 +286,37 @@ def scored_links(profiles: DataFrame, config: SignalConfig, block_rows: int = BL
     For inspection and checks. Clustering uses :func:`link_profiles`, whose output does not
     grow with the number of links.
     """
-    tiles, key = link_tiles(profiles, config, block_rows)
-    columns = ["rep", "n", *config.active(), "_tile", "_side"]
-    return (
-        tiles.select(*columns)
-        .groupBy("_tile")
-        .applyInPandas(
-            _pair_tile(config, key), "a long, b long, n_a long, n_b long, composite double"
-        )
+    tiles, count, key = link_tiles(profiles, config, block_rows)
+    return by_tile(tiles, count).applyInPandas(
+        _pair_tile(config, key), "a long, b long, n_a long, n_b long, composite double"
     )
 
 
-def _evidence(batch: Batch, raw: dict, ia: np.ndarray, ib: np.ndarray, k: int) -> list[str]:
-    """Reasons why one pair looks alike, in signal order."""
-    out = []
-    for s in batch.weights:
-        a, b = batch.values[s][ia[k]], batch.values[s][ib[k]]
-        if not a or not b:
+def _reasons(batch: Batch, raw: dict, ia: np.ndarray, ib: np.ndarray):
+    """Per signal: (place, pairs that show evidence, code of its text, text of one pair)."""
+    for place, s in enumerate(batch.weights):
+        codes, values = batch.codes[s], batch.values[s]
+        both = batch.present[s][ia] & batch.present[s][ib]
+        if s in EXACT:
+            label = s.replace("_", " ").title()
+            yield (
+                place,
+                np.flatnonzero(both & (codes[ia] == codes[ib])),
+                codes[ia],
+                lambda k, v=values, n=label: f"{n} exact match: '{v[ia[k]]}'",
+            )
             continue
-        if s in batch.codes:
-            if a == b:
-                label = s.replace("_", " ").title()
-                out.append(f"{label} exact match: '{a}'")
-        elif raw[s][k] >= EVIDENCE_CUTOFF:
-            tail = f" ('{a}' ~ '{b}')" if s == "name" else ""
-            out.append(f"{s.title()} similarity {raw[s][k]:.0f}/100{tail}")
-    return out
+        score = np.round(raw[s]).astype(np.int64)
+        code, tail = score, lambda k: ""
+        if s == "name":
+            code = (codes[ia].astype(np.int64) * len(codes) + codes[ib]) * 101 + score
+            tail = lambda k, v=values: f" ('{v[ia[k]]}' ~ '{v[ib[k]]}')"
+        yield (
+            place,
+            np.flatnonzero(both & (raw[s] >= EVIDENCE_CUTOFF)),
+            code,
+            lambda k, n=s.title(), r=raw[s], t=tail: f"{n} similarity {r[k]:.0f}/100{t(k)}",
+        )
 
 
 def _evidence_tile(config: SignalConfig, shown: int):
@@ -314,25 +324,27 @@ def _evidence_tile(config: SignalConfig, shown: int):
         order = np.argsort(tile["row_id"].to_numpy(), kind="stable")
         tile = tile.iloc[order].reset_index(drop=True)
         batch = Batch(tile, config)
-        row, cluster = tile["row_id"].to_numpy(), tile["cluster"].to_numpy()
-        best: dict[int, float] = {}
-        first: dict[int, dict[str, tuple]] = {}
-        for ia, ib in equal_key_pairs(tile["_side"].to_numpy(), pd.factorize(cluster)[0]):
-            flip = row[ia] > row[ib]
-            ia, ib = np.where(flip, ib, ia), np.where(flip, ia, ib)
+        row = tile["row_id"].to_numpy()
+        cluster, names = pd.factorize(tile["cluster"])
+        best = np.zeros(len(names))
+        seen: list[dict[str, tuple]] = [{} for _ in names]
+        for ia, ib in equal_key_pairs(tile["_side"].to_numpy(), cluster):
+            ia, ib = np.minimum(ia, ib), np.maximum(ia, ib)  # rows are in id order
+            first = np.lexsort((ib, ia))
+            ia, ib = ia[first], ib[first]
             composite, raw = batch.score(ia, ib, evidence=True)
-            for k in range(len(ia)):
-                c = int(cluster[ia[k]])
-                best[c] = max(best.get(c, 0.0), float(composite[k]))
-                seen = first.setdefault(c, {})
-                for place, reason in enumerate(_evidence(batch, raw, ia, ib, k)):
+            np.maximum.at(best, cluster[ia], composite)
+            for place, pairs, code, say in _reasons(batch, raw, ia, ib):
+                key = pd.DataFrame({"c": cluster[ia[pairs]], "t": code[pairs]})
+                for k in pairs[~key.duplicated().to_numpy()]:  # one pair per distinct text
                     at = (int(row[ia[k]]), int(row[ib[k]]), place)
-                    seen[reason] = min(seen.get(reason, at), at)
+                    mine, text = seen[cluster[ia[k]]], say(k)
+                    mine[text] = min(mine.get(text, at), at)
         out = []
-        for c, seen in first.items():
-            top = sorted(seen.items(), key=lambda item: item[1])[:shown]
+        for c, mine in enumerate(seen):
+            top = sorted(mine.items(), key=lambda item: item[1])[:shown]
             reasons = [{"a": at[0], "b": at[1], "place": at[2], "reason": r} for r, at in top]
-            out.append((c, best[c], len(seen), reasons))
+            out.append((int(names[c]), float(best[c]), len(mine), reasons))
         return pd.DataFrame(out, columns=["cluster", "composite", "kinds", "reasons"])
 
     return run
@@ -352,16 +364,13 @@ def cluster_evidence(
         "cluster_key", F.col("cluster").cast("string")
     )
     cores = entries.sparkSession.sparkContext.defaultParallelism
-    bucket = max(256, min(block_rows, total // cores + 1))
+    bucket = bucket_rows(total, cores, block_rows)
     tiles = key_tiles(sized, "cluster_key", "_size", "row_id", total, bucket)
-    parts = (
-        tiles.select("cluster", "row_id", *config.active(), "_tile", "_side")
-        .groupBy("_tile")
-        .applyInPandas(
-            _evidence_tile(config, shown),
-            "cluster long, composite double, kinds long, "
-            "reasons array<struct<a:long, b:long, place:int, reason:string>>",
-        )
+    tiles = tiles.select("cluster", "row_id", *config.active(), "_tile", "_side")
+    parts = by_tile(tiles, total // bucket + 1).applyInPandas(
+        _evidence_tile(config, shown),
+        "cluster long, composite double, kinds long, "
+        "reasons array<struct<a:long, b:long, place:int, reason:string>>",
     )
     # At most `shown` reasons per tile of a cluster are gathered here.
     gathered = parts.groupBy("cluster").agg(

@@ -25,7 +25,7 @@ from plumbline.model import (
     issue_id,
 )
 from plumbline.operators.completeness import data_columns, is_string
-from plumbline.operators.tiles import BLOCK_ROWS, block_count, grid_pairs, self_tiles
+from plumbline.operators.tiles import BLOCK_ROWS, block_count, by_tile, grid_pairs, self_tiles
 
 _ROUNDING = 1e-9
 
@@ -80,7 +80,7 @@ def similar_texts(
     """
     blocks = block_count(total, texts.sparkSession.sparkContext.defaultParallelism, block_rows)
     tiles = self_tiles(texts.select("norm"), "norm", blocks)
-    return tiles.groupBy("_tile").applyInPandas(
+    return by_tile(tiles, blocks * (blocks + 1) // 2).applyInPandas(
         _score_tile(cutoff), "norm_a string, norm_b string, score double"
     )
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
+MAX_TILE_TASKS = 50_000
 LEFT, RIGHT, BOTH = 0, 1, 2
 
 
@@ -29,6 +30,11 @@ def block_count(records: int, parallelism: int, block_rows: int = BLOCK_ROWS) ->
     return max(1, by_size, by_cores)
 
 
+def bucket_rows(records: int, parallelism: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Records per bucket of small groups: a block, or less to occupy the cores."""
+    return min(block_rows, max(256, records // parallelism + 1))
+
+
 def _block(identity: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(identity, F.lit("block")), blocks)
 
@@ -99,10 +105,19 @@ def key_tiles(
     )
 
 
+def by_tile(tiles: DataFrame, count: int):
+    """Group by tile, spread over enough partitions that every tile may get its own task.
+
+    A tile is little data and much work. An explicit partition number keeps the adaptive
+    planner from merging tiles into few tasks because their bytes are few.
+    """
+    return tiles.repartition(max(1, min(2 * count, MAX_TILE_TASKS)), "_tile").groupBy("_tile")
+
+
 # --- inside a task -----------------------------------------------------------------------
 
 
-def grid_pairs(sides: np.ndarray, step: int = 512):
+def grid_pairs(sides: np.ndarray, step: int = 128):
     """Row ranges (left rows, right rows, triangular?) that cover the pairs of one tile."""
     if len(sides) and sides[0] == BOTH:
         rows = np.arange(len(sides))
