@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import ROW_ID, Category, Findings, Role, Severity, findings, issue_id
@@ -11,32 +11,33 @@ from plumbline.operators.samples import first_k, sample_values
 from plumbline.skew import HOT_ROWS, join_counted
 
 
-def key_text(keys: list[str]):
+def key_parts(keys: list[str]) -> list[Column]:
+    return [F.col(f"`{k}`").cast("string").alias(f"_k{i}") for i, k in enumerate(keys)]
+
+
+def key_text(parts: list[Column]) -> Column:
     """Unambiguous text of a key: every part carries its length."""
-    parts = [F.col(f"`{k}`").cast("string") for k in keys]
     return F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
 
 
 def key_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(key, label, value, n, first_row): values per non-null key, null values included."""
+    """(_k0, _k1, ..., value, n, first_row): values per non-null key, null values included."""
     rows = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    return (
-        rows.groupBy(
-            key_text(keys).alias("key"),
-            F.concat_ws(", ", *[F.col(f"`{k}`").cast("string") for k in keys]).alias("label"),
-            F.col(f"`{value}`").cast("string").alias("value"),
-        )
-        .agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_row"))
-    )
+    return rows.groupBy(
+        *key_parts(keys), F.col(f"`{value}`").cast("string").alias("value")
+    ).agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_row"))
 
 
-def inconsistent_keys(values: DataFrame) -> DataFrame:
+def inconsistent_keys(values: DataFrame, keys: list[str]) -> DataFrame:
     """(key, label, n, kinds) of keys with more than one distinct non-null value."""
-    return (
-        values.groupBy("key", "label")  # the key determines its label
+    names = [f"_k{i}" for i in range(len(keys))]
+    bad = (
+        values.groupBy(*names)
         .agg(F.sum("n").alias("n"), F.count("value").alias("kinds"))
         .where("kinds > 1")
     )
+    key = key_text([F.col(n) for n in names])
+    return bad.select(key.alias("key"), F.concat_ws(", ", *names).alias("label"), "n", "kinds")
 
 
 def check_consistency(
@@ -56,16 +57,22 @@ def check_consistency(
 def _check_pair(df, dataset_id, keys, value, hot_rows) -> Findings:
     # Counting per (key, value) first splits a hot key over its values.
     values = key_values(df, keys, value)
-    bad = inconsistent_keys(values)
+    bad = inconsistent_keys(values, keys)
+    parts = [F.col(f"_k{i}") for i in range(len(keys))]
     columns = [*keys, value]
     key = issue_id(dataset_id, Category.CONSISTENCY, ",".join(columns), F.col("key"))
     shown = (
-        first_k(values.where("value IS NOT NULL"), "key", "first_row", 10)
+        first_k(
+            values.where("value IS NOT NULL").select(key_text(parts).alias("key"), "first_row", "value"),
+            "key",
+            "first_row",
+            10,
+        )
         .groupBy("key")
         .agg(F.array_sort(F.collect_list(F.struct("first_row", "value"))).alias("shown"))
     )
     rows = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).select(
-        key_text(keys).alias("key"),
+        key_text(key_parts(keys)).alias("key"),
         F.col(ROW_ID).alias("row_id"),
         F.col(f"`{value}`").cast("string").alias("value"),
     )

@@ -41,17 +41,13 @@ def duplicate_groups(df: DataFrame, columns: list[str] | None = None) -> tuple[D
     table sends one row per task.
     """
     columns = columns or data_columns(df)
-    keyed = df.select(
-        row_digest(df, columns).alias("digest"),
-        F.col(ROW_ID).alias("row_id"),
-        plain_cell(df, columns[0]).alias("first_value"),
-    )
+    keyed = df.select(row_digest(df, columns).alias("digest"), F.col(ROW_ID).alias("row_id"))
     groups = (
-        keyed.groupBy("digest", "first_value")  # the digest determines the first value
+        keyed.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("retain_id"))
         .where("n > 1")
     )
-    return keyed.select("digest", "row_id"), groups
+    return keyed, groups
 
 
 def check_uniqueness(
@@ -63,7 +59,11 @@ def check_uniqueness(
     columns = columns or data_columns(df)
     rows, groups = duplicate_groups(df, columns)
     key = issue_id(dataset_id, Category.UNIQUENESS, F.lower(F.hex("digest")))
-    issues = groups.select(
+    # Only the rows to keep are looked up for display, and only one of their columns.
+    shown = df.select(
+        F.col(ROW_ID).alias("retain_id"), plain_cell(df, columns[0]).alias("first_value")
+    )
+    issues = groups.join(shown, "retain_id").select(
         key.alias("issue_id"),
         F.lit(dataset_id).alias("dataset_id"),
         F.lit(Category.UNIQUENESS.value).alias("category"),
@@ -85,7 +85,7 @@ def check_uniqueness(
             "retain_id",
         ).alias("rationale"),
     )
-    members = join_counted(rows, groups.select("digest", "n", "retain_id"), "digest", "n", hot_rows)
+    members = join_counted(rows, groups, "digest", "n", hot_rows)
     role = F.when(F.col("row_id") == F.col("retain_id"), Role.RETAIN.value).otherwise(
         Role.RETIRE.value
     )
