@@ -57,6 +57,15 @@ def common_grid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def common_pairs(histogram: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Common characters of the pairs ``ia[k]``, ``ib[k]`` of one batch."""
+    out = np.empty(len(ia), dtype=np.int64)
+    for start in range(0, len(ia), 20_000):
+        part = slice(start, start + 20_000)
+        out[part] = np.minimum(histogram[ia[part]], histogram[ib[part]]).sum(axis=1)
+    return out
+
+
 def upper_bound(common: np.ndarray, least: np.ndarray) -> np.ndarray:
     """No score of a pair exceeds this.
 

@@ -146,7 +146,7 @@ class Batch:
         bounds, raw = {}, {}
         for s, t in self.texts.items():
             both = self.present[s][ia] & self.present[s][ib]
-            common = np.minimum(t.histogram[ia], t.histogram[ib]).sum(axis=1)
+            common = similarity.common_pairs(t.histogram, ia, ib)
             bound = similarity.upper_bound(common, np.minimum(t.least[ia], t.least[ib]))
             bounds[s] = np.where(both, bound, 0.0)
         for s in sorted(self.texts):  # address first: it costs less than name

@@ -147,7 +147,7 @@ def equal_key_pairs(sides: np.ndarray, keys: np.ndarray):
             break
         batch.append((order[same], order[same + lag]))
         held += len(same)
-        if held > 500_000:
+        if held > 200_000:
             yield tuple(np.concatenate(part) for part in zip(*batch))
             batch, held = [], 0
         lag += 1

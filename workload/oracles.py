@@ -60,6 +60,10 @@ ORACLES["profile_columns"] = f"WITH t AS ({inputs.BLANK_PARTS}) " + " UNION ALL
       FROM t WHERE {c} IS NOT NULL ORDER BY _row_id LIMIT 5)) AS samples FROM t"""
     for c in BLANKS
 )
+ORACLES["file_roundtrip"] = f"""SELECT _row_id AS row_id, CASE WHEN total_price <> 'n/a' THEN total_price END AS total_price,
+    nullif(order_date, '') AS order_date, order_priority FROM ({inputs.ORDER_TEXTS})"""
+ORACLES["row_numbers"] = """SELECT count(*) AS n, 0::BIGINT AS low, count(*) - 1 AS high, count(*) AS kinds,
+    CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem"""
 ORACLES["completeness_labels"] = completeness(inputs.LABELLED, LABELLED)
 ORACLES["completeness_rows"] = f"WITH t AS ({inputs.LABELLED}) " + " UNION ALL ".join(
     f"SELECT {iid('COMPLETENESS', repr(c))} AS issue_id, _row_id AS row_id, 'target' AS role FROM t WHERE {missing(c, x)}"

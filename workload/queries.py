@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.durable import materialise
+from plumbline.durable import materialise, shared_dir
 from plumbline.functions import text
 from plumbline.model import (
     ROW_ID,
     Category,
+    DatasetMeta,
     DomainRule,
     Findings,
     Severity,
@@ -25,8 +26,10 @@ from plumbline.operators.row_tests import evaluate
 from plumbline.operators.rules import rule_tests
 from plumbline.operators.samples import first_k
 from plumbline.plans import checks, cleanse, resolve, review, scorecard
+from plumbline.sources.files import read_csv
 from plumbline.sources.profile import profile
-from plumbline.sources.sinks import audit_csv
+from plumbline.sources.rowid import with_row_id
+from plumbline.sources.sinks import audit_csv, export_file
 from workload import inputs
 
 DATASET = "ds"
@@ -87,6 +90,29 @@ def profile_columns(spark, folder):
     )
 
 
+def file_roundtrip(spark, folder):
+    """Export to CSV in the shared folder and read it back with a schema."""
+    df = derived(spark, folder, inputs.ORDER_TEXTS)
+    meta = DatasetMeta(file_format="csv")
+    done = export_file(df.withColumn("row", F.col(ROW_ID)), meta, shared_dir(spark), f"orders-{meta.dataset_id}.csv")
+    back = read_csv(
+        spark, done.destination, "total_price string, order_date string, order_priority string, row long"
+    )
+    return back.withColumnRenamed("row", "row_id")
+
+
+def row_numbers(spark, folder):
+    """Ids of a table without a key: contiguous from zero."""
+    lines = with_row_id(table(spark, folder, "lineitem").select("l_orderkey", "l_quantity"))
+    return lines.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(ROW_ID).alias("low"),
+        F.max(ROW_ID).alias("high"),
+        F.count_distinct(ROW_ID).alias("kinds"),
+        F.sum("l_orderkey").alias("keys"),
+    )
+
+
 def completeness_labels(spark, folder):
     df = derived(spark, folder, inputs.LABELLED)
     return brief(evaluate(df, completeness_tests(df), DATASET))
@@ -584,7 +610,7 @@ def score_labels(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        profile_columns, completeness_labels, completeness_rows, completeness_blank,
+        profile_columns, file_roundtrip, row_numbers, completeness_labels, completeness_rows, completeness_blank,
         completeness_required, format_validity, format_amount_rows, format_date_rows,
         outlier_events, outlier_rows, column_moments, domain_rule, domain_rule_fix,
         uniqueness_documents, uniqueness_rows, ref_integrity, ref_integrity_rows, ref_orphans,
