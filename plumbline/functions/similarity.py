@@ -8,9 +8,13 @@ with every window of the longer one. The score of a pair of names is the larger
 
 from __future__ import annotations
 
+from functools import cached_property
+from zlib import crc32
+
 import numpy as np
 
 _BUCKETS = 128
+_GRAM_BUCKETS = 256
 _NEEDLE_PAD = np.uint32(0xFFFFFFFF)
 _HAY_PAD = np.uint32(0xFFFFFFFE)
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -26,14 +30,39 @@ class Texts:
         self.sorted = [sorted(t) for t in self.tokens]
         self.joined = np.array([" ".join(t) for t in self.sorted], dtype=object)
         self.length = np.array([len(t) for t in texts], dtype=np.int64)
-        joined_length = np.array([len(t) for t in self.joined], dtype=np.int64)
+        self.token_count = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.joined_length = np.array([len(t) for t in self.joined], dtype=np.int64)
         # Shortest form of the text that any score looks at.
-        self.least = np.minimum(self.length, joined_length)
+        self.least = np.minimum(self.length, self.joined_length)
         self.histogram = _histograms(texts)
 
     def __len__(self) -> int:
         return len(self.texts)
 
+    @cached_property
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of adjacent character pairs, hashed, of the texts and of the joined tokens."""
+        return _gram_counts(self.texts), _gram_counts(self.joined)
+
+    @cached_property
+    def token_sizes(self) -> np.ndarray:
+        """Length of each hashed token plus one for a space."""
+        out = np.zeros((len(self), _GRAM_BUCKETS), dtype=np.float32)
+        for row, tokens in enumerate(self.tokens):
+            for t in tokens:
+                out[row, crc32(t.encode()) % _GRAM_BUCKETS] += len(t) + 1
+        return out
+
+
+def _gram_counts(texts) -> np.ndarray:
+    out = np.zeros((len(texts), _GRAM_BUCKETS), dtype=np.float32)
+    for row, text in enumerate(texts):
+        if len(text) > 1:
+            codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            hashed = (codes[:-1] * 31 + codes[1:]) % _GRAM_BUCKETS
+            out[row] = np.bincount(hashed, minlength=_GRAM_BUCKETS)
+    return out
+
 
 def _histograms(texts: list[str]) -> np.ndarray:
     """Character counts per text, hashed into buckets, white space in bucket 0."""
@@ -78,6 +107,37 @@ def upper_bound(common: np.ndarray, least: np.ndarray) -> np.ndarray:
         return np.where(least > 0, 200.0 * c / (least + c), 100.0)
 
 
+def gram_bound(texts: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A second bound on the score of every pair of a grid, from adjacent characters.
+
+    Turning a text of n characters into one with L of them in common takes n - L deletions,
+    which break at most two of its n - 1 adjacent pairs each, and insertions that break one
+    each. If b pairs survive, L <= (n + m + 1 + b) / 3 for a window of m characters, and with
+    L <= m the score of any window is at most 200 * (n + 1 + b) / (3 * n + 1 + b). Hashing can
+    only raise b. For token sets the same holds of the joined tokens, where putting the
+    shared tokens first changes two pairs per token boundary; shared tokens of s characters
+    alone give at most 200 * s / (s + n).
+    """
+    whole, joined = texts.grams
+    n, m = texts.length[left][:, None], texts.length[right][None, :]
+    own = whole[left] @ (whole[right] > 0).T.astype(np.float32)
+    other = (whole[left] > 0).astype(np.float32) @ whole[right].T
+    pairs = np.where(n < m, own, np.where(n > m, other, np.maximum(own, other)))
+    short = np.minimum(n, m)
+    windows = 200.0 * (short + 1 + pairs) / (3 * short + 1 + pairs)
+
+    la, lb = texts.joined_length[left][:, None], texts.joined_length[right][None, :]
+    shared = texts.token_sizes[left] @ (texts.token_sizes[right] > 0).T.astype(np.float32)
+    least = np.minimum(la, lb)
+    s = np.clip(shared - 1, 0, least)
+    kept = joined[left] @ (joined[right] > 0).T.astype(np.float32)
+    moved = np.where(shared > 0, 2.0 * texts.token_count[left][:, None], 0.0)
+    tokens = 200.0 / 3 * (1 + (1 + kept + moved) / np.maximum(la + lb, 1))
+    tokens = np.maximum(tokens, 200.0 * s / np.maximum(s + least, 1))
+    bound = np.minimum(np.maximum(windows, tokens), 100.0)
+    return np.where((short == 0) | (least == 0), 100.0, bound)
+
+
 # --- LCS ---------------------------------------------------------------------------------
 
 

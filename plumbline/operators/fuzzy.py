@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +25,7 @@ from plumbline.model import (
 from plumbline.operators.completeness import data_columns, is_string
 from plumbline.operators.tiles import BLOCK_ROWS, block_count, by_tile, grid_pairs, self_tiles
 
-_ROUNDING = 1e-9
+_ROUNDING = 1e-3  # the bounds use single precision
 
 
 def column_values(df: DataFrame, column: str) -> DataFrame:
@@ -43,13 +41,14 @@ def column_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def _score_tile(cutoff: float):
-    def run(tile: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
         texts = similarity.Texts(tile["norm"].tolist())
         out = []
         for left, right, triangular in grid_pairs(tile["_side"].to_numpy()):
             common = similarity.common_grid(texts.histogram[left], texts.histogram[right])
             least = np.minimum(texts.least[left][:, None], texts.least[right][None, :])
             bound = similarity.upper_bound(common, least)
+            bound = np.minimum(bound, similarity.gram_bound(texts, left, right))
             keep = bound >= cutoff - _ROUNDING
             if triangular:
                 keep &= left[:, None] < right[None, :]

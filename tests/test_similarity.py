@@ -29,6 +29,20 @@ def test_scores_equal_plain_definitions(size, longest):
     assert np.allclose(best, np.maximum(tokens, parts))
 
 
+@pytest.mark.parametrize("longest", [6, 14, 40])
+def test_gram_bound_never_undercuts_a_score(longest):
+    left, right = _texts(longest + 1, 60, longest)
+    words = ["acme", "steel", "of", "ohio", "co", "steal"]
+    left[:30] = [" ".join(random.choices(words, k=random.randint(1, 5))) for _ in range(30)]
+    right[:30] = [" ".join(random.choices(words, k=random.randint(1, 5))) for _ in range(30)]
+    texts = sim.Texts(left + right)
+    a, b = np.arange(60), np.arange(60, 120)
+    bound = sim.gram_bound(texts, a, b)
+    assert (bound <= 100).all()
+    score = np.array([[name_score(x, y) for y in right] for x in left])
+    assert (bound >= score - 1e-3).all()
+
+
 def test_grid_counts_common_characters():
     a, b = sim.Texts(["aab", ""]), sim.Texts(["ab b", "zz", "aabb"])
     assert sim.common_grid(a.histogram, b.histogram).tolist() == [[2, 0, 3], [0, 0, 0]]

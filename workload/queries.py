@@ -469,7 +469,7 @@ def category_table(spark, folder):
 # --- cleansing ---------------------------------------------------------------------------
 
 
-def _one_issue(spark, issue, action, column=None, value=None, n=0, seq=0, dtype=None):
+def _one_issue(issue, action, column=None, value=None, n=0, seq=0, dtype=None):
     return (issue, DATASET, action, column, value, "APPROVED", n, seq, dtype)
 
 
@@ -527,7 +527,7 @@ def _cleanse(spark, folder, names) -> cleanse.Cleansed:
     for seq, name in enumerate(names):
         action, column, value = CLEANSE_ISSUES[name]
         dtype = "str" if name == "retype" else None
-        issues.append(_one_issue(spark, name, action, column, value, 1, seq, dtype))
+        issues.append(_one_issue(name, action, column, value, 1, seq, dtype))
         for part in parts.get(name, []):
             rows = part if rows is None else rows.unionByName(part)
     if rows is None:
