@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from plumbline.durable import shared_dir
-from plumbline.llm import decontaminate, url_filter, warc
+from plumbline.llm import decontaminate, packing, simhash, url_filter, warc
 from plumbline.llm.common import table
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
@@ -18,6 +18,12 @@ URL_RULES = [
 ]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_warc(spark, folder):
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, folder, "pages"), path)
@@ -28,6 +34,14 @@ def op3_decontamination(spark, folder):
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_simhash(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op7_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
 def op10_url_filters(spark, folder):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, folder, "pages"), rules)
@@ -36,5 +50,7 @@ def op10_url_filters(spark, folder):
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
+    "op5_simhash": op5_simhash,
+    "op7_packing": op7_packing,
     "op10_url_filters": op10_url_filters,
 }
