@@ -9,6 +9,7 @@ Text never meets a shuffle: only ids, lengths and checksums of pieces do.
 
 from __future__ import annotations
 
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -60,10 +61,12 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.tails: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes | None:
         if len(self) > CACHE_WORDS:
             self.clear()
+            self.tails.clear()
         text = word.decode()
         if not text or text[0].isspace() or text[-1].isspace():
             ids = None
@@ -71,7 +74,14 @@ class WordIds(dict):
             got = self.model.tokenize((b" " + word).decode("latin-1").translate(BYTE_LETTERS))
             ids = array("I", [t.id for t in got]).tobytes()
         else:
-            ids = self._whole(" " + text)
+            letters = text.rstrip(string.punctuation)
+            if letters.isalpha():  # what follows the letters is one piece too
+                tail = text[len(letters) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._whole(tail)
+                ids = self[letters.encode()] + self.tails[tail]
+            else:
+                ids = self._whole(" " + text)
         self[word] = ids
         return ids
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from plumbline.durable import shared_dir
-from plumbline.llm import decontaminate, packing, simhash, url_filter, warc
+from plumbline.llm import decontaminate, packing, simhash, toxicity, url_filter, warc
 from plumbline.llm.common import table
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
@@ -42,6 +42,10 @@ def op7_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op8_toxicity(spark, folder):
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_url_filters(spark, folder):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, folder, "pages"), rules)
@@ -52,5 +56,6 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op10_url_filters": op10_url_filters,
 }
