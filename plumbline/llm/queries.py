@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from plumbline.durable import shared_dir
-from plumbline.llm import decontaminate, packing, simhash, toxicity, url_filter, warc
+from plumbline.llm import decontaminate, embeddings, html_text, packing, simhash, toxicity, url_filter, warc
 from plumbline.llm.common import table
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
@@ -38,6 +38,10 @@ def op5_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_html_extraction(spark, folder):
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op7_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
@@ -46,6 +50,10 @@ def op8_toxicity(spark, folder):
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_embeddings(spark, folder):
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op10_url_filters(spark, folder):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, folder, "pages"), rules)
@@ -55,7 +63,9 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
+    "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_embeddings": op9_embeddings,
     "op10_url_filters": op10_url_filters,
 }
