@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from plumbline.durable import shared_dir
-from plumbline.llm import decontaminate, embeddings, html_text, packing, simhash, toxicity, url_filter, warc
+from plumbline.llm import decontaminate, embeddings, html_text, packing, simhash, suffix_dedup, toxicity, url_filter, warc
 from plumbline.llm.common import table
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
@@ -24,6 +24,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_array(spark, folder):
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def op2_warc(spark, folder):
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, folder, "pages"), path)
@@ -60,6 +64,7 @@ def op10_url_filters(spark, folder):
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
     "op5_simhash": op5_simhash,
