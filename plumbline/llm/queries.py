@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from plumbline.durable import shared_dir
-from plumbline.llm import decontaminate, embeddings, html_text, packing, simhash, suffix_dedup, toxicity, url_filter, warc
+from plumbline.llm import decontaminate, embeddings, html_text, packing, simhash, suffix_dedup, suffix_tree, toxicity, url_filter, warc
 from plumbline.llm.common import table
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
@@ -38,6 +38,10 @@ def op3_decontamination(spark, folder):
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_suffix_tree(spark, folder):
+    return suffix_tree.score(table(spark, folder, "documents"))
+
+
 def op5_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_simhash": op5_simhash,
     "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
