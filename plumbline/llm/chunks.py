@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Stands for a null doc_id, which would turn a group's ids into floating-point numbers.
+NO_ID = -(1 << 63)
 CHUNK_ROWS = 512
 BUCKET_BYTES = 8 << 20
 
@@ -39,11 +41,11 @@ def chunked(
 ) -> tuple[DataFrame, int]:
     """(table of batch, chunk, row, doc_id, text in UTF-8; number of buckets for its size).
 
-    Null texts are empty. Columns named in ``also`` are kept. ``row`` is unique. The table is written once, which fixes both.
+    Null texts are empty, null ids ``NO_ID``. Columns named in ``also`` are kept. ``row`` is unique. The table is written once, which fixes both.
     """
     spark = documents.sparkSession
     texts = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
         *also,
     )
@@ -55,3 +57,7 @@ def chunked(
     name = f"chunks_{uuid.uuid4().hex}"
     numbered.write.partitionBy("batch").bucketBy(buckets, "chunk").option("compression", "zstd").saveAsTable(name)
     return spark.table(name), buckets
+
+
+def with_null_ids(found: DataFrame) -> DataFrame:
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

@@ -104,10 +104,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
         .agg(F.sum("new").alias("n_hit"))
     )
     # At most as many items as a document has words.
-    items = hits.groupBy("doc_id").agg(
+    items = hits.groupBy(F.col("doc_id").alias("id")).agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")
     )
-    found = covered.join(items, "doc_id").withColumnRenamed("doc_id", "id")
+    found = covered.join(items, F.col("doc_id").eqNullSafe(F.col("id"))).drop("doc_id")
     listed = F.coalesce(F.array_join("items", ","), F.lit(""))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return counts.join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(

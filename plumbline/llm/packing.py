@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.chunks import NO_ID, with_null_ids
 from plumbline.llm.common import written
 
 CAPACITY = 1024
@@ -215,7 +216,8 @@ def pack(
     rows are packed as often as they occur; rows without a doc_id are packed too. No documents
     give no sequences. A group of leftovers that gets no better is still a valid packing.
     """
-    pieces = written(tokenised_pieces(documents, tokenizer, capacity, end_id), "pieces")
+    pieces = tokenised_pieces(documents, tokenizer, capacity, end_id)
+    pieces = written(pieces.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "pieces")
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
     spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
@@ -235,4 +237,4 @@ def pack(
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
-    return result.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return with_null_ids(result).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

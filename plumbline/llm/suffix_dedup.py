@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.chunks import chunked, pack, steps, unpack
+from plumbline.llm.chunks import NO_ID, chunked, pack, steps, unpack, with_null_ids
 from plumbline.llm.common import written
 
 LENGTH = 50
@@ -73,8 +73,9 @@ class ChunkText:
         self.data = np.frombuffer(b"".join(texts) + b"\0" * 64, "u1")
 
     def records(self, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-        """(first start, number of strings, document, seed hash) of runs of strings that are filed
-        under one seed, slice by slice. No string crosses documents."""
+        """(first start, number of strings, document, hash of the seed) of runs of strings that are filed
+        under one seed, slice by slice. No string crosses documents. The smallest hash is mixed
+        again, as smallest ones crowd together."""
         end, seeds = int(self.starts[-1]), length - SEED + 1
         for low in range(0, max(end - length + 1, 0), SLICE):
             high = min(low + SLICE, end - length + 1)
@@ -101,7 +102,7 @@ class ChunkText:
             which = np.repeat(np.arange(len(first)), pieces)
             step = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             begin = first[which] + step * RECORD_STRINGS
-            yield begin, np.minimum(last[which] - begin, RECORD_STRINGS), document[which], key[which]
+            yield begin, np.minimum(last[which] - begin, RECORD_STRINGS), document[which], _mixed(key[which])
 
 
 def _code(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -113,7 +114,7 @@ def _code(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _suffixes(buckets: int):
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
         """The suffixes of a chunk, sorted: one array of hashes and document counts per bucket."""
-        rows = rows[rows["doc_id"].notna()]
+        rows = rows[rows["doc_id"] != NO_ID]
         order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
         text = ChunkText([rows["text"].iloc[i] for i in order])
         ids = np.unique(rows["doc_id"].to_numpy()[order], return_inverse=True)[1]
@@ -199,7 +200,7 @@ def _surroundings(buckets: int):
     def ask(key: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """Runs of bytes settled inside the chunk (bucket -1), and the text around shared suffixes."""
         empty = pd.DataFrame({"bucket": [], "chunk": [], "data": []})
-        rows = rows[rows["doc_id"].notna()]
+        rows = rows[rows["doc_id"] != NO_ID]
         if not len(rows) or not len(told):
             return empty
         codes, hot = (np.concatenate(x) for x in zip(*map(unpack, told["data"]), strict=True))
@@ -314,7 +315,7 @@ def _cut(keep_text: bool):
             kept = b"".join([*kept, text[at:]]) if spans else text
             out.append((row, doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep_text else None))
         columns = ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        found = pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+        found = pd.DataFrame(out, columns=columns)
         return found if keep_text else found.drop(columns="kept")
 
     return cut
@@ -370,7 +371,7 @@ def _removed(
     done = by_chunk.cogroup(runs.groupBy("chunk")).applyInPandas(
         _cut(keep_text), shape + (", kept string" if keep_text else "")
     )
-    return done, table
+    return with_null_ids(done), with_null_ids(table)
 
 
 def without_repeats(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
