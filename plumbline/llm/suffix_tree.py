@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.chunks import chunked, pack, steps, unpack
+from plumbline.llm.chunks import NO_ID, chunked, pack, steps, unpack, with_null_ids
 from plumbline.llm.common import written
 from plumbline.llm.hashing import END, mixed, tokens
 
@@ -38,8 +38,8 @@ CHUNK_ROWS = 2048
 _TOP = np.uint64(32)
 
 
-def is_held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(b"" if pd.isna(doc_id) else str(int(doc_id)).encode()) % FOLDS == HELD_OUT
+def is_held_out(doc_id: int) -> bool:
+    return zlib.crc32(b"" if doc_id == NO_ID else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -95,16 +95,71 @@ def _counts_of(hashes: np.ndarray, told: pd.DataFrame) -> np.ndarray:
     return np.concatenate([np.zeros(0, "u4"), *(unpack(d)[0] for d in told["data"])])[at]
 
 
+def _pair_codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket (upper half) and hash (lower half) of every token with the one before it."""
+    pairs = mixed(np.concatenate([np.zeros(1, "u8"), mixed(hashes[:-1])])[: len(hashes)] ^ hashes)
+    return (_bucket(pairs, buckets).astype("u8") << _TOP) | (pairs & np.uint64(0xFFFFFFFF))
+
+
+def _follows(owner: np.ndarray) -> np.ndarray:
+    """Whether a token follows another of its text."""
+    return np.concatenate([[False], owner[1:] == owner[:-1]])[: len(owner)]
+
+
+def _ask_pairs(buckets: int, least: int):
+    def ask(key: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of frequent words in the training texts of a chunk, with counts."""
+        out = []
+        if len(rows):
+            hashes, owner, training = _chunk_tokens(rows)
+            often = (_counts_of(hashes, told) >= least) & training[owner]
+            both = often & np.concatenate([[False], often[:-1]])[: len(often)] & _follows(owner)
+            codes, counts = np.unique(_pair_codes(hashes, buckets)[both], return_counts=True)
+            bucket = (codes >> _TOP).astype("i8")
+            for a, b in _cuts(bucket):
+                out.append((bucket[a], key[0], pack(steps(codes[a:b].astype("u4")), counts[a:b].astype("u4"))))
+        return pd.DataFrame(out, columns=["bucket", "chunk", "data"])
+
+    return ask
+
+
+def _count_pairs(least: int):
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Tells each chunk which of its pairs the whole corpus has often enough.
+
+        Two pairs with one hash in a bucket may pass together; what passes is counted exactly later.
+        """
+        asked = [unpack(d) for d in rows["data"]]
+        codes = [np.cumsum(a[0], dtype="u4") for a in asked]
+        known, at = np.unique(np.concatenate(codes), return_inverse=True)
+        good = np.bincount(at, weights=np.concatenate([a[1] for a in asked])) >= least
+        out, low = [], 0
+        for chunk, own in zip(rows["chunk"], codes, strict=True):
+            often = own[good[at[low : low + len(own)]]].astype("u8") | (np.uint64(key[0]) << _TOP)
+            low += len(own)
+            if len(often):
+                out.append((-1, chunk, pack(often)))
+        return pd.DataFrame(out, columns=["bucket", "chunk", "data"])
+
+    return count
+
+
 def _contexts(hashes: np.ndarray, owner: np.ndarray, often: np.ndarray):
-    """For every length k: (places that follow a context of k frequent words of one text, its hash)."""
-    place, context = np.arange(len(hashes)), np.zeros(len(hashes), "u8")
+    """For every length k: (places that follow a context of k words of one text, its hash).
+
+    The caller may send back a mask of the places that are worth a longer context.
+    """
+    place = np.flatnonzero(_follows(owner) & np.concatenate([[False], often[:-1]])[: len(often)])
+    context = mixed(hashes[place - 1])
     for k in range(1, DEPTH + 1):
-        fits = place >= k
+        on = yield k, place, context
+        if on is not None:
+            place, context = place[on], context[on]
+        fits = place > k
         place, context = place[fits], context[fits]
-        same = (owner[place - k] == owner[place]) & often[place - k]
+        same = owner[place - k - 1] == owner[place]
         place, context = place[same], context[same]
-        context = mixed(context ^ hashes[place - k])
-        yield k, place, context
+        context = mixed(context ^ hashes[place - k - 1])
 
 
 def _ask_contexts(buckets: int, least: int):
@@ -113,18 +168,25 @@ def _ask_contexts(buckets: int, least: int):
         out = []
         if len(rows):
             hashes, owner, training = _chunk_tokens(rows)
-            counts = _counts_of(hashes, told)
+            pairs = told["bucket"] < 0
+            counts = _counts_of(hashes, told[~pairs])
             keep = training[owner]
             hashes, owner, counts = hashes[keep], owner[keep], counts[keep]
-            often = counts >= least
+            known = np.concatenate([np.zeros(0, "u8"), *(unpack(d)[0] for d in told["data"][pairs])])
+            linked = _follows(owner) & np.isin(_pair_codes(hashes, buckets), known)
             shorter = np.zeros(len(hashes), "u8")
-            for k, place, context in _contexts(hashes, owner, often):
+            walk = _contexts(hashes, owner, counts >= least)
+            step = next(walk, None)
+            while step:
+                k, place, context = step
+                # A longer context needs its own pairs to be frequent.
+                step_on = linked[place - k]
                 order = np.argsort(context)
                 states, first, total = np.unique(context[order], return_index=True, return_counts=True)
                 parent = shorter[place[order[first]]]
                 shorter = np.zeros(len(hashes), "u8")
                 shorter[place] = context
-                listed = often[place]
+                listed = linked[place]
                 state_at = np.searchsorted(states, context[listed])
                 following = hashes[place[listed]]
                 order = np.lexsort((following, state_at))
@@ -137,6 +199,7 @@ def _ask_contexts(buckets: int, least: int):
                     x, y = np.searchsorted(state_at, [a, b])
                     entries = ((state_at[x:y] - a).astype("u4"), following[x:y], single[x:y], number[x:y].astype("u4"))
                     out.append((bucket[a], pack(np.array([k]), steps(states[a:b]), parent[a:b], total[a:b].astype("u4"), *entries)))
+                step = next(walk, None) if k == DEPTH else walk.send(step_on)
         return pd.DataFrame(out, columns=["bucket", "data"])
 
     return ask
@@ -185,10 +248,10 @@ class Tree:
 
     def probabilities(self, hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
         p = self.root(counts.astype("f8"))
-        for k, place, context in _contexts(hashes, owner, counts >= self.least):
-            states, entries = self.states[k - 1], self.entries[k - 1]
-            if not len(states):
-                continue
+        walk = _contexts(hashes, owner, counts >= self.least)
+        k, place, context = next(walk)
+        while len(states := self.states[k - 1]):
+            entries = self.entries[k - 1]
             at = np.minimum(np.searchsorted(states, context), len(states) - 1)
             inside = states[at] == context
             place, context, at = place[inside], context[inside], at[inside]
@@ -198,6 +261,9 @@ class Tree:
                 e = np.minimum(np.searchsorted(entries, entry), len(entries) - 1)
                 own = np.where(entries[e] == entry, self.gains[k - 1][e], 0.0)
             p[place] = own + self.spare[k - 1][at] * p[place]
+            if k == DEPTH:
+                break
+            k, place, context = walk.send(inside)
         return p
 
 
@@ -207,8 +273,8 @@ def build_tree(found: list[tuple[int, bytes]], n: int, v: int, least: int) -> Tr
     A context's listed next words are compared with what its longest kept shorter state gives
     them; the gain over all its occurrences has to exceed what state and entries cost.
     """
-    states, spare, entries, gains = [], [], [], []
-    # Probability of (context, next word) in the state kept for it, of the length before.
+    states, spare, entries, gains, parents = [], [], [], [], []
+    kept_chain, candidates = None, []
     for k in range(1, DEPTH + 1):
         parts = [unpack(d) for length, d in found if length == k]
         if not parts:
@@ -216,14 +282,15 @@ def build_tree(found: list[tuple[int, bytes]], n: int, v: int, least: int) -> Tr
                 x.append(np.zeros(0, "u8"))
             for x in (spare, gains):
                 x.append(np.zeros(0))
+            parents.append(np.zeros(0, "u8"))
+            candidates.append((np.zeros(0, "u8"), np.zeros(0, "u8")))
             continue
         shift = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
         state, parent, total = (np.concatenate([p[i] for p in parts]) for i in range(3))
         of = np.concatenate([p[3] + s for p, s in zip(parts, shift, strict=True)])
         following, single, number = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
         below = (single + 1.0) / (n + v + 1)
-        if k > 1:
-            below = _below(parent[of], following, below, kept_chain)
+        below = _below(parent[of], following, below, kept_chain)
         own = np.maximum(number - DISCOUNT, 0) / total[of]
         left = 1 - np.bincount(of, weights=own, minlength=len(state))
         inside = own + left[of] * below
@@ -235,16 +302,31 @@ def build_tree(found: list[tuple[int, bytes]], n: int, v: int, least: int) -> Tr
         order = np.flatnonzero(keep)[np.argsort(state[keep])]
         states.append(state[order])
         spare.append(left[order])
+        parents.append(parent[order])
         entry, use = mixed(state[of] ^ following), keep[of]
         order = np.argsort(entry[use])
         entries.append(entry[use][order])
         gains.append(own[use][order])
+        by_state = np.argsort(state)
+        candidates.append((state[by_state], parent[by_state]))
         # For the next length: what every candidate context of this one gives, kept or not.
-        by_entry, by_state = np.argsort(entry), np.argsort(state)
+        by_entry = np.argsort(entry)
         kept_chain = (
             state[by_state], keep[by_state], left[by_state], parent[by_state],
-            entry[by_entry], own[by_entry], kept_chain if k > 1 else None,
+            entry[by_entry], own[by_entry], kept_chain,
         )
+    # The shorter ends of a state are states too, if need be without a distribution of their own,
+    # so that a search can stop where nothing is found.
+    for k in range(DEPTH - 1, 0, -1):
+        missing = np.setdiff1d(parents[k], states[k - 1])
+        if not len(missing):
+            continue
+        ends = candidates[k - 1]
+        above = ends[1][np.searchsorted(ends[0], missing)]
+        order = np.argsort(np.concatenate([states[k - 1], missing]))
+        states[k - 1] = np.concatenate([states[k - 1], missing])[order]
+        spare[k - 1] = np.concatenate([spare[k - 1], np.ones(len(missing))])[order]
+        parents[k - 1] = np.concatenate([parents[k - 1], above])
     return Tree(n, v, least, tuple(states), tuple(spare), tuple(entries), tuple(gains))
 
 
@@ -268,7 +350,7 @@ def _score(tree):
         counts = _counts_of(hashes, told)
         n = len(rows)
         logs = [np.log10(p) for p in (tree.value.root(counts.astype("f8")), tree.value.probabilities(hashes, owner, counts))]
-        found = pd.DataFrame({
+        return pd.DataFrame({
             "doc_id": rows["doc_id"],
             "held_out": ~training,
             "n_tokens": np.bincount(owner, minlength=n),
@@ -277,7 +359,6 @@ def _score(tree):
             "base_score": np.bincount(owner, weights=logs[0], minlength=n),
             "score": np.bincount(owner, weights=logs[1], minlength=n),
         })
-        return found.astype({"doc_id": "Int64"})
 
     return score
 
@@ -306,8 +387,13 @@ def score(documents: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     sums = answers.where("chunk < 0").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     n, v = sums.n or 0, sums.v or 0
     least = max(LEAST_COUNT, math.ceil(least_share * n))
-    told = answers.where("chunk >= 0").select("bucket", "chunk", "data").groupBy("chunk")
-    contexts = chunks.cogroup(told).applyInPandas(_ask_contexts(buckets, least), "bucket long, data binary")
+    words = answers.where("chunk >= 0").select("bucket", "chunk", "data")
+    told = words.groupBy("chunk")
+    message = "bucket long, chunk long, data binary"
+    pairs = chunks.cogroup(told).applyInPandas(_ask_pairs(buckets, least), message)
+    often = pairs.groupBy("bucket").applyInPandas(_count_pairs(least), message)
+    both = words.unionByName(often).groupBy("chunk")
+    contexts = chunks.cogroup(both).applyInPandas(_ask_contexts(buckets, least), "bucket long, data binary")
     found = contexts.groupBy("bucket").applyInPandas(_count_contexts(least), "k int, data binary").collect()
     tree = spark.sparkContext.broadcast(build_tree([(r.k, r.data) for r in found], n, v, least))
-    return chunks.cogroup(told).applyInPandas(_score(tree), RESULT)
+    return with_null_ids(chunks.cogroup(told).applyInPandas(_score(tree), RESULT))
