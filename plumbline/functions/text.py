@@ -19,10 +19,10 @@ DATE_PATTERNS = (
 )
 CURRENCY_NOISE = r"[$€£¥,\s]"
 PLAIN_NUMBER = r"^-?\d+(\.\d+)?$"
-LEGAL_SUFFIXES = (
-    "inc incorporated llc ltd limited corp corporation co company "
-    "lp llp plc gmbh ag sa sas bv nv pty pvt"
-).split()
+LEGAL_SUFFIX = (
+    r"\b(inc|incorporated|llc|ltd|limited|corp|corporation|co|company|"
+    r"lp|llp|plc|gmbh|ag|sa|sas|bv|nv|pty|pvt)\b$"
+)
 SIGNAL_NAME_HINTS = {
     "name": r"(name|vendor|supplier|customer|company|entity)",
     "tax_id": r"(tax.?id|ein|tin|fein|vat|abn|gst)",
@@ -110,8 +110,7 @@ def norm_generic(value: Column) -> Column:
 
 def norm_name(value: Column) -> Column:
     """Generic form without one trailing legal suffix."""
-    suffix = rf"(?U)\b({'|'.join(LEGAL_SUFFIXES)})\b$"
-    return strip(F.regexp_replace(norm_generic(value), suffix, ""))
+    return strip(F.regexp_replace(norm_generic(value), "(?U)" + LEGAL_SUFFIX, ""))
 
 
 def norm_tax_id(value: Column) -> Column:

@@ -13,6 +13,14 @@ from plumbline.functions.text import amount_cleaned
 TIMESTAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d")
 
 
+# No text stands for these, so nothing but clearing writes to them.
+NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
+
+
+def nested_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, NESTED)]
+
+
 def to_timestamp(text: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
     tries = [text.try_cast("timestamp")]
     tries += [F.try_to_timestamp(text, F.lit(f)) for f in formats]
@@ -26,6 +34,8 @@ def fit(value: Column, kind: T.DataType) -> Column:
     """
     if isinstance(kind, T.StringType):
         return value
+    if isinstance(kind, NESTED):
+        return F.lit(None).cast(kind)
     if isinstance(kind, T.IntegralType):
         number = amount_cleaned(value).try_cast("double")
         whole = F.coalesce(amount_cleaned(value).try_cast(kind), number.try_cast(kind))

@@ -42,8 +42,7 @@ def completeness_tests(df: DataFrame, required: list[str] | None = None) -> list
 
     def describe(name: str):
         return lambda m: F.format_string(
-            f"Column '{name}' is missing or blank in %d row(s) (%.1f%% of the dataset). "
-            "This field should be populated for all records.",
+            f"'{name}' has no value in %d row(s), %.1f%% of all.",
             m["n"],
             m["n"] * 100 / m["total"],
         )
@@ -56,8 +55,7 @@ def completeness_tests(df: DataFrame, required: list[str] | None = None) -> list
             failing=missing(df, c),
             severity=severity_of_share,
             description=describe(c.replace("%", "%%")),
-            rationale="Missing values cannot be filled automatically; "
-            "an analyst must supply the correct value.",
+            rationale="Nothing in the table says what belongs here.",
             samples=10,
         )
         for c in columns

@@ -58,13 +58,11 @@ def format_tests(df: DataFrame, date_formats: list[str] | None = None) -> list[R
                     column=c,
                     failing=text.amount_is_dirty(cell),
                     description=lambda m, name=name: F.format_string(
-                        f"Column '{name}' looks like an amount, but %d row(s) contain currency "
-                        "symbols, commas or other non-numeric characters (e.g. '$1,500.00'). "
-                        "Clean them to plain numbers before loading.",
+                        f"By its name '{name}' holds amounts; %d row(s) are not written as plain numbers.",
                         m["n"],
                     ),
-                    rationale="Strip currency symbols and commas. Review before approving: "
-                    "some entries may be non-numeric for a good reason.",
+                    rationale="The fix removes signs and separators around digits; a text without a "
+                    "number stays as it is.",
                     confidence=0.90,
                     action=Action.SET_VALUE,
                     canonical_value=AMOUNT_PLACEHOLDER,
@@ -78,13 +76,10 @@ def format_tests(df: DataFrame, date_formats: list[str] | None = None) -> list[R
                     column=c,
                     failing=unreadable_date(cell, date_formats),
                     description=lambda m, name=name: F.format_string(
-                        f"Column '{name}' looks like a date, but %d row(s) contain values that "
-                        "cannot be read as one. Mixed formats or free text will break date "
-                        "calculations downstream.",
+                        f"By its name '{name}' holds dates; %d row(s) match no known way to write one.",
                         m["n"],
                     ),
-                    rationale="Converting ambiguous dates could swap day and month silently. "
-                    "Review and standardise to YYYY-MM-DD.",
+                    rationale="Which number is the day is a guess; someone who knows the source decides.",
                     confidence=0.85,
                 )
             )

@@ -171,8 +171,7 @@ def _check_column(df, dataset_id, column, block_rows) -> Findings | None:
         .alias("severity"),
         F.round(F.col("score") / 100, 4).alias("confidence"),
         F.format_string(
-            f"Column '{name}': '%s' and '%s' appear to be the same entity "
-            "(similarity: %.0f/100). Suggested canonical value: '%s'.",
+            f"Two spellings in '{name}' are close: '%s' and '%s' score %.0f; the fuller form is '%s'.",
             "a",
             "b",
             "score",
@@ -189,16 +188,14 @@ def _check_column(df, dataset_id, column, block_rows) -> Findings | None:
         F.when(
             F.col("merge"),
             F.format_string(
-                "Similarity score %.0f/100 strongly suggests one entity. "
-                "Proposed canonical form: '%s'.",
+                "A score of %.0f is enough to write both as '%s'.",
                 "score",
                 "canonical",
             ),
         )
         .otherwise(
             F.format_string(
-                "Similarity score %.0f/100 is above the detection threshold but below the "
-                f"merge threshold ({FUZZY_HIGH}). Human review required.",
+                f"A score of %.0f is too low to merge unseen (from {FUZZY_HIGH}).",
                 "score",
             )
         )

@@ -8,14 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import ROW_ID, Category, Findings, Role, Severity, findings, issue_id
+from plumbline.operators.cells import fit
 from plumbline.operators.completeness import data_columns
 from plumbline.operators.samples import sample_values
 from plumbline.skew import HOT_ROWS, join_counted
 
-# Longer in-memory sets become a table, so that plans carry no huge literal lists.
-MAX_LITERALS = 1000
-
-
 def bad_values(df: DataFrame, column: str, reference: DataFrame | Iterable) -> DataFrame:
     """(value, n, first_row): distinct non-null values outside the reference.
 
@@ -29,11 +26,11 @@ def bad_values(df: DataFrame, column: str, reference: DataFrame | Iterable) -> D
         .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
     )
     if not isinstance(reference, DataFrame):
-        known = [v for v in reference if v is not None]
-        if len(known) <= MAX_LITERALS:
-            return values.where(~F.col("value").isin(known)) if known else values
-        kind = df.schema[column].dataType.simpleString()
-        reference = df.sparkSession.createDataFrame([(v,) for v in known], f"value {kind}")
+        # As text and cast by Spark: a set of whole numbers serves a column of doubles. What has no
+        # form in the column's type equals none of its values.
+        known = [(str(v),) for v in reference if v is not None]
+        listed = df.sparkSession.createDataFrame(known, "value string")
+        reference = listed.select(fit(F.col("value"), df.schema[column].dataType).alias("value"))
     reference = reference.toDF("value").where(F.col("value").isNotNull())
     return values.join(reference, "value", "left_anti")
 
@@ -71,7 +68,7 @@ def _check_column(df, dataset_id, column, reference, hot_rows) -> Findings:
     text = (
         f"Column '{column}' contains ".replace("%", "%%")
         + "%d value(s) not found in the reference set. Invalid values: [%s%s]. "
-        "These records will fail validation in the target system."
+        "A lookup of these rows would find nothing."
     )
     issues = issue.select(
         "issue_id",

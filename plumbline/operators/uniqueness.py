@@ -70,8 +70,7 @@ def check_uniqueness(
         F.lit(Severity.HIGH.value).alias("severity"),
         F.lit(1.0).alias("confidence"),
         F.format_string(
-            "%d rows are exact duplicates of each other. Recommend retaining row %d and "
-            "removing the others.",
+            "A group of %d rows has equal values in every column; row %d comes first.",
             "n",
             "retain_id",
         ).alias("description"),
@@ -80,7 +79,7 @@ def check_uniqueness(
         F.array("first_value").alias("sample_values"),
         F.lit(Action.MERGE_ROWS.value).alias("action_type"),
         F.format_string(
-            "All %d rows are identical. Row %d is retained; the others are removed.",
+            "One of %d equal rows is enough; the fix keeps row %d.",
             "n",
             "retain_id",
         ).alias("rationale"),

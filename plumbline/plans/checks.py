@@ -134,13 +134,12 @@ def system_issue(df: DataFrame, dataset_id: str, category: Category, error: str)
         F.lit(Severity.LOW.value).alias("severity"),
         F.lit(1.0).alias("confidence"),
         F.lit(
-            f"The {category.value} check hit an internal error and could not complete. "
-            f"Error: {error[:200]}. Other checks ran normally."
+            f"{category.value} was not checked; the other categories were. Spark says: {error[:200]}"
         ).alias("description"),
         F.array().cast("array<string>").alias("affected_columns"),
         F.lit(0).cast("long").alias("affected_row_count"),
         F.lit("FLAG_ONLY").alias("action_type"),
-        F.lit("Internal check error; no automatic action is possible.").alias("rationale"),
+        F.lit("The check itself has to be mended.").alias("rationale"),
     )
     return findings(one, spark.createDataFrame([], ISSUE_ROWS))
 
@@ -163,11 +162,9 @@ def report_by_category(issues: DataFrame) -> DataFrame:
 def summary_text(issues: DataFrame, dataset_id: str) -> str:
     """The report as text; only the totals come to the driver."""
     totals = report(issues).first()
-    lines = [
-        f"DQ check complete for dataset {dataset_id}.",
-        f"Found {totals.total_count} issue(s): {totals.critical_count} CRITICAL, "
-        f"{totals.high_count} HIGH, {totals.medium_count} MEDIUM, {totals.low_count} LOW.",
-    ]
+    levels = [(s.value, totals[f"{s.value.lower()}_count"]) for s in reversed(Severity)]
     by_category = report_by_category(issues).collect()  # at most eight rows
-    lines += [f"  {r.category}: {r.issues} issue(s)" for r in by_category]
-    return "\n".join(lines)
+    parts = [f"{dataset_id}: {totals.total_count} findings"]
+    parts += [f"{name.lower()} {n}" for name, n in levels if n]
+    parts += [f"{r.category.lower()} {r.issues}" for r in by_category]
+    return "; ".join(parts)

@@ -28,9 +28,9 @@ from plumbline.model import (
     conform,
     plan_time,
 )
-from plumbline.operators.cells import fit, retype
+from plumbline.operators.cells import fit, nested_columns, retype
 from plumbline.operators.merges import effective_merges
-from plumbline.skew import join_counted
+from plumbline.skew import join_counted, with_row_counts
 
 _PHASE = {
     Action.RETYPE_COLUMN.value: 1,
@@ -69,7 +69,7 @@ def execute_approved(
     now = plan_time() if at is None else at
     if "seq" not in issues.columns:
         issues = issues.withColumn("seq", F.lit(0).cast("long"))
-    issues = materialise(issues, "issues")
+    issues = materialise(with_row_counts(issues, issue_rows, "_rows"), "issues")
     chosen = issues if only is None else issues.where(F.col("issue_id").isin(only))
     flag_only = F.coalesce(F.col("action_type"), F.lit("NONE")).isin("NONE", Action.FLAG_ONLY.value)
     approved = F.col("status") == Status.APPROVED.value
@@ -77,27 +77,31 @@ def execute_approved(
     refused = chosen.where(~approved | flag_only) if only is not None else None
 
     typed, retyped, retype_cells = _retype(df, work)
-    planned = work.where(F.col("action_type") != Action.RETYPE_COLUMN.value).withColumns(
+    merging = work.where(F.col("action_type") == Action.MERGE_ROWS.value).select("issue_id")
+    misfits = _misfits(typed, canonical_values.join(merging, "issue_id", "left_semi"))
+    planned = work.where(F.col("action_type") != Action.RETYPE_COLUMN.value).join(misfits, "issue_id", "left")
+    planned = planned.withColumns(
         {
-            "error": _plan_error(typed),
+            "error": F.coalesce(_plan_error(typed), F.col("misfit")),
             "at": F.struct("seq", "issue_id"),
             "phase": _case(F.col("action_type"), _PHASE),
         }
     )
-    planned = materialise(planned, "planned")
+    planned = materialise(planned.drop("misfit"), "planned")
     good = planned.where("error IS NULL")
     roles = join_counted(
         issue_rows,
-        good.select("issue_id", "action_type", "phase", "at", "affected_row_count"),
+        good.select("issue_id", "action_type", "phase", "at", F.col("_rows").alias("n")),
         "issue_id",
-        "affected_row_count",
+        "n",
         written=True,
     )
     ids = typed.select(F.col(ROW_ID).alias("row_id"))
     roles = materialise(roles.join(ids, "row_id", "left_semi"), "roles")
 
     merge_state, first_gone = _removals(good, roles)
-    events = materialise(_cell_events(good, roles, merge_state, canonical_values), "events")
+    flat_values = canonical_values.where(~F.col("column").isin(nested_columns(typed)))
+    events = materialise(_cell_events(good, roles, merge_state, flat_values), "events")
     cleaned = _apply(typed, events, first_gone)
 
     results = _results(planned, retyped, roles, merge_state, first_gone, refused)
@@ -111,7 +115,7 @@ def execute_approved(
                 "executed_at": F.when(F.col("_done"), now).otherwise(F.col("executed_at")),
             }
         )
-        .drop("_done")
+        .drop("_done", "_rows")
     )
     totals = _totals(issues if only is None else chosen, results)
     audit = _audit(issues, results, actor, actor_role, now)
@@ -147,7 +151,7 @@ def _retype(df: DataFrame, work: DataFrame):
     for change in changes:
         column, error = change.target_column, None
         if not column or not change.target_dtype:
-            error = "RETYPE_COLUMN requires target_column and target_dtype."
+            error = "RETYPE_COLUMN names no target_column or no target_dtype."
         elif column not in columns:
             error = f"Column '{column}' not found."
         else:
@@ -158,15 +162,15 @@ def _retype(df: DataFrame, work: DataFrame):
         if error is None:
             before = df
             df = df.withColumn(column, new)
-            cells.append(_retype_cells(before, df, column, change.issue_id))
+            cells.append(_retype_cells(before, df, column, new, change.issue_id))
         outcome.append((change.issue_id, Action.RETYPE_COLUMN.value, error is None, 0 if error else rows, error))
     return df, outcome, reduce(DataFrame.unionByName, cells) if cells else None
 
 
-def _retype_cells(before: DataFrame, after: DataFrame, column: str, issue: str) -> DataFrame:
+def _retype_cells(before: DataFrame, after: DataFrame, column: str, retyped: Column, issue: str) -> DataFrame:
     """The types and the first three values before and after."""
     old, new = F.col(f"`{column}`").cast("string"), F.col("_new")
-    both = before.withColumn("_new", _expression(after, column))
+    both = before.withColumn("_new", retyped)
     first = both.orderBy(ROW_ID).limit(3).select(
         F.col(ROW_ID).alias("row_id"), old.alias("before"), new.cast("string").alias("after")
     )
@@ -180,10 +184,6 @@ def _retype_cells(before: DataFrame, after: DataFrame, column: str, issue: str)
     )
 
 
-def _expression(after: DataFrame, column: str) -> Column:
-    return F.col(f"`{column}`").try_cast(after.schema[column].dataType)
-
-
 # --- planning ----------------------------------------------------------------------------
 
 
@@ -191,25 +191,46 @@ def _plan_error(df: DataFrame) -> Column:
     """Why an issue cannot run, from its own fields and the table's columns."""
     action, column, value = F.col("action_type"), F.col("target_column"), F.col("canonical_value")
     kinds = {f.name: f.dataType for f in df.schema if f.name != ROW_ID}
-    fits = F.lit(True)
-    for name, kind in kinds.items():
-        if not isinstance(kind, T.StringType):
-            fits = F.when(column == name, fit(value, kind).isNotNull()).otherwise(fits)
+    fits = _fits(df, column, value)
+    given = action.isin(Action.SET_VALUE.value, Action.MERGE_ROWS.value) & column.isNotNull() & value.isNotNull()
     cell_action = action.isin(Action.SET_VALUE.value, Action.CLEAR_VALUE.value)
     return (
-        F.when(~action.isin(list(_PHASE)), F.concat(F.lit("Unsupported action_type: "), action))
-        .when(cell_action & column.isNull(), F.concat(action, F.lit(" requires target_column.")))
+        F.when(~action.isin(list(_PHASE)), F.concat(F.lit("No such fix: "), action))
+        .when(cell_action & column.isNull(), F.concat(action, F.lit(" names no target_column.")))
         .when(
             cell_action & ~column.isin(list(kinds)),
             F.concat(F.lit("Column '"), column, F.lit("' not found.")),
         )
         .when(
-            (action == Action.SET_VALUE.value) & value.isNotNull() & ~fits,
-            F.concat(F.lit("Value '"), value, F.lit("' does not fit column '"), column, F.lit("'.")),
+            given & ~fits,
+            _misfit_text(column, value),
         )
     )
 
 
+def _fits(df: DataFrame, column: Column, value: Column) -> Column:
+    """Whether a text value fits the column it names; unknown columns take anything."""
+    fits = F.lit(True)
+    for field in df.schema:
+        if field.name != ROW_ID and not isinstance(field.dataType, T.StringType):
+            fits = F.when(column == field.name, fit(value, field.dataType).isNotNull()).otherwise(fits)
+    return fits | (value == AMOUNT_PLACEHOLDER)
+
+
+def _misfit_text(column: Column, value: Column) -> Column:
+    return F.concat(F.lit("Value '"), value, F.lit("' does not fit column '"), column, F.lit("'."))
+
+
+def _misfits(df: DataFrame, canonical_values: DataFrame) -> DataFrame:
+    """(issue_id, misfit): merges whose record has a value that its column cannot hold.
+
+    Nested columns are left out: a merge keeps the retained row's cell there.
+    """
+    column, value = F.col("column"), F.col("value")
+    odd = canonical_values.where(value.isNotNull() & ~column.isin(nested_columns(df)) & ~_fits(df, column, value))
+    return odd.groupBy("issue_id").agg(F.min(_misfit_text(column, value)).alias("misfit"))
+
+
 def _removals(good: DataFrame, roles: DataFrame):
     """Merge outcomes, and per removed row the first action that removed it."""
     merges = good.where(F.col("action_type") == Action.MERGE_ROWS.value)
@@ -221,7 +242,7 @@ def _removals(good: DataFrame, roles: DataFrame):
         "at",
         "target_column",
         "canonical_value",
-        F.col("affected_row_count").alias("n"),
+        F.col("_rows").alias("n"),
     ).join(keep, "issue_id")
     retired = roles.where(F.col("role") == Role.RETIRE.value)
     state = effective_merges(
@@ -259,7 +280,7 @@ def _cell_events(good, roles, merge_state, canonical_values) -> DataFrame:
         "issue_id",
         F.col("target_column").alias("column"),
         F.when(F.col("action_type") == Action.SET_VALUE.value, F.col("canonical_value")).alias("value"),
-        F.col("affected_row_count").alias("n"),
+        F.col("_rows").alias("n"),
     )
     targets = roles.where(F.col("role") == Role.TARGET.value).select("issue_id", "row_id", "phase", "at")
     direct = join_counted(targets, plans, "issue_id", "n", written=True).drop("n")

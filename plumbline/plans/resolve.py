@@ -159,8 +159,7 @@ def _cluster_findings(df, dataset_id, clusters, roles) -> Findings:
         F.when(high, Severity.HIGH.value).otherwise(Severity.MEDIUM.value).alias("severity"),
         "confidence",
         F.format_string(
-            "Entity resolution found %d record(s) that likely represent the same real-world "
-            "entity (confidence: %.0f%%). Evidence: %s. Proposed canonical row: %d.",
+            "%d records look like one (confidence %.0f%%): %s. Row %d has the most values.",
             "size",
             percent,
             "evidence_summary",
@@ -172,16 +171,14 @@ def _cluster_findings(df, dataset_id, clusters, roles) -> Findings:
         F.when(
             high,
             F.format_string(
-                f"Confidence %.0f%% exceeds the merge threshold ({CLUSTER_HIGH * 100:.0f}%%). "
-                "Row %d elected as canonical.",
+                f"From {CLUSTER_HIGH * 100:.0f}%% on records merge; at %.0f%% these go into row %d.",
                 percent,
                 "retain_id",
             ),
         )
         .otherwise(
             F.format_string(
-                f"Confidence %.0f%% is above the detection threshold ({CLUSTER_LOW * 100:.0f}%%) but "
-                f"below the merge threshold ({CLUSTER_HIGH * 100:.0f}%%). Human review required.",
+                f"%.0f%% lies between {CLUSTER_LOW * 100:.0f}%% and {CLUSTER_HIGH * 100:.0f}%%: someone has to look.",
                 percent,
             )
         )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import Severity, Status
-from plumbline.skew import join_counted
+from plumbline.skew import join_counted, with_row_counts
 
 _SERIOUS = ("HIGH", "CRITICAL")
 
@@ -14,13 +14,12 @@ _SERIOUS = ("HIGH", "CRITICAL")
 def _row_categories(issues: DataFrame, issue_rows: DataFrame) -> DataFrame:
     """(category, row_id, serious): distinct affected rows per category.
 
-    Issues know how many rows they have, so one that covers a third of the table is joined
-    without shuffling its rows.
+    Rows are counted per issue first, so one that covers a third of the table is joined without
+    shuffling its rows.
     """
-    kinds = issues.select(
-        "issue_id", "category", "affected_row_count", F.col("severity").isin(*_SERIOUS).alias("serious")
-    )
-    rows = join_counted(issue_rows.select("issue_id", "row_id"), kinds, "issue_id", "affected_row_count")
+    kinds = issues.select("issue_id", "category", F.col("severity").isin(*_SERIOUS).alias("serious"))
+    kinds = with_row_counts(kinds, issue_rows, "n")
+    rows = join_counted(issue_rows.select("issue_id", "row_id"), kinds, "issue_id", "n")
     return rows.groupBy("row_id", "category").agg(F.max("serious").alias("serious"))
 
 
@@ -56,28 +55,16 @@ def score_colour(score: Column) -> Column:
 
 
 def interpretation(score: Column, bad: Column, total: Column) -> Column:
-    whole = F.format_string("%.0f", score)
-    share = F.format_string("%.0f", bad * 100 / F.greatest(total, F.lit(1)))
-    return (
-        F.when(
-            score >= 95,
-            F.concat(F.lit("Score "), whole, F.lit("/100: excellent. Ready for downstream use with minimal risk.")),
-        )
-        .when(
-            score >= 80,
-            F.concat(F.lit("Score "), whole, F.lit("/100: good, with "), bad.cast("string"),
-                     F.lit(" row(s) that have HIGH or CRITICAL findings to address.")),
-        )
-        .when(
-            score >= 60,
-            F.concat(F.lit("Score "), whole, F.lit("/100: needs attention. "), bad.cast("string"), F.lit(" row(s) ("),
-                     share, F.lit("%) have significant issues.")),
-        )
-        .otherwise(
-            F.concat(F.lit("Score "), whole, F.lit("/100: critical. "), bad.cast("string"), F.lit(" of "),
-                     total.cast("string"), F.lit(" rows have HIGH or CRITICAL issues. Do not load downstream."))
-        )
+    """What the score means for whoever loads the table next."""
+    share = bad * 100 / F.greatest(total, F.lit(1))
+    rows = F.format_string("%d row(s) (%.0f%%)", bad.cast("long"), share.cast("double"))
+    verdict = (
+        F.when(score >= 95, F.lit("safe to load"))
+        .when(score >= 80, F.concat(F.lit("loadable once someone has looked at "), rows))
+        .when(score >= 60, F.concat(F.lit("repair first; serious findings touch "), rows))
+        .otherwise(F.concat(F.lit("keep out of other systems; serious findings touch "), rows))
     )
+    return F.concat(F.format_string("%.0f of 100 points: ", score), verdict, F.lit("."))
 
 
 def confidence_band(confidence: Column) -> Column:

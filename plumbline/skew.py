@@ -24,12 +24,19 @@ def join_counted(
     Rows of hot groups meet a broadcast of the few hot groups and are not shuffled;
     all other groups hold fewer than ``hot_rows`` rows and go through a shuffle join.
     A ``total`` of all rows below ``hot_rows``, or a look at ``groups`` where that is a
-    ``written`` table, can show that no group is hot, and then the plain join is enough.
+    ``written`` table, can show that no group is hot, and then the plain join is enough. A group with a null
+    count is joined like a small one.
     """
     hot = groups.where(F.col(count) >= hot_rows)
     if (total is not None and total < hot_rows) or (written and not hot.take(1)):
         return rows.join(groups, on)
-    cold = groups.where(F.col(count) < hot_rows)
+    cold = groups.where(F.coalesce(F.col(count) < hot_rows, F.lit(True)))
     from_hot = rows.join(F.broadcast(hot), on)
     from_cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
     return from_hot.unionByName(from_cold)
+
+
+def with_row_counts(issues: DataFrame, issue_rows: DataFrame, name: str) -> DataFrame:
+    """``issues`` with the number of rows that each really has, whatever it declares."""
+    sizes = issue_rows.groupBy("issue_id").agg(F.count(F.lit(1)).alias(name))
+    return issues.join(sizes, "issue_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))

@@ -51,14 +51,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: str | None = None, text_columns: list[str] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str | None = None,
+    text_columns: list[str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A CSV with header. Missing-value tokens become null before types are inferred.
 
     ``schema`` skips inference altogether, as a large input should. ``text_columns`` stay text,
-    which keeps the leading zeros of codes.
+    which keeps the leading zeros of codes. Quoted cells may hold line breaks; where none does,
+    ``multi_line=False`` lets Spark split large files.
     """
-    raw = spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     names = raw.columns
     cells = {
         c: F.when(~F.col(f"`{c}`").isin(*MISSING_TOKENS), F.col(f"`{c}`")) for c in names
@@ -105,6 +110,7 @@ def ingest_file(
     text_columns: list[str] | None = None,
     key: str | None = None,
     max_rows: int | None = None,
+    multi_line: bool = True,
 ) -> Ingested:
     """Read a file into a table with row ids. Failures are results, not exceptions."""
     name = os.path.basename(path.rstrip("/"))
@@ -115,7 +121,7 @@ def ingest_file(
         if not _exists(spark, path):
             return Ingested(False, error=f"File not found: {path}")
         if extension.lower() == ".csv":
-            df = read_csv(spark, path, schema, text_columns)
+            df = read_csv(spark, path, schema, text_columns, multi_line)
         else:
             df = spark.read.parquet(path)
         problem = too_many_rows(df, name, max_rows)

@@ -77,7 +77,8 @@ def export_file(
 ) -> Exported:
     """Write to a new folder of CSV or parquet part files, columns in their order.
 
-    The write is parallel; ``errorifexists`` leaves an existing output untouched.
+    Cells keep their blanks and line breaks; in CSV a null is an empty cell and an empty text a
+    quoted one. The write is parallel; ``errorifexists`` leaves an existing output untouched.
     """
     error = _refusal(meta, "FILE")
     if error:
@@ -93,7 +94,8 @@ def export_file(
         if kind == "parquet":
             writer.parquet(path)
         else:
-            writer.option("header", True).option("escape", '"').csv(path)
+            keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+            writer.options(header=True, escape='"', **keep).csv(path)
         rows = _written_rows(df.sparkSession, path, kind)
     except PySparkException as failure:
         return _finish(df, meta, "FILE", actor, error=f"Failed to write output file '{path}': {failure}")

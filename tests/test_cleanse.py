@@ -71,10 +71,10 @@ def test_set_on_no_existing_row_succeeds(spark):
 @pytest.mark.parametrize(
     "bad,word",
     [
-        (("SET_VALUE", None, "1"), "requires target_column"),
+        (("SET_VALUE", None, "1"), "names no target_column"),
         (("SET_VALUE", "nope", "1"), "not found"),
         (("SET_VALUE", "amount", "abc"), "does not fit"),
-        (("EXPLODE", "amount", "1"), "Unsupported"),
+        (("EXPLODE", "amount", "1"), "No such fix"),
     ],
 )
 def test_failures_do_not_stop_the_rest(spark, bad, word):
