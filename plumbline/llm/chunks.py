@@ -1,7 +1,7 @@
 """Documents in chunks that ask for what the rest of the corpus knows.
 
 Operators that need corpus-wide counts of very many small things (windows, words) work on chunks
-of a few hundred documents. A chunk sends each bucket of the key space one packed array; the
+of some two thousand documents. A chunk sends each bucket of the key space one packed array; the
 bucket's task answers with one packed array per chunk; the answers meet the chunk again. Chunks
 are rows of a table that is bucketed by chunk, so the texts themselves are not shuffled.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 # Stands for a null doc_id, which would turn a group's ids into floating-point numbers.
 NO_ID = -(1 << 63)
-CHUNK_ROWS = 512
+CHUNK_ROWS = 2048
 BUCKET_BYTES = 8 << 20
 
 

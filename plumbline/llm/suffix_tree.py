@@ -33,7 +33,6 @@ DISCOUNT = 0.75
 # Nats that a state must gain for each of its entries, and for itself.
 ENTRY_COST, STATE_COST = 2.0, 5.0
 FOLDS, HELD_OUT = 7, 2
-CHUNK_ROWS = 2048
 
 _TOP = np.uint64(32)
 
@@ -374,7 +373,7 @@ def score(documents: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     trains, all words are unknown.
     """
     spark = documents.sparkSession
-    table, buckets = chunked(documents, chunk_rows=CHUNK_ROWS)
+    table, buckets = chunked(documents)
     table = table.drop("batch")
     chunks = table.groupBy("chunk")
     asked = chunks.applyInPandas(_ask_words(buckets), "bucket long, chunk long, data binary")
