@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.durable import materialise
 from plumbline.model import ROW_ID, Category, Findings, Role, Severity, findings, issue_id
 from plumbline.operators.cells import fit
 from plumbline.operators.completeness import data_columns
@@ -50,10 +51,10 @@ def check_reference(
 
 
 def _check_column(df, dataset_id, column, reference, hot_rows) -> Findings:
-    bad = bad_values(df, column, reference)
+    bad = materialise(bad_values(df, column, reference), "bad-values")  # read four times
     key = issue_id(dataset_id, Category.REFERENTIAL_INTEGRITY, column)
     rows = df.select(F.col(f"`{column}`").alias("value"), F.col(ROW_ID).alias("row_id"))
-    members = join_counted(rows, bad.select("value", "n"), "value", "n", hot_rows).select(
+    members = join_counted(rows, bad.select("value", "n"), "value", "n", hot_rows, written=True).select(
         key.alias("issue_id"), "row_id", F.col("value").cast("string").alias("value")
     )
     totals = bad.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 0")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.durable import materialise
 from plumbline.model import ROW_ID, Action, Category, Findings, Role, Severity, findings, issue_id
 from plumbline.operators.completeness import data_columns
 from plumbline.skew import HOT_ROWS, join_counted
@@ -35,19 +36,27 @@ def row_digest(df: DataFrame, columns: list[str]) -> Column:
 
 
 def duplicate_groups(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(digest, row_id) of all rows, and (digest, n, retain_id) of groups with n > 1.
+    """(digest, row_id) of all rows, and (digest, n, retain_id, first_value) of groups with n > 1.
+
+    ``first_value`` is the first column's value, which all rows of a group share.
 
     The aggregation combines copies in the map tasks, so a group that holds a third of the
     table sends one row per task.
     """
     columns = columns or data_columns(df)
-    keyed = df.select(row_digest(df, columns).alias("digest"), F.col(ROW_ID).alias("row_id"))
+    digest = row_digest(df, columns).alias("digest")
+    first = plain_cell(df, columns[0]).alias("first_value")
+    keyed = df.select(digest, F.col(ROW_ID).alias("row_id"), first)
     groups = (
         keyed.groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("retain_id"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("row_id").alias("retain_id"),
+            F.min("first_value").alias("first_value"),
+        )
         .where("n > 1")
     )
-    return keyed, groups
+    return keyed.drop("first_value"), groups
 
 
 def check_uniqueness(
@@ -58,12 +67,9 @@ def check_uniqueness(
 ) -> Findings:
     columns = columns or data_columns(df)
     rows, groups = duplicate_groups(df, columns)
+    groups = materialise(groups, "duplicate-groups")  # read by both results
     key = issue_id(dataset_id, Category.UNIQUENESS, F.lower(F.hex("digest")))
-    # Only the rows to keep are looked up for display, and only one of their columns.
-    shown = df.select(
-        F.col(ROW_ID).alias("retain_id"), plain_cell(df, columns[0]).alias("first_value")
-    )
-    issues = groups.join(shown, "retain_id").select(
+    issues = groups.select(
         key.alias("issue_id"),
         F.lit(dataset_id).alias("dataset_id"),
         F.lit(Category.UNIQUENESS.value).alias("category"),
@@ -84,7 +90,7 @@ def check_uniqueness(
             "retain_id",
         ).alias("rationale"),
     )
-    members = join_counted(rows, groups, "digest", "n", hot_rows)
+    members = join_counted(rows, groups.drop("first_value"), "digest", "n", hot_rows, written=True)
     role = F.when(F.col("row_id") == F.col("retain_id"), Role.RETAIN.value).otherwise(
         Role.RETIRE.value
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.durable import materialise
@@ -22,12 +22,9 @@ def with_row_id(df: DataFrame, key: str | None = None) -> DataFrame:
     marked = materialise(df.withColumn("_place", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_place", 33)
     counts = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
-    # One count per input partition, a bounded piece of metadata.
-    offset, starts = 0, []
-    for row in sorted(counts.collect(), key=lambda r: r["_part"]):
-        starts.append((row["_part"], offset))
-        offset += row["n"]
-    offsets = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    # One row per input partition, so the running sum is over a small table.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     numbered = marked.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     within = F.col("_place") - F.shiftleft(F.col("_part"), 33)
     return numbered.select((F.col("_start") + within).alias(ROW_ID), *[f"`{c}`" for c in df.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from plumbline.model import AUDIT, ROW_ID, DatasetMeta, conform, plan_time
@@ -89,26 +89,21 @@ def export_file(
     try:
         if _exists(df.sparkSession, path):
             return _finish(df, meta, "FILE", actor, error=f"Output file '{path}' already exists.")
-        data = df.drop(ROW_ID)
+        counted = Observation()
+        data = df.drop(ROW_ID).observe(counted, F.count(F.lit(1)).alias("rows"))
         writer = data.write.mode("errorifexists")
         if kind == "parquet":
             writer.parquet(path)
         else:
             keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
             writer.options(header=True, escape='"', **keep).csv(path)
-        rows = _written_rows(df.sparkSession, path, kind)
+        rows = counted.get["rows"]
     except PySparkException as failure:
         return _finish(df, meta, "FILE", actor, error=f"Failed to write output file '{path}': {failure}")
     summary = f"Exported {rows:,} rows x {len(data.columns)} columns to '{name}' ({kind.upper()})."
     return _finish(df, meta, "FILE", actor, path, rows, summary)
 
 
-def _written_rows(spark, path: str, kind: str) -> int:
-    if kind == "parquet":
-        return spark.read.parquet(path).count()
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).count()
-
-
 def export_table(
     df: DataFrame,
     meta: DatasetMeta,

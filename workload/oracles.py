@@ -275,6 +275,25 @@ ORACLES["er_issues"] = f"""{_clusters} SELECT {iid("DEDUPLICATION", "'entity|' |
     'DEDUPLICATION' AS category, CASE WHEN confidence >= 0.88 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, confidence,
     size AS affected_row_count, CASE WHEN confidence >= 0.88 THEN 'MERGE_ROWS' ELSE 'FLAG_ONLY' END AS action_type FROM clusters"""
 
+# Every tenth customer has a twin that is written differently and a bare one, every other tenth a
+# bare one: what the forms share is known from how they were made.
+ORACLES["er_full"] = """
+WITH k AS (
+  SELECT c_custkey AS id, c_custkey % 10 = 3 AS full_twin,
+    substr(md5(c_custkey::VARCHAR), 1, 6) || ' ' || substr(md5(c_custkey::VARCHAR), 7, 7) AS name,
+    lpad((c_custkey % 100)::VARCHAR, 2, '0') || lpad(c_custkey::VARCHAR, 7, '0') AS tax,
+    lpad((c_custkey % 1000)::VARCHAR, 3, '0') || '555' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS phone,
+    lpad((c_nationkey + 100)::VARCHAR, 5, '0') AS zip
+  FROM customer WHERE c_custkey % 10 IN (3, 6)
+)
+SELECT id AS cluster, id AS retain_id, CASE WHEN full_twin THEN 3 ELSE 2 END::BIGINT AS size, 1.0::DOUBLE AS confidence,
+  concat('Name similarity 100/100 (''', name, ''' ~ ''', name, ''')',
+    CASE WHEN full_twin THEN concat('; Tax Id exact match: ''', tax, '''') END,
+    '; Address similarity 100/100; Zip exact match: ''', zip, '''',
+    CASE WHEN full_twin THEN concat('; Phone exact match: ''', phone, '''') END) AS evidence_summary
+FROM k
+"""
+
 # --- report and scorecard ----------------------------------------------------------------
 
 # (category, severity, row) of every finding on customers; the key separates issues
