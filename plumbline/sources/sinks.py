@@ -138,7 +138,7 @@ def export_table(
             writer.options(**(properties or {})).option("dbtable", table).save()
             rows = data.count()
     except PySparkException as failure:
-        text = f"Database write failed: {scrub(str(failure), connection)}"
+        text = f"Database write failed: {scrub(str(failure), connection, properties)}"
         return _finish(df, meta, "DATABASE", actor, error=text)
     origin = provenance(connection)
     place = f"{origin['dialect']}://{origin['host']}"

@@ -34,14 +34,16 @@ def provenance(connection: str) -> dict[str, str]:
         return {"dialect": "unknown", "host": "unknown", "database": ""}
 
 
-def scrub(message: str, connection: str) -> str:
-    """Remove the credentials of a connection string from a message."""
+def scrub(message: str, connection: str, properties: dict | None = None) -> str:
+    """Remove the credentials of a connection string and of JDBC properties from a message."""
     secrets = re.findall(r"(?:password|user)=([^&;]+)", connection)
     try:
         parsed = urlparse(connection.removeprefix("jdbc:"))
         secrets += [s for s in (parsed.password, parsed.username) if s]
     except ValueError:
         pass
+    secret_names = re.compile("pass|user|secret|token|key", re.I)
+    secrets += [str(v) for k, v in (properties or {}).items() if v and secret_names.search(k)]
     for secret in sorted(secrets, key=len, reverse=True):
         message = message.replace(secret, "***")
     return message
@@ -102,7 +104,7 @@ def ingest_table(
     except Exception as failure:  # noqa: BLE001 - drivers raise anything; secrets must not leak
         if not isinstance(failure, (PySparkException, ValueError)) and "Py4J" not in type(failure).__name__:
             raise
-        return Ingested(False, error=f"Database read failed: {scrub(str(failure), connection)}")
+        return Ingested(False, error=f"Database read failed: {scrub(str(failure), connection, properties)}")
     origin = provenance(connection)
     output = f"{table or 'query'}_clean_{timestamp_suffix()}"
     meta = DatasetMeta(

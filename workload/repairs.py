@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from plumbline.durable import shared_dir
 from plumbline.model import ROW_ID, DatasetMeta, as_issues
 from plumbline.operators import reference
-from plumbline.plans import cleanse
+from plumbline.plans import cleanse, scorecard
 from plumbline.sources.files import read_csv
-from plumbline.sources.sinks import export_file
+from plumbline.sources.sinks import export_file, export_table
+from plumbline.sources.tables import CATALOG, ingest_table
 
 INSTANT = "2024-06-01 12:00:00"
 NO_VALUES = "issue_id string, column string, value string"
@@ -137,12 +138,83 @@ def csv_text_roundtrip(spark, folder):
     return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.lit(done.row_count).cast("long").alias("rows"))
 
 
+def catalog_tables(spark, folder):
+    """A table and a query of the session catalog are read, exported and refused like any other."""
+    name = f"customers_{uuid.uuid4().hex}"
+    _table(spark, folder, "customer").write.saveAsTable(name)
+    whole = ingest_table(spark, CATALOG, name, key="c_custkey")
+    part = ingest_table(spark, CATALOG, f"SELECT * FROM {name} WHERE c_acctbal > 0", key="c_custkey")
+    done = export_table(part.table, part.meta, CATALOG, f"{name}_clean")
+    again = export_table(part.table, done.meta, CATALOG, f"{name}_more")
+    taken = export_table(whole.table, whole.meta, CATALOG, f"{name}_clean")
+    return spark.table(f"{name}_clean").select(
+        "c_custkey", "c_name", "c_acctbal",
+        F.lit(whole.meta.row_count).cast("long").alias("read"),
+        F.lit(done.row_count).cast("long").alias("exported"),
+        F.lit(again.success).alias("again"), F.lit(taken.success).alias("taken"),
+    )
+
+
+def cleanse_writeback(spark, folder):
+    """One issue per nation; only the approved ones run, and the registry says so."""
+    df = _table(spark, folder, "customer").withColumn(ROW_ID, F.col("c_custkey"))
+    per_nation = df.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("affected_row_count"))
+    status = F.element_at(
+        F.array(*map(F.lit, ("APPROVED", "OPEN", "REJECTED", "EXECUTED", "PENDING_APPROVAL"))),
+        F.pmod("c_nationkey", F.lit(5)) + 1,
+    )
+    issues = as_issues(
+        per_nation.select(
+            F.concat(F.lit("n"), "c_nationkey").alias("issue_id"), F.lit("ds").alias("dataset_id"),
+            F.lit("SET_VALUE").alias("action_type"), F.lit("c_acctbal").alias("target_column"),
+            F.lit("1").alias("canonical_value"), status.alias("status"), "affected_row_count",
+        )
+    )
+    rows = df.select(
+        F.concat(F.lit("n"), "c_nationkey").alias("issue_id"), F.col(ROW_ID).alias("row_id"), F.lit("target").alias("role")
+    )
+    only = [f"n{k}" for k in range(0, 25, 2)]
+    values = spark.createDataFrame([], NO_VALUES)
+    done = cleanse.execute_approved(df, issues, rows, values, "bob", only=only, at=F.lit(INSTANT).cast("timestamp"))
+    told = done.results.select("issue_id", "success", "rows_affected")
+    return done.issues.select("issue_id", "status", F.col("executed_at").isNotNull().alias("stamped")).join(
+        told, "issue_id", "left"
+    )
+
+
+def score_text(spark, folder):
+    """What the scorecard says about the share of late lines of every order."""
+    lines = _table(spark, folder, "lineitem")
+    per = lines.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("l_returnflag") == "R").alias("bad")
+    )
+    score = 100 - 100.0 * F.col("bad") / F.col("total")
+    return per.select("l_orderkey", scorecard.interpretation(score, F.col("bad"), F.col("total")).alias("text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (ref_large_set, cleanse_counts, cleanse_nested, merge_misfit, retype_audit, csv_text_roundtrip)
+    for f in (catalog_tables, cleanse_writeback, score_text, ref_large_set, cleanse_counts, cleanse_nested, merge_misfit, retype_audit, csv_text_roundtrip)
 }
 
 ORACLES = {
+    "catalog_tables": """
+        SELECT c_custkey, c_name, c_acctbal, (SELECT count(*) FROM customer) AS read,
+               (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS exported, false AS again, false AS taken
+        FROM customer WHERE c_acctbal > 0""",
+    "cleanse_writeback": """
+        WITH n AS (SELECT c_nationkey AS k, count(*) AS c,
+            ['APPROVED', 'OPEN', 'REJECTED', 'EXECUTED', 'PENDING_APPROVAL'][c_nationkey % 5 + 1] AS s
+            FROM customer GROUP BY 1)
+        SELECT 'n' || k AS issue_id, CASE WHEN k % 2 = 0 AND s = 'APPROVED' THEN 'EXECUTED' ELSE s END AS status,
+               k % 2 = 0 AND s = 'APPROVED' AS stamped, CASE WHEN k % 2 = 0 THEN s = 'APPROVED' END AS success,
+               CASE WHEN k % 2 = 0 THEN CASE WHEN s = 'APPROVED' THEN c ELSE 0 END END AS rows_affected FROM n""",
+    "score_text": """
+        WITH p AS (SELECT l_orderkey, count(*) AS t, count(*) FILTER (WHERE l_returnflag = 'R') AS b FROM lineitem GROUP BY 1),
+        q AS (SELECT *, 100 - 100.0 * b / t AS s, concat(b, ' row(s) (', round(b * 100 / t)::BIGINT, '%)') AS rows FROM p)
+        SELECT l_orderkey, concat(round(s)::BIGINT, ' of 100 points: ') || CASE WHEN s >= 95 THEN 'safe to load' WHEN s >= 80 THEN 'loadable once someone has looked at ' || rows
+                  WHEN s >= 60 THEN 'repair first; serious findings touch ' || rows
+                  ELSE 'keep out of other systems; serious findings touch ' || rows END || '.' AS text FROM q""",
     "ref_large_set": """
         SELECT l_quantity AS value, count(*) AS n FROM lineitem
         WHERE l_quantity NOT IN (SELECT range FROM range(2000) WHERE range % 7 <> 0) GROUP BY 1""",
