@@ -1,7 +1,7 @@
 """Removal of long passages that repeat across documents, with a family of suffix arrays.
 
-Every string of ``LENGTH`` bytes is filed under the smallest hash of the 16-byte strings in it, so
-that only the suffixes at those places are indexed: about one in nineteen. New batches of
+Every string of ``LENGTH`` bytes is filed under the smallest hash of the 24-byte strings in it, so
+that only the suffixes at those places are indexed: about one in fifteen. New batches of
 documents get arrays of their suffixes, sorted by hash within buckets of the hash range; a batch
 is merge-scanned against every level of the index, which tells both sides what they share, and
 levels of equal size are merged, so that a family of n batches has at most log2(n) + 1 levels.
@@ -26,7 +26,7 @@ from plumbline.llm.chunks import NO_ID, chunked, pack, steps, unpack, with_null_
 from plumbline.llm.common import written
 
 LENGTH = 50
-SEED = 16
+SEED = 24
 BATCHES = 4
 # Strings under one record: fewer than LENGTH, so that those found cover one run of bytes.
 RECORD_STRINGS = 32
@@ -80,7 +80,9 @@ class ChunkText:
         for low in range(0, max(end - length + 1, 0), SLICE):
             high = min(low + SLICE, end - length + 1)
             words8 = _words8(self.data[low : high + length + 7])
-            h = _mixed(_mixed(words8[: high - low + seeds - 1]) + words8[8 : high - low + seeds + 7])
+            h = _mixed(words8[: high - low + seeds - 1])
+            for offset in range(8, SEED, 8):
+                h = _mixed(h + words8[offset : high - low + seeds - 1 + offset])
             span = 1
             while span * 2 <= seeds:
                 h = np.minimum(h[:-span], h[span:])
