@@ -6,14 +6,14 @@ distribution is its discounted counts, the mass left over going to the next shor
 the root to the add-one distribution over single words. A token is scored in the longest state
 that ends before it.
 
-Counts of words and contexts cover all training texts. Contexts, and words in contexts, need a
-share of ``LEAST_SHARE`` of all training tokens, so there are at most ``1 / LEAST_SHARE`` entries
-for each length of context; that bounds the tree that is sent to every task.
+Counts of words and contexts cover all training texts. Contexts, and words in contexts, need
+``LEAST_COUNT`` occurrences, however large the corpus; beyond that the divergence test alone prunes.
+The tree is never in one place: buckets of contexts test their own, ask the buckets of the shorter
+contexts for what those give, and tell every chunk of documents about the contexts it holds.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from dataclasses import dataclass
 
@@ -27,9 +27,11 @@ from plumbline.llm.common import written
 from plumbline.llm.hashing import END, mixed, tokens
 
 DEPTH = 3
-LEAST_SHARE = 4e-7
 LEAST_COUNT = 2
 DISCOUNT = 0.75
+# What chunks are told has the bucket that tells them; for pairs, and down from FIRST_TOLD for
+# contexts, it is negative.
+PAIRS, FIRST_TOLD = -1, -2
 # Nats that a state must gain for each of its entries, and for itself.
 ENTRY_COST, STATE_COST = 2.0, 5.0
 FOLDS, HELD_OUT = 7, 2
@@ -107,13 +109,14 @@ def _follows(owner: np.ndarray) -> np.ndarray:
 
 def _ask_pairs(buckets: int, least: int):
     def ask(key: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of frequent words in the training texts of a chunk, with counts."""
+        """Pairs of frequent words in a chunk, with counts in its training texts."""
         out = []
         if len(rows):
             hashes, owner, training = _chunk_tokens(rows)
-            often = (_counts_of(hashes, told) >= least) & training[owner]
+            often = _counts_of(hashes, told) >= least
             both = often & np.concatenate([[False], often[:-1]])[: len(often)] & _follows(owner)
-            codes, counts = np.unique(_pair_codes(hashes, buckets)[both], return_counts=True)
+            codes, at = np.unique(_pair_codes(hashes, buckets)[both], return_inverse=True)
+            counts = np.bincount(at, weights=training[owner[both]], minlength=len(codes))
             bucket = (codes >> _TOP).astype("i8")
             for a, b in _cuts(bucket):
                 out.append((bucket[a], key[0], pack(steps(codes[a:b].astype("u4")), counts[a:b].astype("u4"))))
@@ -137,7 +140,7 @@ def _count_pairs(least: int):
             often = own[good[at[low : low + len(own)]]].astype("u8") | (np.uint64(key[0]) << _TOP)
             low += len(own)
             if len(often):
-                out.append((-1, chunk, pack(often)))
+                out.append((PAIRS, chunk, pack(often)))
         return pd.DataFrame(out, columns=["bucket", "chunk", "data"])
 
     return count
@@ -161,75 +164,192 @@ def _contexts(hashes: np.ndarray, owner: np.ndarray, often: np.ndarray):
         context = mixed(context ^ hashes[place - k - 1])
 
 
+def _own_contexts(rows: pd.DataFrame, told: pd.DataFrame, buckets: int, least: int):
+    """(hashes, owner, training, counts) of a chunk, and what it holds for every length of context.
+
+    That is: contexts, their shorter contexts, how often training texts hold them; then of every
+    frequent word that follows: the number of its context, its hash, its count alone, and how often
+    training texts hold it there. Sorted, so a chunk finds the same order again.
+    """
+    hashes, owner, training = _chunk_tokens(rows)
+    pairs = told["bucket"] == PAIRS
+    counts = _counts_of(hashes, told[told["bucket"] >= 0])
+    trained = training[owner]
+    known = np.concatenate([np.zeros(0, "u8"), *(unpack(d)[0] for d in told["data"][pairs])])
+    linked = _follows(owner) & np.isin(_pair_codes(hashes, buckets), known)
+    shorter = np.zeros(len(hashes), "u8")
+    walk, found = _contexts(hashes, owner, counts >= least), []
+    step = next(walk, None)
+    while step:
+        k, place, context = step
+        # A longer context needs its own pairs to be frequent.
+        step_on = linked[place - k]
+        states, first, at = np.unique(context, return_index=True, return_inverse=True)
+        total = np.bincount(at, weights=trained[place], minlength=len(states)).astype("u4")
+        parent = shorter[place[first]]
+        shorter = np.zeros(len(hashes), "u8")
+        shorter[place] = context
+        listed = linked[place]
+        of, following = at[listed], hashes[place[listed]]
+        order = np.lexsort((following, of))
+        of, following, listed = of[order], following[order], place[listed][order]
+        new = np.flatnonzero(np.diff(of, prepend=-1).astype(bool) | np.concatenate([[True], following[1:] != following[:-1]])[: len(of)])
+        sums = np.concatenate([[0], np.cumsum(trained[listed])])
+        number = (sums[np.append(new[1:], len(of))] - sums[new]) if len(new) else np.zeros(0)
+        found.append((states, parent, total, of[new], following[new], counts[listed[new]], number.astype("u4")))
+        step = next(walk, None) if k == DEPTH else walk.send(step_on)
+    return (hashes, owner, training, counts), found
+
+
 def _ask_contexts(buckets: int, least: int):
     def ask(key: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        """Contexts in the training texts of a chunk, with the frequent words that follow them."""
+        """Contexts in a chunk, with the frequent words that follow them."""
         out = []
         if len(rows):
-            hashes, owner, training = _chunk_tokens(rows)
-            pairs = told["bucket"] < 0
-            counts = _counts_of(hashes, told[~pairs])
-            keep = training[owner]
-            hashes, owner, counts = hashes[keep], owner[keep], counts[keep]
-            known = np.concatenate([np.zeros(0, "u8"), *(unpack(d)[0] for d in told["data"][pairs])])
-            linked = _follows(owner) & np.isin(_pair_codes(hashes, buckets), known)
-            shorter = np.zeros(len(hashes), "u8")
-            walk = _contexts(hashes, owner, counts >= least)
-            step = next(walk, None)
-            while step:
-                k, place, context = step
-                # A longer context needs its own pairs to be frequent.
-                step_on = linked[place - k]
-                order = np.argsort(context)
-                states, first, total = np.unique(context[order], return_index=True, return_counts=True)
-                parent = shorter[place[order[first]]]
-                shorter = np.zeros(len(hashes), "u8")
-                shorter[place] = context
-                listed = linked[place]
-                state_at = np.searchsorted(states, context[listed])
-                following = hashes[place[listed]]
-                order = np.lexsort((following, state_at))
-                state_at, following, single = state_at[order], following[order], counts[place[listed]][order]
-                new = np.flatnonzero(np.diff(state_at, prepend=-1).astype(bool) | np.concatenate([[True], following[1:] != following[:-1]])[: len(following)])
-                number = np.diff(np.append(new, len(state_at)))
-                state_at, following, single = state_at[new], following[new], single[new]
+            for k, (states, parent, total, of, following, single, number) in enumerate(_own_contexts(rows, told, buckets, least)[1], 1):
                 bucket = _bucket(states, buckets)
                 for a, b in _cuts(bucket):
-                    x, y = np.searchsorted(state_at, [a, b])
-                    entries = ((state_at[x:y] - a).astype("u4"), following[x:y], single[x:y], number[x:y].astype("u4"))
-                    out.append((bucket[a], pack(np.array([k]), steps(states[a:b]), parent[a:b], total[a:b].astype("u4"), *entries)))
-                step = next(walk, None) if k == DEPTH else walk.send(step_on)
-        return pd.DataFrame(out, columns=["bucket", "data"])
+                    x, y = np.searchsorted(of, [a, b])
+                    entries = ((of[x:y] - a).astype("u4"), following[x:y], single[x:y], number[x:y])
+                    out.append((bucket[a], key[0], pack(np.array([k]), steps(states[a:b]), parent[a:b], total[a:b], *entries)))
+        return pd.DataFrame(out, columns=["bucket", "chunk", "data"])
 
     return ask
 
 
+def _places(slots: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A packable form of ascending numbers with -1 between them."""
+    has = slots >= 0
+    return np.array([len(slots)]), np.packbits(has), steps(slots[has].astype("u4"))
+
+
+def _at_places(values: np.ndarray, n: np.ndarray, has: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The values at such numbers, and zero for -1."""
+    out = np.zeros(int(n[0]), values.dtype)
+    out[np.unpackbits(has, count=len(out)).astype(bool)] = values[np.cumsum(slots, dtype="u4")]
+    return out
+
+
 def _count_contexts(least: int):
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Contexts of a bucket and what follows them, as far as the whole corpus has them often."""
+        """Contexts of a bucket and what follows them, as far as the whole corpus has them often.
+
+        Rows with ``-k`` for ``k`` say which of these each chunk asked for, in its order.
+        """
         parts: dict[int, list] = {}
-        for data in rows["data"]:
+        for chunk, data in zip(rows["chunk"], rows["data"], strict=True):
             k, states, parent, total, state_at, *entries = unpack(data)
             states = np.cumsum(states, dtype="u8")
-            parts.setdefault(int(k[0]), []).append((states, parent, total, states[state_at], *entries))
+            parts.setdefault(int(k[0]), []).append((chunk, states, parent, total, states[state_at], *entries))
         out = []
         for k, found in parts.items():
-            states, parent, total, of, following, single, number = (np.concatenate(x) for x in zip(*found, strict=True))
-            known, first, at = np.unique(states, return_index=True, return_inverse=True)
-            sums = np.bincount(at, weights=total).astype("i8")
-            entry = mixed(of ^ following)
-            pairs, begin, at = np.unique(entry, return_index=True, return_inverse=True)
-            n = np.bincount(at, weights=number, minlength=len(pairs)).astype("i8")
-            good = n >= least
-            pairs, begin, n = pairs[good], begin[good], n[good]
-            place = np.searchsorted(known, of[begin])
+            states, parent, total, of, following, single, number = (np.concatenate(x) for x in list(zip(*found, strict=True))[1:])
+            known, first, state_at = np.unique(states, return_index=True, return_inverse=True)
+            sums = np.bincount(state_at, weights=total).astype("i8")
+            pairs, begin, entry_at = np.unique(mixed(of ^ following), return_index=True, return_inverse=True)
+            n = np.bincount(entry_at, weights=number, minlength=len(pairs)).astype("i8")
+            good = np.flatnonzero(n >= least)
+            place = np.searchsorted(known, of[begin[good]])
+            order = np.lexsort((following[begin[good]], place))
+            good, place = good[order], place[order]
             used = np.unique(place)
-            out.append((k, pack(known[used], parent[first][used], sums[used], np.searchsorted(used, place), following[begin], single[begin].astype("i8"), n)))
-        return pd.DataFrame(out, columns=["k", "data"])
+            if len(used):
+                begin, n = begin[good], n[good]
+                out.append((key[0], k, -1, pack(known[used], parent[first][used], sums[used], np.searchsorted(used, place), following[begin], single[begin].astype("i8"), n)))
+            state_slot, entry_slot = np.full(len(known), -1), np.full(len(pairs), -1)
+            state_slot[used], entry_slot[good] = np.arange(len(used)), np.arange(len(good))
+            s = e = 0
+            for chunk, own, *_, own_entries in found:
+                t, f = s + len(own), e + len(own_entries)
+                out.append((key[0], -k, chunk, pack(*_places(state_slot[state_at[s:t]]), *_places(entry_slot[entry_at[e:f]]))))
+                s, e = t, f
+        return pd.DataFrame(out, columns=["bucket", "k", "chunk", "data"])
 
     return count
 
 
+def _divergence(total: np.ndarray, of: np.ndarray, number: np.ndarray, below: np.ndarray):
+    """(kept, mass left over, own probability of entries, what contexts give their entries).
+
+    A context's listed next words are compared with what its longest kept shorter state gives
+    them; the gain over all its occurrences has to exceed what state and entries cost. A context
+    that is not kept gives what is below.
+    """
+    own = np.maximum(number - DISCOUNT, 0) / total[of]
+    left = 1 - np.bincount(of, weights=own, minlength=len(total))
+    inside = own + left[of] * below
+    gain = np.bincount(of, weights=number * np.log(inside / below), minlength=len(total))
+    rest = total - np.bincount(of, weights=number, minlength=len(total))
+    gain += rest * np.log(np.maximum(left, 1e-12))
+    gain -= STATE_COST + ENTRY_COST * np.bincount(of, minlength=len(total))
+    keep = gain > 0
+    return keep, left, own, np.where(keep[of], inside, below)
+
+
+def _wanted(parent: np.ndarray, of: np.ndarray, following: np.ndarray, buckets: int):
+    """Entries of shorter contexts that those of a bucket need: (buckets, hashes, place of each entry's)."""
+    bucket, entry = _bucket(parent[of], buckets), mixed(parent[of] ^ following)
+    order = np.lexsort((entry, bucket))
+    new = np.concatenate([[True], (np.diff(entry[order]) != 0) | (np.diff(bucket[order]) != 0)])[: len(order)]
+    at = np.empty(len(order), "i8")
+    at[order] = np.cumsum(new) - 1
+    return bucket[order][new], entry[order][new], at
+
+
+def _ask_shorter(buckets: int):
+    def ask(batches):
+        """What a bucket's contexts need from the buckets of their shorter contexts."""
+        for rows in batches:
+            out = []
+            for own, data in zip(rows["bucket"], rows["data"], strict=True):
+                _, parent, _, of, following, _, _ = unpack(data)
+                bucket, entry, _ = _wanted(parent, of, following, buckets)
+                out += [(bucket[a], own, pack(steps(entry[a:b]))) for a, b in _cuts(bucket)]
+            yield pd.DataFrame(out, columns=["bucket", "part", "data"])
+
+    return ask
+
+
+def _test_contexts(k: int, buckets: int, n: int, v: int):
+    def test(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """Tests the contexts of length ``k`` of a bucket and answers the buckets of longer ones.
+
+        ``rows`` are the bucket's counts (part -1) and the answers of shorter contexts' buckets.
+        """
+        out = []
+        for data in rows["data"][rows["part"] < 0]:
+            state, parent, total, of, following, single, number = unpack(data)
+            if k == 1:
+                below = (single + 1.0) / (n + v + 1)
+            else:
+                answers = rows[rows["part"] >= 0].sort_values("part")
+                below = np.concatenate([unpack(d)[0] for d in answers["data"]])[_wanted(parent, of, following, buckets)[2]]
+            keep, left, _, given = _divergence(total, of, number, below)
+            out.append((key[0], -1, pack(np.where(keep, total, 0), np.where(keep, left, 0.0), np.where(keep[of], number, 0))))
+            entry = mixed(state[of] ^ following)
+            order = np.argsort(entry)
+            for part, data in zip(asked["part"], asked["data"], strict=True):
+                at = np.searchsorted(entry, np.cumsum(unpack(data)[0], dtype="u8"), sorter=order)
+                out.append((part, key[0], pack(given[order[at]])))
+        return pd.DataFrame(out, columns=["bucket", "part", "data"])
+
+    return test
+
+
+def _tell_contexts(key: tuple, tested: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk, in its order: total and spare mass of contexts, count of next words; zero if not kept."""
+    values = {k: unpack(d) for k, d in zip(tested["k"], tested["data"], strict=True)}
+    nothing = (np.zeros(0, "i8"), np.zeros(0), np.zeros(0, "i8"))
+    out = []
+    for chunk, own in asked.groupby("chunk"):
+        told = [nothing] * DEPTH
+        for k, data in zip(-own["k"], own["data"], strict=True):
+            places, (total, left, number) = unpack(data), values.get(k, nothing)
+            told[k - 1] = (*(_at_places(x, *places[:3]) for x in (total, left)), _at_places(number, *places[3:]))
+        out.append((FIRST_TOLD - key[0], chunk, pack(*(x for level in told for x in level))))
+    return pd.DataFrame(out, columns=["bucket", "chunk", "data"])
+
+
 @dataclass(frozen=True)
 class Tree:
     """States and entries by length of context; hashes sorted."""
@@ -248,9 +368,10 @@ class Tree:
     def probabilities(self, hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
         p = self.root(counts.astype("f8"))
         walk = _contexts(hashes, owner, counts >= self.least)
-        k, place, context = next(walk)
-        while len(states := self.states[k - 1]):
-            entries = self.entries[k - 1]
+        for k, place, context in walk:
+            states, entries = self.states[k - 1], self.entries[k - 1]
+            if not len(states):
+                continue
             at = np.minimum(np.searchsorted(states, context), len(states) - 1)
             inside = states[at] == context
             place, context, at = place[inside], context[inside], at[inside]
@@ -260,103 +381,64 @@ class Tree:
                 e = np.minimum(np.searchsorted(entries, entry), len(entries) - 1)
                 own = np.where(entries[e] == entry, self.gains[k - 1][e], 0.0)
             p[place] = own + self.spare[k - 1][at] * p[place]
-            if k == DEPTH:
-                break
-            k, place, context = walk.send(inside)
         return p
 
 
-def build_tree(found: list[tuple[int, bytes]], n: int, v: int, least: int) -> Tree:
-    """Keep the contexts that pass the divergence test, shortest first.
+def _tree(levels: list[tuple], n: int, v: int, least: int) -> Tree:
+    """A tree of (states, spare, states of entries, next words, gains) per length, states sorted."""
+    columns: tuple[list, ...] = ([], [], [], [])
+    for states, spare, of, following, gains in levels:
+        entry = mixed(of ^ following)
+        order = np.argsort(entry)
+        for column, x in zip(columns, (states, spare, entry[order], gains[order]), strict=True):
+            column.append(x)
+    return Tree(n, v, least, *map(tuple, columns))
 
-    A context's listed next words are compared with what its longest kept shorter state gives
-    them; the gain over all its occurrences has to exceed what state and entries cost.
-    """
-    states, spare, entries, gains, parents = [], [], [], [], []
-    kept_chain, candidates = None, []
+
+def build_tree(found: list[tuple[int, bytes]], n: int, v: int, least: int) -> Tree:
+    """The tree of all buckets in one process; ``score`` spreads the same tests over buckets."""
+    levels, given, entries = [], np.zeros(0), np.zeros(0, "u8")
     for k in range(1, DEPTH + 1):
         parts = [unpack(d) for length, d in found if length == k]
         if not parts:
-            for x in (states, entries):
-                x.append(np.zeros(0, "u8"))
-            for x in (spare, gains):
-                x.append(np.zeros(0))
-            parents.append(np.zeros(0, "u8"))
-            candidates.append((np.zeros(0, "u8"), np.zeros(0, "u8")))
-            continue
+            break
         shift = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
-        state, parent, total = (np.concatenate([p[i] for p in parts]) for i in range(3))
         of = np.concatenate([p[3] + s for p, s in zip(parts, shift, strict=True)])
-        following, single, number = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
-        below = (single + 1.0) / (n + v + 1)
-        below = _below(parent[of], following, below, kept_chain)
-        own = np.maximum(number - DISCOUNT, 0) / total[of]
-        left = 1 - np.bincount(of, weights=own, minlength=len(state))
-        inside = own + left[of] * below
-        gain = np.bincount(of, weights=number * np.log(inside / below), minlength=len(state))
-        rest = total - np.bincount(of, weights=number, minlength=len(state))
-        gain += rest * np.log(np.maximum(left, 1e-12))
-        gain -= STATE_COST + ENTRY_COST * np.bincount(of, minlength=len(state))
-        keep = gain > 0
-        order = np.flatnonzero(keep)[np.argsort(state[keep])]
-        states.append(state[order])
-        spare.append(left[order])
-        parents.append(parent[order])
-        entry, use = mixed(state[of] ^ following), keep[of]
-        order = np.argsort(entry[use])
-        entries.append(entry[use][order])
-        gains.append(own[use][order])
-        by_state = np.argsort(state)
-        candidates.append((state[by_state], parent[by_state]))
-        # For the next length: what every candidate context of this one gives, kept or not.
-        by_entry = np.argsort(entry)
-        kept_chain = (
-            state[by_state], keep[by_state], left[by_state], parent[by_state],
-            entry[by_entry], own[by_entry], kept_chain,
-        )
-    # The shorter ends of a state are states too, if need be without a distribution of their own,
-    # so that a search can stop where nothing is found.
-    for k in range(DEPTH - 1, 0, -1):
-        missing = np.setdiff1d(parents[k], states[k - 1])
-        if not len(missing):
-            continue
-        ends = candidates[k - 1]
-        above = ends[1][np.searchsorted(ends[0], missing)]
-        order = np.argsort(np.concatenate([states[k - 1], missing]))
-        states[k - 1] = np.concatenate([states[k - 1], missing])[order]
-        spare[k - 1] = np.concatenate([spare[k - 1], np.ones(len(missing))])[order]
-        parents[k - 1] = np.concatenate([parents[k - 1], above])
-    return Tree(n, v, least, tuple(states), tuple(spare), tuple(entries), tuple(gains))
-
-
-def _below(context: np.ndarray, following: np.ndarray, root: np.ndarray, chain: tuple | None) -> np.ndarray:
-    """Probability of ``following`` in the longest kept state that ends ``context``."""
-    if chain is None:
-        return root
-    state, keep, left, parent, entry, own, shorter = chain
-    at = np.minimum(np.searchsorted(state, context), len(state) - 1)
-    known = state[at] == context
-    lower = _below(np.where(known, parent[at], 0), following, root, shorter)
-    e = mixed(context ^ following)
-    place = np.minimum(np.searchsorted(entry, e), len(entry) - 1)
-    share = np.where(entry[place] == e, own[place], 0.0)
-    return np.where(known & keep[at], share + left[at] * lower, lower)
-
-
-def _score(tree):
+        state, parent, total, _, following, single, number = (np.concatenate(x) for x in zip(*parts, strict=True))
+        below = (single + 1.0) / (n + v + 1) if k == 1 else given[np.searchsorted(entries, mixed(parent[of] ^ following))]
+        keep, left, own, given = _divergence(total, of, number, below)
+        entries, use = mixed(state[of] ^ following), keep[of]
+        kept = np.flatnonzero(keep)[np.argsort(state[keep])]
+        levels.append((state[kept], left[kept], state[of][use], following[use], own[use]))
+        order = np.argsort(entries)
+        entries, given = entries[order], given[order]
+    nothing = (np.zeros(0, "u8"), np.zeros(0), np.zeros(0, "u8"), np.zeros(0, "u8"), np.zeros(0))
+    return _tree(levels + [nothing] * (DEPTH - len(levels)), n, v, least)
+
+
+def _score(buckets: int, least: int, n: int, v: int):
     def score(key: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        hashes, owner, training = _chunk_tokens(rows)
-        counts = _counts_of(hashes, told)
-        n = len(rows)
-        logs = [np.log10(p) for p in (tree.value.root(counts.astype("f8")), tree.value.probabilities(hashes, owner, counts))]
+        (hashes, owner, training, counts), found = _own_contexts(rows, told, buckets, least)
+        # Buckets are in the order of the hashes, so their answers together are in the chunk's order.
+        answers = told[told["bucket"] <= FIRST_TOLD].sort_values("bucket", ascending=False)
+        answers = [unpack(d) for d in answers["data"]]
+        levels = []
+        for k, (states, _, _, of, following, _, _) in enumerate(found):
+            total, left, number = (np.concatenate([np.zeros(0), *(a[3 * k + i] for a in answers)]) for i in range(3))
+            keep, use = total > 0, number > 0
+            own = (number[use] - DISCOUNT) / total[of[use]]
+            levels.append((states[keep], left[keep], states[of[use]], following[use], own))
+        tree = _tree(levels, n, v, least)
+        m = len(rows)
+        logs = [np.log10(p) for p in (tree.root(counts.astype("f8")), tree.probabilities(hashes, owner, counts))]
         return pd.DataFrame({
             "doc_id": rows["doc_id"],
             "held_out": ~training,
-            "n_tokens": np.bincount(owner, minlength=n),
-            "n_known": np.bincount(owner, weights=counts > 0, minlength=n).astype("i8"),
-            "train_tokens": tree.value.tokens,
-            "base_score": np.bincount(owner, weights=logs[0], minlength=n),
-            "score": np.bincount(owner, weights=logs[1], minlength=n),
+            "n_tokens": np.bincount(owner, minlength=m),
+            "n_known": np.bincount(owner, weights=counts > 0, minlength=m).astype("i8"),
+            "train_tokens": n,
+            "base_score": np.bincount(owner, weights=logs[0], minlength=m),
+            "score": np.bincount(owner, weights=logs[1], minlength=m),
         })
 
     return score
@@ -365,7 +447,7 @@ def _score(tree):
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(documents: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Null and empty texts are the end token alone. Rows without a doc_id train like those whose
@@ -385,14 +467,29 @@ def score(documents: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     )
     sums = answers.where("chunk < 0").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     n, v = sums.n or 0, sums.v or 0
-    least = max(LEAST_COUNT, math.ceil(least_share * n))
+    least = LEAST_COUNT
     words = answers.where("chunk >= 0").select("bucket", "chunk", "data")
-    told = words.groupBy("chunk")
     message = "bucket long, chunk long, data binary"
-    pairs = chunks.cogroup(told).applyInPandas(_ask_pairs(buckets, least), message)
-    often = pairs.groupBy("bucket").applyInPandas(_count_pairs(least), message)
-    both = words.unionByName(often).groupBy("chunk")
-    contexts = chunks.cogroup(both).applyInPandas(_ask_contexts(buckets, least), "bucket long, data binary")
-    found = contexts.groupBy("bucket").applyInPandas(_count_contexts(least), "k int, data binary").collect()
-    tree = spark.sparkContext.broadcast(build_tree([(r.k, r.data) for r in found], n, v, least))
-    return with_null_ids(chunks.cogroup(told).applyInPandas(_score(tree), RESULT))
+    pairs = chunks.cogroup(words.groupBy("chunk")).applyInPandas(_ask_pairs(buckets, least), message)
+    often = written(pairs.groupBy("bucket").applyInPandas(_count_pairs(least), message), "pairs")
+    told = words.unionByName(often)
+    contexts = chunks.cogroup(told.groupBy("chunk")).applyInPandas(_ask_contexts(buckets, least), message)
+    found = contexts.groupBy("bucket").applyInPandas(_count_contexts(least), "bucket long, k int, chunk long, data binary")
+    found = written(found, "contexts")
+    between = "bucket long, part long, data binary"
+    counted = [found.where(F.col("k") == k).select("bucket", F.lit(-1).cast("long").alias("part"), "data") for k in range(1, DEPTH + 1)]
+    level, tested = counted[0], []
+    for k in range(1, DEPTH + 1):
+        asked = (counted[k] if k < DEPTH else counted[0].limit(0)).mapInPandas(_ask_shorter(buckets), between)
+        done = level.groupBy("bucket").cogroup(asked.groupBy("bucket"))
+        done = written(done.applyInPandas(_test_contexts(k, buckets, n, v), between), "tested")
+        tested.append(done.where("part < 0").select("bucket", F.lit(k).alias("k"), "data"))
+        if k < DEPTH:
+            level = counted[k].unionByName(done.where("part >= 0"))
+    kept = tested[0]
+    for more in tested[1:]:
+        kept = kept.unionByName(more)
+    told = told.unionByName(
+        kept.groupBy("bucket").cogroup(found.where("k < 0").groupBy("bucket")).applyInPandas(_tell_contexts, message)
+    )
+    return with_null_ids(chunks.cogroup(told.groupBy("chunk")).applyInPandas(_score(buckets, least, n, v), RESULT))

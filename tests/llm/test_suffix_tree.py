@@ -88,3 +88,21 @@ def test_distributions_sum_to_one():
             known = np.append([dict(told).get(w, 0) for w in context], count)
             total += tree.probabilities(line, np.zeros(len(line), "i8"), known.astype("u4"))[-1]
         assert total == pytest.approx(1), last
+
+
+def test_contexts_count_alike_in_a_large_corpus(spark):
+    """Contexts seen three times help however many tokens train."""
+    held = next(d for d in range(100, 200) if suffix_tree.is_held_out(d))
+    trained = [d for d in range(200, 400) if not suffix_tree.is_held_out(d)]
+    data = [(d, "x " * 400_000) for d in trained[:20]] + [(d, "alpha beta gamma delta") for d in trained[20:23]]
+    (got,) = (r for r in scored(spark, [*data, (held, "alpha beta gamma delta")]) if r.held_out)
+    assert got.train_tokens > 8_000_000
+    assert got.score > got.base_score + 10
+
+
+def test_buckets_do_not_change_scores(spark, monkeypatch):
+    whole = order(map(tuple, scored(spark, rows())))
+    monkeypatch.setattr("plumbline.llm.chunks.BUCKET_BYTES", 1500)
+    cut = order(map(tuple, scored(spark, rows())))
+    assert [r[:5] for r in cut] == [r[:5] for r in whole]
+    assert [r[6] for r in cut] == pytest.approx([r[6] for r in whole])
