@@ -33,3 +33,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/plumbline-{app}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(documents: DataFrame, row: str) -> DataFrame:
+    """``documents`` with a unique number in the column ``row``, written once, which fixes it."""
+    return written(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from plumbline.llm.common import lower_ascii, written
+from plumbline.llm.common import lower_ascii, numbered, written
 
 WINDOW = 10
 # No word: it marks the one row of each document that is kept whatever it contains.
@@ -121,7 +121,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``documents`` in which no window of the benchmark occurs; all columns kept."""
-    hits, _ = find_occurrences(documents, benchmark, size)
-    bad = hits.select(F.col("doc_id").alias("__contaminated")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("__contaminated")), "left_anti")
+    """The rows of ``documents`` in which no window of the benchmark occurs; all columns kept.
+
+    Each row is judged by its own text, whatever its doc_id.
+    """
+    rows = numbered(documents, "__row")
+    hits, _ = find_occurrences(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, size)
+    bad = hits.select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(bad, "__row", "left_anti").select(*documents.columns)

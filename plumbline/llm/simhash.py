@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import lower_ascii, written
+from plumbline.llm.common import lower_ascii, numbered, written
 from plumbline.llm.forest import Forest
 from plumbline.operators.components import connected_components
 
@@ -195,10 +195,16 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, radius: int = RAD
 
 
 def keep_one_of_each(documents: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``documents`` with one document of each component: that with the smallest doc_id.
+    """``documents`` with one row of each component: the first of those with the smallest doc_id.
 
-    Rows without a doc_id stay.
+    Rows are compared, whatever their doc_id. Rows without one are no rivals of rows that have one:
+    of the former, one of each component stays too.
     """
-    gone = near_duplicates(documents, size, radius).where("doc_id <> component_id")
-    gone = gone.select(F.col("doc_id").alias("__gone"))
-    return documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    rows = numbered(documents, "__row")
+    texts = rows.select(F.col("__row").alias("doc_id"), "text")
+    prints = written(fingerprints(texts, size), "fingerprints")
+    found = prints.join(similar_classes(prints, radius), "fingerprint").select(F.col("doc_id").alias("__row"), "component")
+    found = found.join(rows.select("__row", "doc_id"), "__row")
+    first = found.groupBy("component", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    gone = found.select("__row").join(first.select("first.__row"), "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*documents.columns)

@@ -166,14 +166,8 @@ def _evidence_of(models):
     return value.remembered
 
 
-def score(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``documents``.
-
-    Learns from ``labels(doc_id, toxic)`` of rows outside fold 0 only: fold 4 calibrates, the
-    others are counted. Of several labels of a doc_id the highest counts; null ones don't. Null
-    and empty texts have no evidence and score what that is worth. Where the sample lacks one of
-    the classes there is nothing to compare, and every score is 0.
-    """
+def _judge(documents: DataFrame, labels: DataFrame, sample_rows: int):
+    """A function from binary texts to their scores, or None where a class is missing."""
     spark = documents.sparkSession
     sample = _sample(documents, labels, sample_rows)
     counted = sample.where(F.col("fold") != CALIBRATION)
@@ -184,9 +178,8 @@ def score(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
         .toPandas()  # as many grams as the bounded sample has
     )
     counts = [dict(zip(map(bytes, g["gram"]), g["n"].tolist(), strict=True)) for g in (rows[rows["toxic"] == c] for c in (0, 1))]
-    held_out = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out")
     if not counts[0] or not counts[1]:
-        return documents.select("doc_id", held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return None
     models = spark.sparkContext.broadcast(ClassModels(*counts))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,23 +197,48 @@ def score(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     scale = features.std(axis=0) + 1e-9
     weights = _logistic((features - middle) / scale, truth)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(texts: pa.Array) -> np.ndarray:
         evidence = _evidence_of(models)
+        found = np.array([evidence.of_text(t.as_py()) for t in texts]).reshape(-1, 2)
+        z = (found - middle) / scale @ weights[:2] + weights[2]
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+    return judge
+
+
+def score(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of ``documents``.
+
+    Learns from ``labels(doc_id, toxic)`` of rows outside fold 0 only: fold 4 calibrates, the
+    others are counted. Of several labels of a doc_id the highest counts; null ones don't. Null
+    and empty texts have no evidence and score what that is worth. Where the sample lacks one of
+    the classes there is nothing to compare, and every score is 0.
+    """
+    judge = _judge(documents, labels, sample_rows)
+    held_out = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out")
+    if judge is None:
+        return documents.select("doc_id", held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([evidence.of_text(t.as_py()) for t in batch.column(1)]).reshape(-1, 2)
-            z = (found - middle) / scale @ weights[:2] + weights[2]
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(judge(batch.column(1)))], names=["doc_id", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     scored = documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        judge, f"doc_id {kind}, score double"
+        scores, f"doc_id {kind}, score double"
     )
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_ordinary(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``documents`` without the rows whose doc_id is scored 0.5 or more. Rows without an id stay."""
-    toxic = score(documents, labels, sample_rows).where("predicted = 1")
-    toxic = toxic.select(F.col("doc_id").alias("__toxic")).distinct()
-    return documents.join(toxic, F.col("doc_id") == F.col("__toxic"), "left_anti")
+    """``documents`` without the rows that are scored 0.5 or more, whatever their doc_id."""
+    judge = _judge(documents, labels, sample_rows)
+    if judge is None:
+        return documents
+    at = documents.columns.index("text")
+
+    def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at).cast(pa.binary())) < 0.5))
+
+    return documents.mapInArrow(ordinary, documents.schema)

@@ -74,3 +74,10 @@ def test_stage_keeps_the_rest(spark):
     assert kept.columns == ["doc_id", "text", "item_id", "word"]
     want = brute.contamination(docs, items)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (_, hit, _) in want.items() if not hit)
+
+
+def test_stage_judges_rows_and_not_ids(spark):
+    bad, clean = " ".join(f"w{i}" for i in range(12)), "nothing of the kind"
+    docs = [(1, bad), (1, clean), (None, bad), (None, clean), (None, None)]
+    kept = decontaminate.decontaminate(*frames(spark, docs, [(7, bad)])).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, clean), (1, clean)]

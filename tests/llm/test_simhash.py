@@ -73,3 +73,10 @@ def test_masks_catch_every_pair_within_the_radius():
     for _ in range(2000):
         difference = sum(1 << b for b in rng.sample(range(64), 3))
         assert any(not difference & m for m in masks)
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    other = "q r s t u v"
+    data = [(1, "a b c d"), (1, "a b c d"), (1, other), (2, other), (None, "n o p"), (None, "n o p"), (3, "a b c d")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "n o p"), (1, "a b c d"), (1, other)]

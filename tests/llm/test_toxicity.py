@@ -99,3 +99,15 @@ def test_probabilities_of_a_context_sum_to_one():
 def test_new_words_are_no_evidence():
     models = toxicity.ClassModels({b"\0\0\0\0a": 5}, {b"\0\0\0\0a": 5})
     assert toxicity.WordEvidence(models)[b"qqq"] == pytest.approx(0)
+
+
+def test_stage_judges_rows_and_not_ids(spark):
+    docs, labels, _ = rows(300)
+    documents, known = frames(spark, docs, labels)
+    predicted = {r.doc_id: r.predicted for r in toxicity.score(documents, known).collect()}
+    texts = {d[0]: d[1] for d in docs}
+    toxic = next(texts[d] for d in sorted(predicted) if predicted[d])
+    ordinary = next(texts[d] for d in sorted(predicted) if not predicted[d] and texts[d])
+    more, _ = frames(spark, [(None, toxic), (None, ordinary), (9000, toxic), (9000, ordinary)], labels)
+    kept = toxicity.keep_ordinary(documents.unionByName(more), known).where("doc_id is null or doc_id = 9000").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, ordinary), (9000, ordinary)]
