@@ -2,9 +2,9 @@
 
 Every piece of text has the path of tags from the root to it. Per path of a page, text length and
 punctuation are divided by the number of pieces; the two ratios are smoothed over the pieces in
-page order, multiplied, and cut at a share of their standard deviation. What passes votes for the
-smallest element that holds nearly all of it; that element, widened to the article around it, is
-the main text. Short pieces inside, such as headings, stay; menus, forms and the like go.
+page order, multiplied, and cut at a share of their standard deviation. The smallest element that
+holds all that passes, widened to the article around it, is the main text. Short pieces inside, such
+as headings, stay; menus, forms and the like go, unless they turn out to hold most of what passes.
 """
 
 from __future__ import annotations
@@ -53,30 +53,35 @@ NAMED = re.compile(r"\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"
 # A piece passes from this share of the standard deviation of the fused ratios.
 CUT = 0.5
 SMOOTH = np.array([1.0, 2.0, 1.0]) / 4
-# The chosen element holds this share of the text that passes.
-HOLDS = 0.8
+# What asides may be: not shown at all, or named or tagged so, or named so by a part of a longer name only.
+HIDDEN, NAMED_SO, PARTLY = 3, 2, 1
 
 
-def _is_aside(tag: str, attributes: str, inside_main: bool) -> bool:
-    if tag in ASIDE or tag == "header" and not inside_main:
-        return True
+def _aside(tag: str, attributes: str, inside_main: bool) -> int:
+    """How surely an element is an aside: 0 if it is none."""
+    if tag == "head":
+        return HIDDEN
+    found = NAMED_SO if tag in ASIDE or tag == "header" and not inside_main else 0
     if not attributes or attributes.isspace() or tag in ("html", "body"):
-        return False
+        return found
     for name, value in NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id") and ASIDE_NAME.search(value):
-            return True
+            whole = any(all(map(ASIDE_NAME.fullmatch, re.split("[_-]", v))) or ASIDE_NAME.fullmatch(v) for v in value.split())
+            found = max(found, NAMED_SO if whole else PARTLY)
         if name == "role" and value.lower() in ASIDE_ROLE:
-            return True
+            found = max(found, NAMED_SO)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+            return HIDDEN
+    return found
 
 
-def pieces(source: str) -> list[tuple[str, int, tuple[int, ...], tuple[str, ...], bool]]:
-    """(text, block, elements from the root, their tags, inside a link) of all text outside asides."""
+def pieces(source: str) -> tuple[list[tuple[str, int, tuple[int, ...], tuple[str, ...], bool]], dict[int, int]]:
+    """(text, block, elements from the root, their tags, inside a link) of all text that is not hidden,
+    and the elements that may be asides."""
     out: list = []
-    stack: list[tuple[str, int, bool]] = []  # tag, element, aside
+    asides: dict[int, int] = {}
+    stack: list[tuple[str, int, bool]] = []  # tag, element, hidden
     element = block = at = 0
     for token in TOKEN.finditer(source):
         if token.start() > at and not (stack and stack[-1][2]):
@@ -107,12 +112,39 @@ def pieces(source: str) -> list[tuple[str, int, tuple[int, ...], tuple[str, ...]
                 if stack[depth][0] in BLOCK:
                     break
         element += 1
-        aside = bool(stack and stack[-1][2]) or _is_aside(tag, token.group(4), any(s[0] in MAIN for s in stack))
-        stack.append((tag, element, aside))
+        aside = _aside(tag, token.group(4), any(s[0] in MAIN for s in stack))
+        if aside:
+            asides[element] = aside
+        stack.append((tag, element, aside == HIDDEN or bool(stack and stack[-1][2])))
     if at < len(source) and not (stack and stack[-1][2]):
         tags = tuple(s[0] for s in stack)
         out.append((source[at:], block, tuple(s[1] for s in stack), tags, "a" in tags))
-    return out
+    return out, asides
+
+
+def _passing(found: list) -> np.ndarray:
+    fused = _fused(found)
+    return fused >= CUT * fused.std()
+
+
+def _outside(everything: list, asides: dict[int, int]) -> list:
+    """The pieces outside asides. What holds most of the text that passes is no aside, if only a part
+    of its name says so, or if there is no article outside."""
+    rest = [p for p in everything if asides.keys().isdisjoint(p[2])]
+    if len(rest) == len(everything):
+        return rest
+    weight: dict[int, int] = defaultdict(int)
+    found, total = [p for p in everything if not p[0].isspace()], 0
+    for piece, good in zip(found, _passing(found) if found else (), strict=True):
+        if good and not piece[4]:
+            total += len(piece[0])
+            for e in piece[2]:
+                weight[e] += len(piece[0])
+    has_article = any(not MAIN.isdisjoint(p[3]) and not p[0].isspace() for p in rest)
+    wrong = {e for e, sure in asides.items() if 2 * weight[e] > total and (sure == PARTLY or not has_article)}
+    if not wrong:
+        return rest
+    return [p for p in everything if not any(e in asides and e not in wrong for e in p[2])]
 
 
 def _fused(found: list) -> np.ndarray:
@@ -135,31 +167,23 @@ def main_text(source: str | None) -> str:
     White space inside a block is one space, blocks are joined by one space, character references
     are decoded. Nothing is cut, however long.
     """
-    everything = pieces(source or "")
+    everything = _outside(*pieces(source or ""))
     found = [p for p in everything if not p[0].isspace()]
     if not found:
         return ""
-    fused = _fused(found)
-    passes = fused >= CUT * fused.std()
-    weight: dict[int, int] = defaultdict(int)
-    tag_of: dict[int, str] = {}
-    for piece, good in zip(found, passes, strict=True):
-        if good:
-            for e in piece[2]:
-                weight[e] += len(piece[0])
-        tag_of.update(zip(piece[2], piece[3], strict=True))
-    total = sum(len(p[0]) for p, good in zip(found, passes, strict=True) if good)
-    # Elements are numbered in page order, so the last that holds enough is the deepest.
-    holders = [e for e, w in weight.items() if w >= HOLDS * total]
-    chosen = None
-    if holders:
-        deepest = max(holders)
-        line = next(p[2] for p in found if deepest in p[2])
-        line = line[: line.index(deepest) + 1]
-        around = [e for e in line if tag_of[e] in MAIN]
-        boxes = [e for e in line if tag_of[e] in ("div", "section", "td", "body", "html")]
-        chosen = around[-1] if around else boxes[-1] if boxes else None
-    in_main = chosen is not None and tag_of[chosen] in MAIN
+    passes = _passing(found)
+    content = [p for p, good in zip(found, passes, strict=True) if good]
+    # The elements around all of it, and the innermost of them that can be an article or a box.
+    line = content[0][2] if content else ()
+    for piece in content:
+        if piece[2][: len(line)] != line:
+            same = [a == b for a, b in zip(line, piece[2], strict=False)]
+            line = line[: (same + [False]).index(False)]
+    tags = content[0][3][: len(line)] if content else ()
+    around = [e for e, tag in zip(line, tags, strict=True) if tag in MAIN]
+    boxes = [e for e, tag in zip(line, tags, strict=True) if tag in ("div", "section", "td", "body", "html")]
+    chosen = around[-1] if around else boxes[-1] if boxes else None
+    in_main = bool(around)
     low = {id(p) for p, good in zip(found, passes, strict=True) if p[4] and not good and not in_main}
     blocks: dict[int, list[str]] = defaultdict(list)
     for piece in everything:

@@ -43,3 +43,19 @@ def test_long_pages_are_whole():
     text = html_text.main_text(f"<nav>n</nav><article><h1>H</h1>{body}</article>")
     assert text.startswith("H A long") and text.endswith(" 2999") and len(text) > 3000 * len(LONG)
     assert html_text.main_text("<div>" * 3000 + "deep text.") == "deep text."
+
+
+MORE = " ".join([LONG.strip()] * 6)
+
+
+@pytest.mark.parametrize("source, text", [
+    (f"<body><div class=post><div class=lead><p>{LONG}</p></div><div class=body><p>{MORE}</p></div></div></body>", f"{LONG}{MORE}"),
+    (f"<body><section><p>{LONG}</p></section><section><p>{MORE}</p></section></body>", f"{LONG}{MORE}"),
+    (f"<main><article><p>{LONG}</p></article><article><p>{MORE}</p></article></main>", f"{LONG}{MORE}"),
+    (f"<body><div class='layout has-sidebar'><div class=sidebar>Links</div><p>{MORE}</p></div></body>", MORE),
+    (f"<article class='post category-social'><p>{MORE}</p><div class=share>Share</div></article>", MORE),
+    (f"<body><form id=f><div><p>{MORE}</p></div></form></body>", MORE),
+    (f"<article><p>{LONG}</p></article><div class=comments><p>{MORE}</p></div>", LONG.strip()),
+])
+def test_all_of_the_content_is_kept(source, text):
+    assert html_text.main_text(source) == text
