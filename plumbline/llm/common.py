@@ -38,3 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def numbered(documents: DataFrame, row: str) -> DataFrame:
     """``documents`` with a unique number in the column ``row``, written once, which fixes it."""
     return written(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name

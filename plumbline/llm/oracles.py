@@ -59,4 +59,56 @@ WITH rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'b
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f
 """
 
-ORACLES = {"op2_warc": OP2, "op3_decontamination": OP3, "op10_url_filters": OP10}
+OP13 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 3))::INT AS cell
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::BIGINT AS cap,
+         [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, row_number() OVER w AS k, sum(cap) OVER w - cap AS caps, sum(weight) OVER () - sum(weight) OVER w + weight AS weights,
+         1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE AS total
+  FROM s WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), level AS (
+  SELECT arg_min(total - caps, k) AS rest, arg_min(weights, k) AS weights, min(k) AS k
+  FROM o WHERE weight * (total - caps) <= cap * weights
+), t AS (
+  SELECT source, source_size,
+         CASE WHEN level.k IS NULL OR o.k < level.k THEN cap ELSE weight * rest / level.weights END AS target
+  FROM o, level
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
+         CASE WHEN source_size > 0 THEN (target - floor(target / source_size) * source_size) / source_size ELSE 0 END AS fraction
+  FROM t
+), c AS (
+  SELECT source, len(bin(size)) AS class, cell, sum(size)::BIGINT AS words FROM d WHERE size > 0 GROUP BY ALL
+), marks AS (
+  SELECT source, class, cell + 1 AS cut, sum(words) OVER (PARTITION BY source, class ORDER BY cell) AS given FROM c
+  UNION ALL SELECT DISTINCT source, class, 0, 0 FROM c
+), classes AS (
+  SELECT source, class, sum(words)::DOUBLE AS words,
+         row_number() OVER (PARTITION BY source ORDER BY class DESC) AS step
+  FROM c GROUP BY source, class
+), cuts(source, step, class, cut, owed) AS (
+  SELECT source, 0::BIGINT, 0::BIGINT, 0, 0.0::DOUBLE FROM e
+  UNION ALL
+  SELECT source, step, class, mark.cut, wanted - mark.given
+  FROM (
+    SELECT n.source, n.step, n.class, any_value(e.fraction * n.words + p.owed) AS wanted,
+           arg_min({'cut': m.cut, 'given': m.given::DOUBLE}, (abs(m.given::DOUBLE - (e.fraction * n.words + p.owed)), m.cut)) AS mark
+    FROM cuts p JOIN classes n ON n.source IS NOT DISTINCT FROM p.source AND n.step = p.step + 1
+         JOIN e ON e.source IS NOT DISTINCT FROM p.source
+         JOIN marks m ON m.source IS NOT DISTINCT FROM n.source AND m.class = n.class
+    GROUP BY n.source, n.step, n.class
+  )
+)
+SELECT doc_id, size, source_size, target,
+       size * (whole + CASE WHEN size > 0 AND cell < cut THEN 1 ELSE 0 END) AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+     LEFT JOIN cuts ON step > 0 AND cuts.source IS NOT DISTINCT FROM d.source AND cuts.class = len(bin(size))
+"""
+
+ORACLES = {"op2_warc": OP2, "op3_decontamination": OP3, "op10_url_filters": OP10, "op13_mixing": OP13}

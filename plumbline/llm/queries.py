@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from plumbline.durable import shared_dir
-from plumbline.llm import decontaminate, embeddings, html_text, packing, simhash, suffix_dedup, suffix_tree, toxicity, url_filter, warc
+from plumbline.llm import decontaminate, embeddings, html_text, mixing, packing, simhash, suffix_dedup, suffix_tree, toxicity, url_filter, warc
 from plumbline.llm.common import table
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
@@ -67,6 +67,10 @@ def op10_url_filters(spark, folder):
     return url_filter.judge_urls(table(spark, folder, "pages"), rules)
 
 
+def op13_mixing(spark, folder):
+    return mixing.taken(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_warc": op2_warc,
@@ -78,4 +82,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_embeddings": op9_embeddings,
     "op10_url_filters": op10_url_filters,
+    "op13_mixing": op13_mixing,
 }
