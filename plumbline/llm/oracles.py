@@ -59,6 +59,43 @@ WITH rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'b
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f
 """
 
+OP12 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, w[i : i + k - 1] AS g, k, count(*)::BIGINT AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+  GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT * FROM grams WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.g, c.f, x.f AS l, y.f AS r, j, (2000000::HUGEINT * c.f // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+       JOIN grams x ON x.lang = c.lang AND x.g = c.g[1 : j] JOIN grams y ON y.lang = c.lang AND y.g = c.g[j + 1 : c.k]
+), weakest AS (
+  SELECT lang, g, f, arg_min({{'l': l, 'r': r, 'score': score}}, (score, j)) AS cut FROM cuts GROUP BY lang, g, f
+), covered AS (
+  SELECT DISTINCT lang, s AS g, f AS longer
+  FROM (SELECT lang, f, g[i : i + m - 1] AS s
+        FROM (SELECT lang, g, f, k, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k))
+), kept AS (
+  SELECT * FROM weakest w
+  WHERE NOT EXISTS (SELECT 1 FROM covered x WHERE x.lang = w.lang AND x.g = w.g AND 100::HUGEINT * x.longer >= 80::HUGEINT * w.f)
+), ranked AS (
+  SELECT *, array_to_string(g, ' ') AS phrase,
+         row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, f DESC, array_to_string(g, ' ')) AS rank
+  FROM kept
+)
+SELECT lang, rank, phrase, f AS a, cut.l AS l, cut.r AS r, n, cut.score AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 OP13 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -111,4 +148,4 @@ FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
      LEFT JOIN cuts ON step > 0 AND cuts.source IS NOT DISTINCT FROM d.source AND cuts.class = len(bin(size))
 """
 
-ORACLES = {"op2_warc": OP2, "op3_decontamination": OP3, "op10_url_filters": OP10, "op13_mixing": OP13}
+ORACLES = {"op2_warc": OP2, "op3_decontamination": OP3, "op10_url_filters": OP10, "op12_collocations": OP12, "op13_mixing": OP13}
