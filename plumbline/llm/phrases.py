@@ -165,8 +165,10 @@ class _Groups:
     def route(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Group and prefix length of every suffix; -1 where a split prefix is the whole suffix."""
         group, length = np.full(len(rows), -1, "i4"), np.ones(len(rows), "u1")
-        new = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else []
-        for low, high in zip(new, np.append(new[1:], len(rows)).tolist(), strict=True):
+        if not len(rows):
+            return group, length
+        new = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        for low, high in zip(new.tolist(), np.append(new[1:], len(rows)).tolist(), strict=True):
             prefix = words[rows[low, 0]]
             if prefix not in self.split:
                 group[low:high] = self.of(prefix)
