@@ -59,6 +59,81 @@ WITH rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'b
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f
 """
 
+OP11 = r"""
+WITH RECURSIVE f AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), bits AS (  -- CRC-32, byte by byte; keys are digits, a colon, a sign or a blank
+  SELECT key, 4294967295::BIGINT AS crc, 0 AS done FROM (SELECT DISTINCT key FROM f)
+  UNION ALL
+  SELECT key, list_reduce([xor(crc, ascii(key[done + 1])::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), done + 1
+  FROM bits WHERE done < length(key)
+), fault AS (
+  SELECT key, xor(crc, 4294967295) % 20 AS fault FROM bits WHERE done = length(key)
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM f JOIN fault USING (key) WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         rtrim(text, E' \t\n\x0B\x0C\r') AS bare, left(role, 1) AS x FROM damaged
+), r AS (
+  SELECT *, CASE WHEN bare = '' THEN 1 WHEN again THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS x0 FROM placed
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) AS n,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (i > 1 AND x0 || x NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id
+), moves(q, x, p) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), dp(conv_id, i, q, best) AS (  -- best: cost and edits with which the first i rows lead to state q
+  SELECT conv_id, 0::BIGINT, 0, {'cost': 0, 'audit': ''} FROM sums
+  UNION ALL
+  SELECT conv_id, i + 1, p, min({'cost': cost, 'audit': audit})
+  FROM (
+    WITH wide AS (
+      SELECT conv_id, i, q, best.cost AS cost, best.audit AS audit FROM dp
+      UNION ALL SELECT conv_id, i, CASE q WHEN 2 THEN 3 ELSE 2 END, best.cost + 2, best.audit || 'I' FROM dp
+      UNION ALL SELECT conv_id, i, CASE q WHEN 2 THEN 2 ELSE 3 END, best.cost + 4, best.audit || 'II' FROM dp
+    )
+    SELECT w.conv_id, w.i, w.q AS p, w.cost + 3 AS cost, audit || 'D' AS audit
+    FROM wide w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+    UNION ALL
+    SELECT w.conv_id, w.i, m.p, w.cost + CASE WHEN r.fault = 3 THEN 1 ELSE 0 END, audit || 'K'
+    FROM wide w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 AND r.fault IN (0, 3) JOIN moves m ON m.q = w.q AND m.x = r.x
+    UNION ALL
+    SELECT w.conv_id, w.i, CASE w.q WHEN 2 THEN 3 ELSE 2 END, w.cost + 2 + CASE WHEN r.fault = 3 THEN 1 ELSE 0 END, audit || 'R'
+    FROM wide w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 AND r.fault IN (0, 3)
+  ) GROUP BY conv_id, i, p
+), best AS (
+  SELECT s.conv_id, min(CASE q WHEN 1 THEN {'cost': best.cost + 4, 'audit': best.audit || 'II'}
+         WHEN 2 THEN {'cost': best.cost + 2, 'audit': best.audit || 'I'} ELSE best END) AS best
+  FROM sums s JOIN dp ON dp.conv_id IS NOT DISTINCT FROM s.conv_id AND dp.i = s.n GROUP BY s.conv_id
+), e AS (
+  SELECT conv_id, p, best.audit[p] AS edit FROM (SELECT *, unnest(range(1, len(best.audit) + 1)) AS p FROM best)
+), o AS (
+  SELECT e.*, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER w AS k
+  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY p ROWS UNBOUNDED PRECEDING)
+), out AS (
+  SELECT o.conv_id, p, edit, k, r.role, r.text, r.x,
+         bool_or(k = 1 AND edit = 'K' AND r.x = 's') OVER (PARTITION BY o.conv_id) AS opened
+  FROM o LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM o.conv_id AND r.i = o.i AND edit <> 'I' WHERE edit <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (k + opened::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+         || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS whole FROM out GROUP BY conv_id
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids
+     LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ids.conv_id
+     LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+     LEFT JOIN repaired ON repaired.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
 OP12 = f"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -148,4 +223,4 @@ FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
      LEFT JOIN cuts ON step > 0 AND cuts.source IS NOT DISTINCT FROM d.source AND cuts.class = len(bin(size))
 """
 
-ORACLES = {"op2_warc": OP2, "op3_decontamination": OP3, "op10_url_filters": OP10, "op12_collocations": OP12, "op13_mixing": OP13}
+ORACLES = {"op2_warc": OP2, "op3_decontamination": OP3, "op10_url_filters": OP10, "op11_conversation_repair": OP11, "op12_collocations": OP12, "op13_mixing": OP13}

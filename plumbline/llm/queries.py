@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from plumbline.durable import shared_dir
-from plumbline.llm import decontaminate, embeddings, html_text, mixing, packing, phrases, simhash, suffix_dedup, suffix_tree, toxicity, url_filter, warc
+from plumbline.llm import decontaminate, embeddings, html_text, mixing, packing, phrases, repair, simhash, suffix_dedup, suffix_tree, toxicity, url_filter, warc
 from plumbline.llm.common import table
 from plumbline.llm.oracles import ORACLES  # noqa: F401
 
@@ -67,6 +67,10 @@ def op10_url_filters(spark, folder):
     return url_filter.judge_urls(table(spark, folder, "pages"), rules)
 
 
+def op11_conversation_repair(spark, folder):
+    return repair.damage_report(table(spark, folder, "conversations"))
+
+
 def op12_collocations(spark, folder):
     return phrases.collocations(table(spark, folder, "documents"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_embeddings": op9_embeddings,
     "op10_url_filters": op10_url_filters,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_collocations": op12_collocations,
     "op13_mixing": op13_mixing,
 }
