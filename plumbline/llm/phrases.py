@@ -39,7 +39,7 @@ SCALE = 2_000_000
 # Suffixes of one group, at least; it grows with the root of the corpus, so groups do no more.
 BUDGET = 1 << 19
 # Words that a task folds at a time.
-FOLD_WORDS = 1 << 22
+FOLD_WORDS = 1 << 21
 # Prefixes are packed into groups within shards of so many budgets.
 SHARD = 8
 
@@ -80,28 +80,41 @@ class _Fold:
                     out[i] = head + word
         return out
 
-    def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct suffixes in order, 0 beyond their end; how often each occurs)."""
-        one = np.concatenate([*self.parts, np.zeros(self.depth, "u4")]) if self.parts else np.zeros(self.depth, "u4")
-        n = len(one) - self.depth
-        rows = np.zeros((n, self.depth), "u4")
-        live = np.ones(n, dtype=bool)
-        for j in range(self.depth):
-            live &= one[j : n + j] != 0
-            rows[:, j] = np.where(live, one[j : n + j], 0)
-        return folded(rows[rows[:, 0] != 0], None)
+    def suffixes(self, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct suffixes in order, 0 beyond their end; how often each occurs).
+
+        Only those that begin with a word whose entry in ``starts`` is true, if given.
+        """
+        one = np.concatenate([*self.parts, np.zeros(self.depth, "u4")])
+        first = one[: len(one) - self.depth]
+        if self.depth == 1:
+            counts = np.bincount(first)
+            counts[:1] = 0
+            rows = np.flatnonzero(counts)
+            return rows.astype("u4")[:, None], counts[rows]
+        at = np.flatnonzero(first if starts is None else starts[first])
+        rows = np.zeros((len(at), self.depth), "u4")
+        rows[:, 0] = one[at]
+        for j in range(1, self.depth):
+            rows[:, j] = np.where(rows[:, j - 1] != 0, one[at + j], 0)
+        return folded(rows, None)
 
 
 def folded(rows: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in order, and the sum of the counts of each."""
     if not len(rows):
         return rows, np.zeros(0, "i8")
-    order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
-    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+    wide = rows.astype("u8")
+    if wide.shape[1] % 2:
+        wide = np.column_stack([wide, np.zeros(len(wide), "u8")])
+    keys = (wide[:, ::2] << np.uint64(32)) | wide[:, 1::2]  # two numbers a key
+    del wide
+    order = np.lexsort(keys.T[::-1]) if keys.shape[1] > 1 else np.argsort(keys[:, 0])
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
     if counts is None:
-        return rows[new], np.diff(new, append=len(rows))
-    return rows[new], np.add.reduceat(counts[order], new)
+        return rows[order[new]], np.diff(new, append=len(rows))
+    return rows[order[new]], np.add.reduceat(counts[order], new)
 
 
 def _folds(batches: Iterator[pa.RecordBatch], depth: int, fold_words: int) -> Iterator[_Fold]:
@@ -124,17 +137,18 @@ def _prefix(words: np.ndarray, row: np.ndarray) -> bytes:
 def _prefix_counts(texts: DataFrame, length: int, longer_than: set[bytes], fold_words: int) -> DataFrame:
     """(prefix, n) of the prefixes of ``length`` words that extend one of the given ones, or of all words."""
 
+    hot = {lang + b"\t" + p.split(b" ", 1)[0] for lang, p in (p.rsplit(b"\t", 1) for p in longer_than)}
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fold in _folds(batches, length, fold_words):
-            words, (rows, counts) = fold.words(), fold.suffixes()
-            whole = rows[:, -1] != 0
-            rows, counts = rows[whole], counts[whole]
+            words = fold.words()
             if length == 1:
+                rows, counts = fold.suffixes()
                 prefixes = words[rows[:, 0]].tolist()
             else:
-                hot = {lang + b"\t" + p.split(b" ", 1)[0] for lang, p in (p.rsplit(b"\t", 1) for p in longer_than)}
-                first = np.array([False, *(w in hot for w in words[1:])])[rows[:, 0]]
-                rows, counts = rows[first], counts[first]
+                rows, counts = fold.suffixes(np.array([False, *(w in hot for w in words[1:])]))
+                whole = rows[:, -1] != 0
+                rows, counts = rows[whole], counts[whole]
                 own = [_prefix(words, r) for r in rows]
                 keep = [i for i, p in enumerate(own) if p.rsplit(b" ", 1)[0] in longer_than]
                 prefixes, counts = [own[i] for i in keep], counts[keep]
