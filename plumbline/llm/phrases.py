@@ -37,7 +37,7 @@ TOP = 2000
 COVER = 80
 SCALE = 2_000_000
 # Suffixes of one group, at least; it grows with the root of the corpus, so groups do no more.
-BUDGET = 1 << 19
+BUDGET = 1 << 20
 # Words that a task folds at a time.
 FOLD_WORDS = 1 << 21
 # Prefixes are packed into groups within shards of so many budgets.
@@ -242,15 +242,17 @@ def _messages(texts: DataFrame, depth: int, groups: _Groups, fold_words: int) ->
             group, length = groups.route(words, rows)
             order = np.argsort(group, kind="stable")
             edges = np.searchsorted(group[order], np.arange(groups.n + 1))
-            place = np.zeros(len(words), "u4")
+            place, seen = np.zeros(len(words), "u4"), np.zeros(len(words), dtype=bool)
             out: list[tuple[int, bytes]] = []
             for g in range(groups.n):
                 own = order[edges[g] : edges[g + 1]]
                 if not len(own):
                     continue
                 mine = rows[own]
-                used = np.unique(mine)
-                used = used[used != 0]
+                seen[mine] = True
+                seen[0] = False
+                used = np.flatnonzero(seen)
+                seen[used] = False
                 place[used] = np.arange(1, len(used) + 1, dtype="u4")
                 small = np.ascontiguousarray(place[mine].T)
                 out.append((g, pack(BREAK.join(words[used]), small, counts[own].astype("u4"), length[own])))
