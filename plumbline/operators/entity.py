@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from plumbline.functions import similarity, text
 from plumbline.model import (
     CLUSTER_LOW,
-    EVIDENCE_CUTOFF,
     ROW_ID,
     SIGNALS,
     SignalConfig,
@@ -134,11 +133,10 @@ class Batch:
             best = best + self.weights[s] * (row(self.present[s]) & col(self.present[s])) * bound / 100
         return (weight > 0) & (best >= (REACH - 1e-9) * weight)
 
-    def score(self, ia: np.ndarray, ib: np.ndarray, evidence: bool = False):
+    def score(self, ia: np.ndarray, ib: np.ndarray):
         """Composite scores (rounded to 4 places) and the raw fuzzy scores of given pairs.
 
-        A fuzzy score is worked out only where it can decide something: where the composite
-        can still reach the threshold or, with ``evidence``, the score itself its cutoff.
+        A fuzzy score is worked out only where the composite can still reach the threshold.
         """
         weight, total = self._known(lambda x: x[ia], lambda x: x[ib])
         bounds, raw = {}, {}
@@ -151,8 +149,6 @@ class Batch:
             t, w = self.texts[s], self.weights[s]
             best = total + sum(self.weights[o] * bounds[o] / 100 for o in bounds if o not in raw)
             open_ = (best >= (REACH - 1e-9) * weight) & (bounds[s] > 0)
-            if evidence:
-                open_ |= bounds[s] >= EVIDENCE_CUTOFF
             rows = np.flatnonzero(open_)
             raw[s] = np.zeros(len(ia))
             if s == "name":
@@ -199,9 +195,12 @@ def _link_tile(config: SignalConfig, key: str | None):
         batch = Batch(tile, config)
         rep, copies = tile["rep"].to_numpy(), tile["n"].to_numpy().astype(float)
         ends_a, ends_b, links, scored = [], [], 0.0, 0
+        best = np.zeros(len(tile))
         for ia, ib in _tile_pairs(tile, batch, key):
             composite, _ = batch.score(ia, ib)
             good = composite >= CLUSTER_LOW
+            np.maximum.at(best, ia[good], composite[good])
+            np.maximum.at(best, ib[good], composite[good])
             scored += len(ia)
             ends_a.append(ia[good])
             ends_b.append(ib[good])
@@ -210,8 +209,9 @@ def _link_tile(config: SignalConfig, key: str | None):
         b = np.concatenate(ends_b) if ends_b else np.array([], dtype=int)
         label = _stars(len(tile), a, b)
         tied = np.flatnonzero(label != np.arange(len(tile)))
-        out = pd.DataFrame({"a": rep[tied], "b": rep[label[tied]], "links": 0.0, "scored": 0})
-        total = pd.DataFrame({"a": [-1], "b": [-1], "links": [links], "scored": [scored]})
+        # Of the two ends of a link one is tied at least, so the best link is among these rows.
+        out = pd.DataFrame({"a": rep[tied], "b": rep[label[tied]], "links": 0.0, "scored": 0, "best": best[tied]})
+        total = pd.DataFrame({"a": [-1], "b": [-1], "links": [links], "scored": [scored], "best": [0.0]})
         return pd.concat([out, total], ignore_index=True)
 
     return run
@@ -248,14 +248,15 @@ def link_tiles(
 
 
 def link_profiles(profiles: DataFrame, config: SignalConfig, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, links, scored): stars that connect linked profiles, and counts with a = -1."""
+    """(a, b, links, scored, best): stars that connect linked profiles, each with the best score
+    of a link of ``a`` in its tile, and counts with a = -1."""
     tiles, count, key = link_tiles(profiles, config, block_rows)
     return by_tile(tiles, count).applyInPandas(
-        _link_tile(config, key), "a long, b long, links double, scored long"
+        _link_tile(config, key), "a long, b long, links double, scored long, best double"
     )
 
 
-# --- scored pairs and evidence -----------------------------------------------------------
+# --- scored pairs -----------------------------------------------------------
 
 
 def _pair_tile(config: SignalConfig, key: str | None):
@@ -288,95 +289,3 @@ def scored_links(profiles: DataFrame, config: SignalConfig, block_rows: int = BL
     return by_tile(tiles, count).applyInPandas(
         _pair_tile(config, key), "a long, b long, n_a long, n_b long, composite double"
     )
-
-
-def _reasons(batch: Batch, raw: dict, ia: np.ndarray, ib: np.ndarray):
-    """Per signal: (place, pairs that show evidence, code of its text, text of one pair)."""
-    for place, s in enumerate(batch.weights):
-        codes, values = batch.codes[s], batch.values[s]
-        both = batch.present[s][ia] & batch.present[s][ib]
-        if s in EXACT:
-            label = s.replace("_", " ").title()
-            yield (
-                place,
-                np.flatnonzero(both & (codes[ia] == codes[ib])),
-                codes[ia],
-                lambda k, v=values, n=label: f"{n} exact match: '{v[ia[k]]}'",
-            )
-            continue
-        score = np.round(raw[s]).astype(np.int64)
-        code, tail = score, lambda k: ""
-        if s == "name":
-            code = (codes[ia].astype(np.int64) * len(codes) + codes[ib]) * 101 + score
-            tail = lambda k, v=values: f" ('{v[ia[k]]}' ~ '{v[ib[k]]}')"
-        yield (
-            place,
-            np.flatnonzero(both & (raw[s] >= EVIDENCE_CUTOFF)),
-            code,
-            lambda k, n=s.title(), r=raw[s], t=tail: f"{n} similarity {r[k]:.0f}/100{t(k)}",
-        )
-
-
-def _evidence_tile(config: SignalConfig, shown: int):
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(tile["row_id"].to_numpy(), kind="stable")
-        tile = tile.iloc[order].reset_index(drop=True)
-        batch = Batch(tile, config)
-        row = tile["row_id"].to_numpy()
-        cluster, names = pd.factorize(tile["cluster"])
-        best = np.zeros(len(names))
-        seen: list[dict[str, tuple]] = [{} for _ in names]
-        for ia, ib in equal_key_pairs(tile["_side"].to_numpy(), cluster):
-            ia, ib = np.minimum(ia, ib), np.maximum(ia, ib)  # rows are in id order
-            first = np.lexsort((ib, ia))
-            ia, ib = ia[first], ib[first]
-            composite, raw = batch.score(ia, ib, evidence=True)
-            np.maximum.at(best, cluster[ia], composite)
-            for place, pairs, code, say in _reasons(batch, raw, ia, ib):
-                key = pd.DataFrame({"c": cluster[ia[pairs]], "t": code[pairs]})
-                for k in pairs[~key.duplicated().to_numpy()]:  # one pair per distinct text
-                    at = (int(row[ia[k]]), int(row[ib[k]]), place)
-                    mine, text = seen[cluster[ia[k]]], say(k)
-                    mine[text] = min(mine.get(text, at), at)
-        out = []
-        for c, mine in enumerate(seen):
-            top = sorted(mine.items(), key=lambda item: item[1])[:shown]
-            reasons = [{"a": at[0], "b": at[1], "place": at[2], "reason": r} for r, at in top]
-            out.append((int(names[c]), float(best[c]), len(mine), reasons))
-        return pd.DataFrame(out, columns=["cluster", "composite", "kinds", "reasons"])
-
-    return run
-
-
-def cluster_evidence(
-    entries: DataFrame, config: SignalConfig, total: int, shown: int = 5, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """(cluster, confidence, evidence, kinds) from all inner pairs of every cluster.
-
-    ``entries(cluster, row_id, <signals>)``. Confidence is the best inner score; evidence
-    the first ``shown`` distinct reasons in pair order out of ``kinds``. For a cluster that
-    spans several tiles ``kinds`` adds up per tile and may count a reason twice.
-    """
-    sizes = entries.groupBy("cluster").agg(F.count(F.lit(1)).alias("_size"))
-    sized = join_counted(entries, sizes, "cluster", "_size", total=total).withColumn(
-        "cluster_key", F.col("cluster").cast("string")
-    )
-    cores = entries.sparkSession.sparkContext.defaultParallelism
-    bucket = bucket_rows(total, cores, block_rows)
-    tiles = key_tiles(sized, "cluster_key", "_size", "row_id", total, bucket)
-    tiles = tiles.select("cluster", "row_id", *config.active(), "_tile", "_side")
-    parts = by_tile(tiles, total // bucket + 1).applyInPandas(
-        _evidence_tile(config, shown),
-        "cluster long, composite double, kinds long, "
-        "reasons array<struct<a:long, b:long, place:int, reason:string>>",
-    )
-    # At most `shown` reasons per tile of a cluster are gathered here.
-    gathered = parts.groupBy("cluster").agg(
-        F.max("composite").alias("confidence"),
-        F.sum("kinds").alias("kinds"),
-        F.array_sort(F.flatten(F.collect_list("reasons"))).alias("reasons"),
-    )
-    names = F.array_distinct(F.transform("reasons", lambda r: r["reason"]))
-    return gathered.select(
-        "cluster", "confidence", F.slice(names, 1, shown).alias("evidence"), "kinds"
-    )

@@ -25,12 +25,8 @@ from plumbline.model import (
 )
 from plumbline.functions.text import is_blank
 from plumbline.operators.components import connected_components
-from plumbline.operators.entity import (
-    cluster_evidence,
-    link_profiles,
-    profiles_of,
-    signal_rows,
-)
+from plumbline.operators.entity import link_profiles, profiles_of, signal_rows
+from plumbline.operators.evidence import cluster_evidence
 from plumbline.operators.samples import first_k
 from plumbline.operators.tiles import BLOCK_ROWS
 from plumbline.skew import join_counted
@@ -117,23 +113,27 @@ def resolve_entities(
         members.select("row_id", "cluster"), elected, "cluster", "size"
     ).select("row_id", "cluster", (F.col("row_id") == F.col("retain_id")).alias("is_retained"))
 
-    # Copies speak through their first, second and last row; more add no new reason.
     copies = members.where("n > 1").select("profile", "row_id")
     second = first_k(copies, "profile", "row_id", 2).groupBy("profile").agg(F.max("row_id").alias("second"))
-    entries = clustered.join(second, "profile", "left").select(
-        "cluster",
-        *signals,
-        F.explode(F.array_distinct(F.array_compact(F.array("rep", "second", "last")))).alias("row_id"),
+    marked = materialise(clustered.join(second, "profile", "left"), "marked")
+    named = members.select("cluster", "row_id", "profile")
+    if "name" in signals:
+        named = named.join(clustered.select("profile", "name"), "profile").drop("profile")
+    evidence = cluster_evidence(marked, named, config, marked.count(), 5, block_rows)
+    # The best inner pair of a cluster is a link; copies are as alike as can be.
+    best = links.where("a >= 0").groupBy(F.col("a").alias("rep")).agg(F.max("best").alias("best"))
+    scores = marked.select("cluster", "rep", "n").join(best, "rep", "left")
+    confidence = scores.groupBy("cluster").agg(
+        F.max(F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n") > 1, 1.0).otherwise(0.0))).alias("confidence")
     )
-    entries = materialise(entries, "entries")
-    evidence = cluster_evidence(entries, config, entries.count(), 5, block_rows)
 
     more = F.when(F.col("kinds") > 5, F.format_string(" (and %d more)", F.col("kinds") - 5)).otherwise("")
     summary = F.when(
-        F.size("evidence") > 0, F.concat(F.array_join("evidence", "; "), more)
+        F.size("evidence") > 0, F.concat(F.array_join("evidence", "; "), F.coalesce(more, F.lit("")))
     ).otherwise(F.format_string("Composite similarity: %.0f%%", F.col("confidence") * 100))
     clusters = (
-        elected.join(evidence, "cluster")
+        elected.join(confidence, "cluster")
+        .join(evidence, "cluster", "left")
         .withColumn("evidence_summary", summary)
         .withColumn("issue_id", issue_id(dataset_id, Category.DEDUPLICATION, "entity", F.col("cluster").cast("string")))
     )

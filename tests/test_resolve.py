@@ -84,6 +84,30 @@ def brute_force(df, config):
     return {min(c): (c, best[k]) for k, c in clusters.items() if len(c) > 1}, links
 
 
+def plain_evidence(df, config, members):
+    """The evidence text of every cluster: distinct reasons of all its pairs, in pair order."""
+    signals = config.active()
+    rows = {r.row_id: r for r in signal_rows(df, config).collect()}
+    out = {}
+    for cluster, ids in members.items():
+        seen, ids = [], sorted(ids)
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                for s in signals:
+                    x, y = rows[a][s], rows[b][s]
+                    if not x or not y:
+                        continue
+                    raw = name_score(x, y) if s == "name" else token_set(x, y) if s == "address" else 100.0 * (x == y)
+                    text = {
+                        "name": f"Name similarity {raw:.0f}/100 ('{x}' ~ '{y}')",
+                        "address": f"Address similarity {raw:.0f}/100",
+                    }.get(s, f"{s.replace('_', ' ').title()} exact match: '{x}'")
+                    if raw >= 72 and text not in seen:
+                        seen.append(text)
+        out[cluster] = "; ".join(seen[:5]) + (f" (and {len(seen) - 5} more)" if len(seen) > 5 else "")
+    return out
+
+
 def random_vendors(seed, size):
     random.seed(seed)
     names = ["acme steel", "acme steel corp", "globex supplies", "globex supply llc", "initech", "wayne enterprises", "wayne enterprise"]
@@ -116,6 +140,35 @@ def test_clusters_equal_brute_force(spark, seed, block_rows):
     assert counters.profile_pairs_scored <= counters.row_pairs
 
 
+@pytest.mark.parametrize("seed,block_rows", [(4, 4), (4, 256), (4, 8192), (5, 7)])
+def test_evidence_equals_all_pairs_whatever_the_blocks(spark, seed, block_rows):
+    rows = random_vendors(seed, 60)
+    df = frame(spark, SCHEMA, rows + rows[::3] + rows[1::5] + rows[:4])  # copies, near and far
+    out = resolve_entities(df, "d", CONFIG, block_rows)
+    members = {}
+    for r in out.members.collect():
+        members.setdefault(r.cluster, set()).add(r.row_id)
+    got = {r.cluster: r.evidence_summary for r in out.clusters.collect()}
+    assert got == plain_evidence(df, CONFIG, members)
+    assert any("more)" in text for text in got.values())
+
+
+def test_evidence_of_both_orders_of_two_names(spark):
+    rows = [("acme steel", "1", None, None, None), ("acme steal", "1", None, None, None)] * 2
+    out = resolve_entities(frame(spark, SCHEMA, rows), "d", CONFIG)
+    assert out.clusters.first().evidence_summary == (
+        "Name similarity 90/100 ('acme steel' ~ 'acme steal'); Tax Id exact match: '1'; "
+        "Name similarity 100/100 ('acme steel' ~ 'acme steel'); Name similarity 90/100 ('acme steal' ~ 'acme steel'); "
+        "Name similarity 100/100 ('acme steal' ~ 'acme steal')"
+    )
+
+
+def test_a_cluster_without_reasons(spark):
+    config = SignalConfig(name=("n",), tax_id=("t",), weights={"name": 0.0, "tax_id": 1.0})
+    df = frame(spark, "n string, t string", [("", "1"), ("x", "1"), ("y", None)])
+    assert resolve_entities(df, "d", config).clusters.first().evidence_summary == "Tax Id exact match: '1'"
+
+
 def test_scored_links(spark):
     rows = [("Acme Corp.", "47-1", "123 Main St", "62701", None), ("ACME Corporation", "47 1", "123 Main Street", "62701", None)]
     df = frame(spark, SCHEMA, rows)
