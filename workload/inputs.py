@@ -84,6 +84,39 @@ SELECT _row_id + 200000000, concat(vendor_name, ' LLC'), address,
 FROM ({_BASE}) bare WHERE _row_id % 10 IN (3, 6)
 """
 
+# Suppliers in several spellings, so that scores lie on both sides of both thresholds: letters
+# changed, words in another order, cut names, missing signals, another tax id, and exact copies.
+_SUPPLIER = """
+SELECT s_suppkey AS k,
+  concat(substr(md5(CAST(s_suppkey AS STRING)), 1, 6), ' ', substr(md5(CAST(s_suppkey AS STRING)), 7, 7), ' ',
+    CASE WHEN s_suppkey % 3 = 0 THEN 'trading' WHEN s_suppkey % 3 = 1 THEN 'metal works' ELSE 'foods' END) AS name,
+  concat(CAST(s_suppkey % 90 + 1 AS STRING), ' ', substr(md5(CAST(s_suppkey + 7 AS STRING)), 1, 8), ' street') AS address,
+  concat(lpad(CAST(s_suppkey % 100 AS STRING), 2, '0'), '-', lpad(CAST(s_suppkey AS STRING), 7, '0')) AS tax_id,
+  concat('(', lpad(CAST(s_suppkey % 1000 AS STRING), 3, '0'), ') 555-', lpad(CAST(s_suppkey % 10000 AS STRING), 4, '0')) AS phone,
+  concat(lpad(CAST(s_nationkey + 100 AS STRING), 5, '0'), '-0001') AS zip
+FROM supplier
+"""
+SUPPLIER_VENDORS = f"""
+SELECT k AS _row_id, name AS vendor_name, address, tax_id, phone, zip FROM ({_SUPPLIER}) base
+UNION ALL
+SELECT k + 100000000, upper(translate(name, 'a3', 'e8')), address, tax_id, concat('1', phone, '9'), CAST(NULL AS STRING)
+FROM ({_SUPPLIER}) letters WHERE k % 4 = 1
+UNION ALL
+SELECT k + 200000000, concat(substr(name, 8, 7), ' ', substr(name, 1, 6), ', LLC'), replace(address, 'street', 'st'),
+  CAST(NULL AS STRING), CAST(NULL AS STRING), zip
+FROM ({_SUPPLIER}) turned WHERE k % 4 = 2
+UNION ALL
+SELECT k + 300000000, translate(name, 'b', 'd'), address, concat('9', tax_id), phone, zip
+FROM ({_SUPPLIER}) other_tax WHERE k % 4 = 3
+UNION ALL
+SELECT k + 400000000, concat(substr(name, 3, 9), CASE WHEN k % 8 = 0 THEN ' depot north' ELSE '' END), CAST(NULL AS STRING), '', phone, CAST(NULL AS STRING)
+FROM ({_SUPPLIER}) cut WHERE k % 4 = 0
+UNION ALL
+SELECT k + 500000000, name, address, tax_id, phone, zip FROM ({_SUPPLIER}) again WHERE k % 5 IN (0, 1)
+UNION ALL
+SELECT k + 600000000, name, address, tax_id, phone, zip FROM ({_SUPPLIER}) third WHERE k % 5 = 0
+"""
+
 # Links between customers of one nation: chains whose components are the nations.
 CHAINS = """
 SELECT c_custkey AS a, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b

@@ -277,7 +277,7 @@ ORACLES["er_issues"] = f"""{_clusters} SELECT {iid("DEDUPLICATION", "'entity|' |
 
 # Every tenth customer has a twin that is written differently and a bare one, every other tenth a
 # bare one: what the forms share is known from how they were made.
-ORACLES["er_full"] = """
+ORACLES["er_customers"] = """
 WITH k AS (
   SELECT c_custkey AS id, c_custkey % 10 = 3 AS full_twin,
     substr(md5(c_custkey::VARCHAR), 1, 6) || ' ' || substr(md5(c_custkey::VARCHAR), 7, 7) AS name,
@@ -294,6 +294,89 @@ SELECT id AS cluster, id AS retain_id, CASE WHEN full_twin THEN 3 ELSE 2 END::BI
 FROM k
 """
 
+# All scores from the definitions: LCS of every window by dynamic programming.
+_signals = f"""t AS ({inputs.SUPPLIER_VENDORS}),
+    s AS (SELECT _row_id AS id, trim(regexp_replace({_generic('vendor_name')}, '\\b({_suffix})\\b$', '')) AS name,
+      upper(regexp_replace(coalesce(tax_id, ''), '[\\s-]', '', 'g')) AS tax_id, {_generic('address')} AS address,
+      left(regexp_replace(coalesce(zip, ''), '\\D', '', 'g'), 5) AS zip,
+      right(regexp_replace(coalesce(phone, ''), '\\D', '', 'g'), 10) AS phone,
+      {" + ".join(f"CASE WHEN trim(coalesce({c}, '')) <> '' THEN 1 ELSE 0 END" for c in ("vendor_name", "address", "tax_id", "phone", "zip"))} AS filled
+      FROM t)"""
+_five = ("name", "tax_id", "address", "zip", "phone")
+_share = {"name": 0.40, "tax_id": 0.30, "address": 0.15, "zip": 0.08, "phone": 0.07}
+_known = {c: f"(a.{c} <> '' AND b.{c} <> '')" for c in _five}
+_all = " + ".join(f"CASE WHEN {_known[c]} THEN {_share[c]}::DOUBLE ELSE 0 END" for c in _five)
+_equal = " + ".join(f"CASE WHEN {_known[c]} AND a.{c} = b.{c} THEN {_share[c]}::DOUBLE ELSE 0 END" for c in ("tax_id", "zip", "phone"))
+_resolved = f"""WITH RECURSIVE {_signals},
+    -- Two records that differ in the tax id score 0.7 at most; rows of one supplier may still meet in a cluster.
+    pairs AS (SELECT a.id AS ia, b.id AS ib, {_equal} AS equal, {_all} AS weight, {", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in _five)}
+      FROM s a JOIN s b ON a.id < b.id
+      WHERE a.tax_id = '' OR b.tax_id = '' OR a.tax_id = b.tax_id OR a.id % 100000000 = b.id % 100000000),
+    texts AS (SELECT x, y, bool_or(named) AS named, list_sort(list_distinct(string_split(x, ' '))) AS tx, list_sort(list_distinct(string_split(y, ' '))) AS ty
+      FROM (SELECT least(a_name, b_name) AS x, greatest(a_name, b_name) AS y, true AS named FROM pairs WHERE a_name <> '' AND b_name <> ''
+        UNION ALL SELECT least(a_address, b_address), greatest(a_address, b_address), false FROM pairs WHERE a_address <> '' AND b_address <> '')
+      WHERE x <> y GROUP BY x, y),
+    np AS (SELECT x AS na, y AS nb, named, list_sort(list_intersect(tx, ty)) AS common,
+        array_to_string(list_filter(tx, lambda t: NOT list_contains(ty, t)), ' ') AS x,
+        array_to_string(list_filter(ty, lambda t: NOT list_contains(tx, t)), ' ') AS y,
+        CASE WHEN length(na) <= length(nb) THEN na ELSE nb END AS needle, CASE WHEN length(na) <= length(nb) THEN nb ELSE na END AS hay
+      FROM texts),
+    sides AS (SELECT na, nb, needle, hay FROM np WHERE named UNION ALL
+      SELECT na, nb, hay, needle FROM np WHERE named AND length(hay) = length(needle)),
+    windows AS (
+      SELECT na, nb, needle, substr(hay, i, length(needle)) AS w FROM sides, unnest(range(1, length(hay) - length(needle) + 2)) u(i)
+      UNION ALL SELECT na, nb, needle, left(hay, i) FROM sides, unnest(range(1, length(needle))) u(i)
+      UNION ALL SELECT na, nb, needle, right(hay, i) FROM sides, unnest(range(1, length(needle))) u(i)),
+    jobs AS (SELECT DISTINCT needle AS p, w AS q FROM windows UNION SELECT x, y FROM np),
+    dp AS (
+      SELECT p, q, 0 AS j, list_transform(range(0, length(p) + 1), lambda i: 0::BIGINT) AS cells FROM jobs
+      UNION ALL
+      SELECT p, q, j + 1, list_prepend(0::BIGINT, list_transform(range(1, length(p) + 1), lambda i: list_max(steps[1:i])))
+      FROM (SELECT p, q, j, list_transform(range(1, length(p) + 1), lambda i:
+              CASE WHEN p[i:i] = q[j + 1:j + 1] THEN cells[i] + 1 ELSE cells[i + 1] END) AS steps, cells
+            FROM dp WHERE j < length(q))),
+    lcs AS (SELECT p, q, list_max(cells) AS l FROM dp WHERE j = length(q)),
+    part AS (SELECT na, nb, max(200.0::DOUBLE * l / (length(needle) + length(w))) AS score
+      FROM windows JOIN lcs ON p = needle AND q = w GROUP BY na, nb),
+    tokens AS (SELECT na, nb, length(array_to_string(common, ' ')) AS s, CASE WHEN len(common) > 0 THEN 1 ELSE 0 END AS g,
+        length(x) AS nx, length(y) AS ny, l FROM np JOIN lcs ON p = x AND q = y),
+    sets AS (SELECT na, nb, CASE WHEN s > 0 AND (nx = 0 OR ny = 0) THEN 100.0::DOUBLE
+        WHEN s > 0 THEN greatest(100.0::DOUBLE * (1 - (nx + ny - 2 * l)::DOUBLE / (2 * (s + g) + nx + ny)),
+          100.0::DOUBLE * (1 - (g + nx)::DOUBLE / (2 * s + g + nx)), 100.0::DOUBLE * (1 - (g + ny)::DOUBLE / (2 * s + g + ny)))
+        ELSE 100.0::DOUBLE * (1 - (nx + ny - 2 * l)::DOUBLE / (nx + ny)) END AS score FROM tokens),
+    raw AS (SELECT p.*, CASE WHEN a_name = '' OR b_name = '' THEN NULL WHEN a_name = b_name THEN 100.0::DOUBLE
+          ELSE greatest(n.score, m.score) END AS name_score,
+        CASE WHEN a_address = '' OR b_address = '' THEN NULL WHEN a_address = b_address THEN 100.0::DOUBLE ELSE d.score END AS address_score
+      FROM pairs p LEFT JOIN part n ON n.na = least(a_name, b_name) AND n.nb = greatest(a_name, b_name)
+        LEFT JOIN sets m ON m.na = least(a_name, b_name) AND m.nb = greatest(a_name, b_name)
+        LEFT JOIN sets d ON d.na = least(a_address, b_address) AND d.nb = greatest(a_address, b_address)),
+    scored AS (SELECT *, round((equal + {_share['address']}::DOUBLE * coalesce(address_score, 0) / 100
+        + {_share['name']}::DOUBLE * coalesce(name_score, 0) / 100) / weight, 4) AS composite FROM raw WHERE weight > 0)"""
+_profile = ", ".join(_five)
+ORACLES["er_scored"] = f"""{_resolved}, prof AS (SELECT {_profile}, min(id) AS rep, count(*) AS n FROM s GROUP BY {_profile})
+    SELECT ia AS a, ib AS b, p.n AS n_a, q.n AS n_b, composite
+    FROM scored JOIN prof p ON ia = p.rep JOIN prof q ON ib = q.rep WHERE composite >= 0.72"""
+ORACLES["er_full"] = f"""{_resolved},
+    edges AS (SELECT ia AS x, ib AS y FROM scored WHERE composite >= 0.72 UNION SELECT ib, ia FROM scored WHERE composite >= 0.72),
+    reach AS (SELECT DISTINCT x AS node, x AS other FROM edges UNION SELECT node, y FROM reach JOIN edges ON other = x),
+    m AS (SELECT node AS id, min(other) AS cluster FROM reach GROUP BY node),
+    inner_pairs AS (SELECT p.cluster, scored.* FROM scored JOIN m p ON ia = p.id JOIN m q ON ib = q.id AND p.cluster = q.cluster),
+    told AS (
+      SELECT cluster, ia, ib, 0 AS place, format('Name similarity {{:.0f}}/100 (''{{}}'' ~ ''{{}}'')', name_score, a_name, b_name) AS reason
+        FROM inner_pairs WHERE name_score >= 72
+      UNION ALL SELECT cluster, ia, ib, 1, concat('Tax Id exact match: ''', a_tax_id, '''') FROM inner_pairs WHERE a_tax_id <> '' AND a_tax_id = b_tax_id
+      UNION ALL SELECT cluster, ia, ib, 2, format('Address similarity {{:.0f}}/100', address_score) FROM inner_pairs WHERE address_score >= 72
+      UNION ALL SELECT cluster, ia, ib, 3, concat('Zip exact match: ''', a_zip, '''') FROM inner_pairs WHERE a_zip <> '' AND a_zip = b_zip
+      UNION ALL SELECT cluster, ia, ib, 4, concat('Phone exact match: ''', a_phone, '''') FROM inner_pairs WHERE a_phone <> '' AND a_phone = b_phone),
+    once AS (SELECT cluster, reason, min((ia, ib, place)) AS first FROM told GROUP BY cluster, reason),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY first) AS r, count(*) OVER (PARTITION BY cluster) AS kinds FROM once),
+    summary AS (SELECT cluster, concat(string_agg(reason, '; ' ORDER BY r) FILTER (WHERE r <= 5),
+        CASE WHEN any_value(kinds) > 5 THEN concat(' (and ', any_value(kinds) - 5, ' more)') ELSE '' END) AS evidence_summary FROM ranked GROUP BY cluster),
+    best AS (SELECT cluster, max(composite) AS confidence FROM inner_pairs GROUP BY cluster)
+    SELECT cluster, arg_max(id, filled * 1000000000000 - id) AS retain_id, count(*) AS size, any_value(confidence) AS confidence,
+      coalesce(any_value(evidence_summary), concat('Composite similarity: ', round(any_value(confidence) * 100)::INT, '%')) AS evidence_summary
+    FROM m JOIN s USING (id) JOIN best USING (cluster) LEFT JOIN summary USING (cluster) GROUP BY cluster"""
+
 # --- report and scorecard ----------------------------------------------------------------
 
 # (category, severity, row) of every finding on customers; the key separates issues

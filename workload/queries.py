@@ -332,7 +332,17 @@ def er_exact_counters(spark, folder):
     )
 
 
+def er_scored(spark, folder):
+    rows = entity.signal_rows(derived(spark, folder, inputs.SUPPLIER_VENDORS), SIGNALS)
+    return entity.scored_links(materialise(entity.profiles_of(rows, SIGNALS.active()), "profiles"), SIGNALS)
+
+
 def er_full(spark, folder):
+    out = resolve.resolve_entities(derived(spark, folder, inputs.SUPPLIER_VENDORS), DATASET, SIGNALS)
+    return out.clusters.select("cluster", "retain_id", "size", "confidence", "evidence_summary")
+
+
+def er_customers(spark, folder):
     out = resolve.resolve_entities(derived(spark, folder, inputs.VENDORS), DATASET, SIGNALS)
     return out.clusters.select("cluster", "retain_id", "size", "confidence", "evidence_summary")
 
@@ -617,6 +627,7 @@ QUERIES = {
         consistency_part, consistency_rows, fuzzy_dedup, fuzzy_exact_norm, fuzzy_rows,
         canonical_form, pair_dedup, topk_samples, normalise_signals, er_exact_signals,
         er_components, er_canonical, er_elect, er_exact_clusters, er_exact_counters, er_full,
+        er_scored, er_customers,
         er_issues, dq_report, dq_report_categories, review_apply, review_outcomes,
         rejection_audit, bulk_approve, issue_list, registry_merge, review_counts,
         export_checklist, category_table, cleanse_results, cleanse_totals, cleanse_amounts,
