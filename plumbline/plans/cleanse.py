@@ -29,7 +29,7 @@ from plumbline.model import (
     plan_time,
 )
 from plumbline.operators.cells import fit, nested_columns, retype
-from plumbline.operators.merges import effective_merges
+from plumbline.operators.merges import POLICIES, effective_merges, merge_components
 from plumbline.skew import join_counted, with_row_counts
 
 _PHASE = {
@@ -60,12 +60,18 @@ def execute_approved(
     actor_role: str = "",
     only: list[str] | None = None,
     at: Column | None = None,
+    merge_policy: str = "sequential",
 ) -> Cleansed:
     """Run every approved, actionable issue; others count as skipped.
 
     With ``only``, just the named issues run, and naming one that is not approved or only a
-    flag is a failure that is put on record.
+    flag is a failure that is put on record. ``merge_policy`` says what overlapping merges do:
+    ``sequential``, one after the other, where a merge fails whose row to keep is gone; or
+    ``components``, where rows that merges connect become one, the row that the first of these
+    merges keeps, and later merges write their values there.
     """
+    if merge_policy not in POLICIES:
+        raise ValueError(f"merge_policy is one of {', '.join(POLICIES)}")
     now = plan_time() if at is None else at
     if "seq" not in issues.columns:
         issues = issues.withColumn("seq", F.lit(0).cast("long"))
@@ -99,7 +105,7 @@ def execute_approved(
     ids = typed.select(F.col(ROW_ID).alias("row_id"))
     roles = materialise(roles.join(ids, "row_id", "left_semi"), "roles")
 
-    merge_state, first_gone = _removals(good, roles)
+    merge_state, first_gone = _removals(good, roles, merge_policy)
     flat_values = canonical_values.where(~F.col("column").isin(nested_columns(typed)))
     events = materialise(_cell_events(good, roles, merge_state, flat_values), "events")
     cleaned = _apply(typed, events, first_gone)
@@ -231,7 +237,7 @@ def _misfits(df: DataFrame, canonical_values: DataFrame) -> DataFrame:
     return odd.groupBy("issue_id").agg(F.min(_misfit_text(column, value)).alias("misfit"))
 
 
-def _removals(good: DataFrame, roles: DataFrame):
+def _removals(good: DataFrame, roles: DataFrame, policy: str):
     """Merge outcomes, and per removed row the first action that removed it."""
     merges = good.where(F.col("action_type") == Action.MERGE_ROWS.value)
     keep = roles.where(
@@ -244,20 +250,24 @@ def _removals(good: DataFrame, roles: DataFrame):
         "canonical_value",
         F.col("_rows").alias("n"),
     ).join(keep, "issue_id")
-    retired = roles.where(F.col("role") == Role.RETIRE.value)
-    state = effective_merges(
-        runnable.select("issue_id", "at", "retain_id", "n"), retired.select("issue_id", "row_id")
-    )
-    state = materialise(runnable.join(state, "issue_id"), "merges")
-    effective = join_counted(
-        retired.where(F.col("action_type") == Action.MERGE_ROWS.value).select(
-            "row_id", "issue_id", "phase", "at"
-        ),
-        state.where("ok").select("issue_id", "n"),
-        "issue_id",
-        "n",
-        written=True,
-    ).drop("n")
+    retired = roles.where((F.col("role") == Role.RETIRE.value) & (F.col("action_type") == Action.MERGE_ROWS.value))
+    ordered = materialise(runnable.select("issue_id", "at", "retain_id", "n"), "merge-order")
+    phase = F.lit(_PHASE[Action.MERGE_ROWS.value]).alias("phase")
+    if policy == "components":
+        keepers, gone = merge_components(ordered, retired.select("issue_id", "row_id"))
+        state = runnable.drop("retain_id").join(keepers, "issue_id").withColumn("ok", F.lit(True))
+        state = materialise(state.withColumnRenamed("keeper", "retain_id"), "merges")
+        effective = gone.select("row_id", "issue_id", phase, "at")
+    else:
+        state = effective_merges(ordered, retired.select("issue_id", "row_id"))
+        state = materialise(runnable.join(state, "issue_id"), "merges")
+        effective = join_counted(
+            retired.select("row_id", "issue_id", "phase", "at"),
+            state.where("ok").select("issue_id", "n"),
+            "issue_id",
+            "n",
+            written=True,
+        ).drop("n")
     dropped = roles.where(
         (F.col("action_type") == Action.DROP_ROW.value) & (F.col("role") == Role.DROP.value)
     ).select("row_id", "issue_id", "phase", "at")

@@ -1,8 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline import execute_approved
+from plumbline.durable import materialise
 from plumbline.model import as_issues
+from plumbline.operators import merges
+from plumbline.operators.merges import effective_merges
 from tests.helpers import frame
 
 SCHEMA = "vendor_id string, vendor_name string, amount double, state string, payment_terms string"
@@ -20,7 +25,7 @@ def issue(name, action, column=None, value=None, status="APPROVED", dtype=None,
     return (name, action, column, value, status, dtype), rows
 
 
-def run(spark, *issues, values=(), only=None, rows=ROWS, schema=SCHEMA):
+def run(spark, *issues, values=(), only=None, rows=ROWS, schema=SCHEMA, policy="sequential"):
     df = frame(spark, schema, rows)
     heads = [(*head, len(r), seq) for seq, (head, r) in enumerate(issues)]
     base = spark.createDataFrame(
@@ -31,7 +36,7 @@ def run(spark, *issues, values=(), only=None, rows=ROWS, schema=SCHEMA):
     table = as_issues(base).join(base.select("issue_id", "seq"), "issue_id")
     listed = spark.createDataFrame([r for _, r in issues for r in r], "issue_id string, row_id long, role string")
     records = spark.createDataFrame(list(values), "issue_id string, column string, value string")
-    return execute_approved(df, table, listed, records, "bob", "analyst", only)
+    return execute_approved(df, table, listed, records, "bob", "analyst", only, merge_policy=policy)
 
 
 def cells(done, column):
@@ -127,6 +132,56 @@ def test_chain_of_merges_runs_in_order(spark):
     assert sorted(cells(done, "state")) == [0, 2, 4]
 
 
+def in_sequence(merges):
+    """Outcomes of (keep, retired rows) run one after the other."""
+    gone, out = set(), []
+    for keep, retired in merges:
+        out.append(keep not in gone)
+        gone |= set(retired) if out[-1] else set()
+    return out
+
+
+@pytest.mark.parametrize("seed,width", [(1, 1), (2, 1), (3, 3)])
+def test_overlapping_merges_equal_running_them_in_order(spark, seed, width):
+    rng = random.Random(seed)
+    plan = [(rng.randrange(25), rng.sample(range(25), rng.randint(0, width))) for _ in range(40)]
+    heads = [(f"m{i:02d}", i, keep, len(r)) for i, (keep, r) in enumerate(plan)]
+    state = spark.createDataFrame(heads, "issue_id string, at long, retain_id long, n long")
+    rows = [(f"m{i:02d}", r) for i, (_, retired) in enumerate(plan) for r in retired]
+    retired = spark.createDataFrame(rows, "issue_id string, row_id long")
+    got = {r.issue_id: r.ok for r in effective_merges(state, retired).collect()}
+    assert [got[f"m{i:02d}"] for i in range(40)] == in_sequence(plan)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(merges, "materialise", lambda df, name: tables.append(name) or materialise(df, name))
+    state = spark.range(300).selectExpr("concat('m', id) AS issue_id", "id AS at", "id AS retain_id", "1L AS n")
+    retired = spark.range(300).selectExpr("concat('m', id) AS issue_id", "id + 1 AS row_id")
+    got = {r.issue_id: r.ok for r in effective_merges(state, retired).collect()}
+    assert all(got[f"m{i}"] == (i % 2 == 0) for i in range(300))
+    assert len(tables) < 30  # one by one there were 300 rounds
+
+
+def test_components_of_merges(spark):
+    done = run(
+        spark,
+        issue("a", "MERGE_ROWS", "state", "A", retain=[1], retire=[2]),
+        issue("b", "MERGE_ROWS", "state", "B", retain=[2], retire=[0, 999]),
+        issue("c", "MERGE_ROWS", "state", "C", retain=[3]),
+        issue("d", "MERGE_ROWS", "state", "D", retain=[888], retire=[4]),
+        policy="components",
+    )
+    assert cells(done, "state") == {1: "B", 3: "C", 4: "PA"}
+    got = {k: (r.success, r.rows_affected) for k, r in results(done).items()}
+    assert got == {"a": (True, 2), "b": (True, 2), "c": (True, 1), "d": (False, 0)}
+
+
+def test_unknown_policy(spark):
+    with pytest.raises(ValueError, match="merge_policy"):
+        run(spark, issue("a", "DROP_ROW", drop=[0]), policy="any")
+
+
 def test_drop_and_its_audit(spark):
     done = run(spark, issue("a", "DROP_ROW", drop=[3, 50]), issue("b", "SET_VALUE", "state", "ZZ", target=[3]))
     assert 3 not in cells(done, "state") and results(done)["a"].rows_affected == 1

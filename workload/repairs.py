@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.durable import shared_dir
@@ -44,6 +45,53 @@ def _rows(df, *parts):
     return out
 
 
+def _merge_chain(spark, folder, policy):
+    """One merge per customer: it keeps the customer and retires the next of the nation.
+
+    The 20th of a nation retires the one after next too. Nothing stops a chain from being as
+    long as the nation.
+    """
+    df = _table(spark, folder, "customer").withColumn(ROW_ID, F.col("c_custkey"))
+    nation = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    links = df.select(
+        F.col("c_custkey").alias("keep"), F.lead("c_custkey", 1).over(nation).alias("next"),
+        F.when(F.row_number().over(nation) == 20, F.lead("c_custkey", 2).over(nation)).alias("after"),
+    ).where("next IS NOT NULL")
+    issue = F.format_string("m%012d", "keep").alias("issue_id")
+    base = links.select(
+        issue, F.lit("MERGE_ROWS").alias("action_type"), F.lit("c_mktsegment").alias("target_column"),
+        F.concat(F.lit("merged "), "keep").alias("canonical_value"), F.lit("APPROVED").alias("status"), F.lit("ds").alias("dataset_id"),
+    )
+    roles = F.array_compact(
+        F.array(
+            F.struct(F.col("keep").alias("row_id"), F.lit("retain").alias("role")),
+            F.struct(F.col("next").alias("row_id"), F.lit("retire").alias("role")),
+            F.when(F.col("after").isNotNull(), F.struct(F.col("after").alias("row_id"), F.lit("retire").alias("role"))),
+        )
+    )
+    rows = links.select(issue, F.explode(roles).alias("r")).select("issue_id", "r.row_id", "r.role")
+    return cleanse.execute_approved(
+        df, as_issues(base), rows, spark.createDataFrame([], NO_VALUES), "bob", "analyst",
+        at=F.lit(INSTANT).cast("timestamp"), merge_policy=policy,
+    )
+
+
+def merge_chain_sequential(spark, folder):
+    return _merge_chain(spark, folder, "sequential").results.select("issue_id", "success", "rows_affected")
+
+
+def merge_chain_sequential_rows(spark, folder):
+    return _merge_chain(spark, folder, "sequential").table.select("c_custkey", "c_mktsegment")
+
+
+def merge_chain_components(spark, folder):
+    return _merge_chain(spark, folder, "components").results.select("issue_id", "success", "rows_affected")
+
+
+def merge_chain_components_rows(spark, folder):
+    return _merge_chain(spark, folder, "components").table.select("c_custkey", "c_mktsegment")
+
+
 def ref_large_set(spark, folder):
     """Over a thousand whole numbers as the reference of a column of doubles."""
     lines = _table(spark, folder, "lineitem").withColumn(ROW_ID, F.col("l_orderkey"))
@@ -194,10 +242,40 @@ def score_text(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (catalog_tables, cleanse_writeback, score_text, ref_large_set, cleanse_counts, cleanse_nested, merge_misfit, retype_audit, csv_text_roundtrip)
+    for f in (catalog_tables, cleanse_writeback, score_text, ref_large_set, cleanse_counts, cleanse_nested, merge_misfit, retype_audit, csv_text_roundtrip,
+              merge_chain_sequential, merge_chain_sequential_rows, merge_chain_components, merge_chain_components_rows)
 }
 
+_CHAIN = """WITH RECURSIVE c AS (
+  SELECT c_nationkey AS nation, c_custkey AS keep, c_mktsegment AS segment, row_number() OVER w AS p, count(*) OVER (PARTITION BY c_nationkey) AS n
+  FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)
+), run AS (
+  SELECT nation, 1::BIGINT AS p, n, true AS ok, false AS ok_before FROM c WHERE p = 1
+  UNION ALL
+  SELECT nation, p + 1, n, NOT (ok OR (p = 21 AND ok_before)), ok FROM run WHERE p + 1 < n
+), touched AS (  -- which merge names which row, both by place
+  SELECT nation, p AS merge, p AS row FROM c WHERE p < n UNION ALL SELECT nation, p, p + 1 FROM c WHERE p < n
+  UNION ALL SELECT nation, 20, 22 FROM c WHERE p = 20 AND n >= 22
+), first AS (
+  SELECT nation, row, min(merge) AS merge FROM touched WHERE row > 1 GROUP BY nation, row
+)"""
+
 ORACLES = {
+    "merge_chain_sequential": f"""{_CHAIN}
+        SELECT format('m{{:012d}}', keep) AS issue_id, ok AS success,
+          CASE WHEN ok THEN 2 + CASE WHEN p = 20 AND c.n >= 22 THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS rows_affected
+        FROM run JOIN c USING (nation, p) WHERE p < c.n""",
+    "merge_chain_sequential_rows": f"""{_CHAIN}, gone AS (
+          SELECT nation, row AS p FROM touched t JOIN run r USING (nation) WHERE r.p = t.merge AND ok AND row <> merge)
+        SELECT keep AS c_custkey, CASE WHEN ok AND p < c.n THEN 'merged ' || keep ELSE segment END AS c_mktsegment
+        FROM c LEFT JOIN run USING (nation, p) ANTI JOIN gone USING (nation, p)""",
+    "merge_chain_components": f"""{_CHAIN}
+        SELECT format('m{{:012d}}', keep) AS issue_id, true AS success,
+          1 + (SELECT count(*) FROM first f WHERE f.nation = c.nation AND f.merge = c.p) AS rows_affected
+        FROM c WHERE p < n""",
+    "merge_chain_components_rows": f"""{_CHAIN}
+        SELECT a.keep AS c_custkey, CASE WHEN a.n > 1 THEN 'merged ' || z.keep ELSE a.segment END AS c_mktsegment
+        FROM c a JOIN c z ON z.nation = a.nation AND z.p = greatest(a.n - 1, 1) WHERE a.p = 1""",
     "catalog_tables": """
         SELECT c_custkey, c_name, c_acctbal, (SELECT count(*) FROM customer) AS read,
                (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS exported, false AS again, false AS taken
