@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.durable import materialise, shared_dir
-from plumbline.model import ROW_ID, DatasetMeta
-from plumbline.sources import files, sinks, tables
+from plumbline.model import AUDIT, ROW_ID, DatasetMeta
+from plumbline.sources import files, publish, sinks, tables
 from plumbline.sources.profile import profile
 from plumbline.sources.rowid import fold_nan, with_row_id
 from tests.helpers import frame
@@ -148,6 +148,52 @@ def test_audit_sinks(spark, tmp_path):
     assert spark.table("audit_table").count() == 2
 
 
+def test_a_failing_write_leaves_nothing(spark, tmp_path):
+    df = frame(spark, "a string", [("x",), ("y",)]).withColumn("b", F.expr("if(a = 'y', raise_error('boom'), a)"))
+    done = sinks.export_file(df, DatasetMeta(), str(tmp_path), "f.csv")
+    assert not done.success and "boom" in done.error and not done.audit.first().success
+    assert list(tmp_path.iterdir()) == [] and sinks.recover_exports(spark, str(tmp_path)).count() == 0
+
+
+class Killed(BaseException):
+    pass
+
+
+@pytest.mark.parametrize("published", [False, True])
+def test_a_killed_export_has_one_entry(spark, tmp_path, monkeypatch, published):
+    df, meta = frame(spark, "a string", [("x",), ("y",)]), DatasetMeta()
+    step = "delete" if published else "rename"
+
+    def die(self, *args):
+        raise Killed
+
+    with monkeypatch.context() as m:
+        m.setattr(publish.Folder, "delete", die)
+        m.setattr(publish.Folder, step, die)
+        with pytest.raises(Killed):
+            sinks.export_file(df, meta, str(tmp_path), "f.csv", actor="ann")
+    assert (tmp_path / "f.csv").exists() == published
+    assert not published or spark.read.option("header", True).csv(str(tmp_path / "f.csv")).count() == 2
+    table = f"audit_{published}"
+    found = sinks.recover_exports(spark, str(tmp_path)).collect()
+    sinks.record_audit(spark.createDataFrame(found, AUDIT), table)
+    sinks.record_audit(spark.createDataFrame(found, AUDIT), table)
+    entry = spark.table(table).collect()
+    assert len(entry) == 1 and entry[0].success == published and entry[0].affected_row_count == (2 if published else 0)
+    assert (entry[0].dataset_id, entry[0].actor, entry[0].issue_id) == (meta.dataset_id, "ann", "EXPORT")
+    assert [p.name for p in tmp_path.iterdir() if "staging" in p.name] == []
+    assert sinks.recover_exports(spark, str(tmp_path)).count() == 0
+
+
+def test_two_exports_of_one_name(spark, tmp_path, monkeypatch):
+    df = frame(spark, "a string", [("x",)])
+    first = sinks.export_file(df, DatasetMeta(), str(tmp_path), "f.csv")
+    monkeypatch.setattr(sinks, "_exists", lambda *a: False)  # as if the other one came in between
+    second = sinks.export_file(df, DatasetMeta(), str(tmp_path), "f.csv")
+    assert first.success and not second.success and "already exists" in second.error
+    assert spark.read.option("header", True).csv(str(tmp_path / "f.csv")).count() == 1
+
+
 def test_written_tables_live_in_the_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     kept = materialise(spark.range(3), "three")
