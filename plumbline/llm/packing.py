@@ -9,6 +9,7 @@ Text never meets a shuffle: only ids, lengths and checksums of pieces do.
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from array import array
@@ -30,8 +31,8 @@ GROUP_PIECES = 4096
 ROUNDS = 4
 # Leftovers of so many groups meet.
 FAN_IN = 8
-# Words whose ids a task remembers before it starts anew: some 160 MB.
-CACHE_WORDS = 800_000
+# Words whose ids a task remembers before it starts anew: some 240 MB.
+CACHE_WORDS = 1_200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,62 +43,102 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+BLANK = BYTE_LETTERS[ord(" ")]
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, group long, sequence_id long, offset long, loose boolean, bound long"
 
 
+# How byte-level vocabularies cut printable ASCII without white space inside.
+ASCII_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 ]+")
+
+
 class WordIds(dict):
     """Ids, as little-endian bytes, of a word together with the blank before it.
 
     The tokenizer cuts text before a blank that stands between two other characters, whatever
-    surrounds it, so words separated by single blanks can be encoded one by one and remembered.
-    Texts with any other white space next to a blank are encoded whole; None marks the words
-    that show it.
+    surrounds it, so words separated by single blanks can be encoded one by one and remembered,
+    and printable ASCII words piece by piece. Texts with any other white space next to a blank are
+    encoded whole; None marks the words that show it. So are texts that hold an added token such
+    as an end marker, which the tokenizer finds before it cuts anything.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.tails: dict[str, bytes] = {}
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, bytes] = {}
+        # Ids of words right after a line break.
+        self.starts: dict[bytes, bytes | None] = {}
+        self.line_break = self._whole("\n")
 
     def __missing__(self, word: bytes) -> bytes | None:
-        if len(self) > CACHE_WORDS:
+        if len(self) + len(self.starts) > CACHE_WORDS:
             self.clear()
-            self.tails.clear()
-        text = word.decode()
-        if not text or text[0].isspace() or text[-1].isspace():
-            ids = None
-        elif text.isalpha():  # letters are one piece, and the model alone is quicker
-            got = self.model.tokenize((b" " + word).decode("latin-1").translate(BYTE_LETTERS))
-            ids = array("I", [t.id for t in got]).tobytes()
+            self.starts.clear()
+            self.pieces.clear()
+        if b"\n" in word:
+            ids = self._lines(word)
         else:
-            letters = text.rstrip(string.punctuation)
-            if letters.isalpha():  # what follows the letters is one piece too
-                tail = text[len(letters) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self._whole(tail)
-                ids = self[letters.encode()] + self.tails[tail]
-            else:
-                ids = self._whole(" " + text)
+            text = word.decode()
+            ids = None if not text or text[0].isspace() or text[-1].isspace() else self._part(text, " ")
         self[word] = ids
         return ids
 
+    def _lines(self, word: bytes) -> bytes | None:
+        """A line break between two other characters is a piece of its own."""
+        first, *rest = word.split(b"\n")
+        out = [self[first]]
+        for line in rest:
+            ids = self.starts.get(line, b"")
+            if not ids and ids is not None:
+                text = line.decode()
+                ids = None if not text or text[0].isspace() or text[-1].isspace() else self._part(text, "")
+                self.starts[line] = ids
+            out += [self.line_break, ids]
+        return None if None in out else b"".join(out)
+
+    def _part(self, text: str, before: str) -> bytes:
+        """Ids of a text without white space at its ends, and of what is ``before`` it."""
+        if text.isascii():
+            if text.isalpha():  # one piece, and its letters are its bytes
+                return self._model((BLANK if before else "") + text)
+            if text.isprintable():
+                return self._pieces(before + text)
+        if text.isalpha():
+            return self._model((before + text).encode().decode("latin-1").translate(BYTE_LETTERS))
+        letters = text.rstrip(string.punctuation)
+        if letters.isalpha():  # what follows the letters is one piece or more of ASCII
+            whole = self[letters.encode()] if before else self._part(letters, "")
+            return whole + self._pieces(text[len(letters) :])
+        return self._whole(before + text)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join([self.pieces.get(x) or self._piece(x) for x in ASCII_PIECES.findall(text)])
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces[piece] = self._model(piece.replace(" ", BLANK))
+        return ids
+
+    def _model(self, letters: str) -> bytes:
+        """The model alone, on one piece written in the letters of the vocabulary, is quicker."""
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         """Ids of one text."""
-        words = text.split(b" ")
-        first = words[0].decode()
-        if first and not first[-1].isspace():
-            words[0] = self._whole(first)
-            words[1:] = map(self.__getitem__, words[1:])
-            if None not in words:
-                return b"".join(words)
+        if not any(t in text for t in self.added):
+            first, *words = text.split(b" ")
+            start = first.decode()
+            if start and not start[-1].isspace():
+                try:
+                    return self._whole(start) + b"".join(map(self.__getitem__, words))
+                except TypeError:  # a None among the words
+                    pass
         return self._whole(text.decode())
 
 

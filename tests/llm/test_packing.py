@@ -10,7 +10,7 @@ from plumbline.llm.queries import tokenizer_path
 SCHEMA = "doc_id long, text string, length long, group string"
 ODD = [
     None, "", " ", "  two  blanks ", " lead", "trail ", "a\nb \n c", "tab\tand\x1f space", "it's don't I'LL 's",
-    "<|endoftext|> x", "é È ñandú, über-groß!", "日本語 テキスト", "12,345.67 8th", "a b  c", "x_y __z__ ...!?",
+    "<|endoftext|> x", "a <|endoftext|>", "x<|endoftext|>y z", "a b <|endoftext|><|endoftext|> c", "<|endoftext| >", "é È ñandú, über-groß!", "日本語 テキスト", "12,345.67 8th", "a b  c", "x_y __z__ ...!?",
     "½ ² Ⅷ ª", "é combining", "\U0001f600 \U0001f600\U0001f600", "''' '\" ''s",
 ]
 
@@ -19,9 +19,7 @@ ODD = [
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(tokenizer_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def expected(tokenizer, text):
@@ -37,6 +35,22 @@ def test_words_one_by_one_equal_whole_texts(tokenizer):
         assert encoder.encode(text.encode()) == np.array(expected(tokenizer, text)[:-1], "<u4").tobytes(), repr(text)
 
 
+def test_printable_ascii_piece_by_piece(tokenizer):
+    encoder = packing.WordIds(tokenizer_path())
+    rng = random.Random(4)
+    letters = "abZ'sldtrevm019.,!?-_()\"#<|>"
+    texts = ["".join(rng.choices(letters + "   é", k=rng.randint(0, 30))) for _ in range(5000)]
+    texts += ["it's I'LL don't'd 'tis 're x's's 1's ''s _'s -'d", "a'S b'Re 12ab34 ab12 ..a a.. 9'9"]
+    for text in texts:
+        assert encoder.encode(text.encode()) == np.array(expected(tokenizer, text)[:-1], "<u4").tobytes(), repr(text)
+
+
+def test_added_tokens_keep_their_ids(tokenizer):
+    assert 50256 in expected(tokenizer, "a <|endoftext|> b")
+    encoder = packing.WordIds(tokenizer_path())
+    assert np.frombuffer(encoder.encode(b"a <|endoftext|> b"), "<u4").tolist() == expected(tokenizer, "a <|endoftext|> b")[:-1]
+
+
 def test_a_small_cache_changes_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
     encoder = packing.WordIds(tokenizer_path())
