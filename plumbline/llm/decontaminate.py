@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from plumbline.llm.common import lower_ascii, numbered, written
+from plumbline.llm.common import free_name, lower_ascii, numbered, written
 
 WINDOW = 10
 # No word: it marks the one row of each document that is kept whatever it contains.
@@ -89,10 +89,11 @@ def find_occurrences(documents: DataFrame, benchmark: DataFrame, size: int = WIN
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, a row per document row.
 
-    A word inside any occurrence of a window is hit. Null and empty texts have no words. Rows
-    that repeat a doc_id share the hits found in any of them.
+    A word inside any occurrence of a window is hit. Null and empty texts have no words. Every row
+    is judged by its own text, also if it repeats a doc_id or has none.
     """
-    hits, counts = find_occurrences(documents, benchmark, size)
+    row = F.struct(F.monotonically_increasing_id().alias("row"), F.col("doc_id")).alias("doc_id")
+    hits, counts = find_occurrences(documents.select(row, "text"), benchmark, size)
     spans = hits.groupBy("doc_id", "start").agg(F.max("length").alias("length"))
     end = F.col("start") + F.col("length")
     before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +112,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     listed = F.coalesce(F.array_join("items", ","), F.lit(""))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return counts.join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
-        "doc_id",
+        F.col("doc_id.doc_id").alias("doc_id"),
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -125,7 +126,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
     Each row is judged by its own text, whatever its doc_id.
     """
-    rows = numbered(documents, "__row")
-    hits, _ = find_occurrences(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark, size)
-    bad = hits.select(F.col("doc_id").alias("__row")).distinct()
-    return rows.join(bad, "__row", "left_anti").select(*documents.columns)
+    row = free_name(documents, "row")
+    rows = numbered(documents, row)
+    hits, _ = find_occurrences(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, size)
+    bad = hits.select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(bad, row, "left_anti").select(*documents.columns)

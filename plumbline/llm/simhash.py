@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import lower_ascii, numbered, written
+from plumbline.llm.common import free_name, lower_ascii, numbered, written
 from plumbline.llm.forest import Forest
 from plumbline.operators.components import connected_components
 
@@ -181,16 +181,24 @@ def similar_classes(fingerprint: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id for every doc_id.
+    """doc_id, fingerprint (16 hex digits) and component_id for every row.
 
-    component_id is the smallest doc_id reachable over links of at most ``radius`` bits.
+    component_id is the smallest doc_id reachable over links of at most ``radius`` bits. Rows are
+    compared by their own texts, also if they repeat a doc_id or have none; null where nothing
+    reachable has one.
     """
-    prints = written(fingerprints(documents, size), "fingerprints")
-    classes = similar_classes(prints, radius)
-    return prints.join(classes, "fingerprint").select(
+    row = F.struct(F.monotonically_increasing_id().alias("row"), F.col("doc_id")).alias("doc_id")
+    keyed = fingerprints(documents.select(row, "text"), size)
+    prints = written(keyed.select("doc_id.row", "doc_id.doc_id", "fingerprint"), "fingerprints")
+    found = similar_classes(prints.select(F.col("row").alias("doc_id"), "fingerprint"), radius)
+    lowest = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low"))
+    classes = written(found.join(lowest, "fingerprint"), "components")
+    least = classes.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = classes.join(least, "component").select(F.col("fingerprint").alias("of"), "component_id")
+    return prints.join(named, F.col("fingerprint") == F.col("of")).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
-        F.col("component").alias("component_id"),
+        "component_id",
     )
 
 
@@ -200,11 +208,12 @@ def keep_one_of_each(documents: DataFrame, size: int = SHINGLE, radius: int = RA
     Rows are compared, whatever their doc_id. Rows without one are no rivals of rows that have one:
     of the former, one of each component stays too.
     """
-    rows = numbered(documents, "__row")
-    texts = rows.select(F.col("__row").alias("doc_id"), "text")
+    row = free_name(documents, "row")
+    rows = numbered(documents, row)
+    texts = rows.select(F.col(row).alias("doc_id"), "text")
     prints = written(fingerprints(texts, size), "fingerprints")
-    found = prints.join(similar_classes(prints, radius), "fingerprint").select(F.col("doc_id").alias("__row"), "component")
-    found = found.join(rows.select("__row", "doc_id"), "__row")
-    first = found.groupBy("component", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "__row")).alias("first"))
-    gone = found.select("__row").join(first.select("first.__row"), "__row", "left_anti")
-    return rows.join(gone, "__row", "left_anti").select(*documents.columns)
+    found = prints.join(similar_classes(prints, radius), "fingerprint").select(F.col("doc_id").alias(row), "component")
+    found = found.join(rows.select(row, "doc_id"), row)
+    first = found.groupBy("component", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", row)).alias("first"))
+    gone = found.select(row).join(first.select(f"first.{row}"), row, "left_anti")
+    return rows.join(gone, row, "left_anti").select(*documents.columns)

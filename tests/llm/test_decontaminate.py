@@ -81,3 +81,19 @@ def test_stage_judges_rows_and_not_ids(spark):
     docs = [(1, bad), (1, clean), (None, bad), (None, clean), (None, None)]
     kept = decontaminate.decontaminate(*frames(spark, docs, [(7, bad)])).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, clean), (1, clean)]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    bad, clean = " ".join(f"w{i}" for i in range(12)), "nothing of the kind"
+    docs = [(1, bad), (1, clean), (None, bad), (None, clean), (None, None), (1, clean)]
+    got = decontaminate.contamination(*frames(spark, docs, [(7, bad)])).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in got) == [
+        (0, 0, 0, False), (0, 4, 0, False), (0, 12, 12, True), (1, 4, 0, False), (1, 4, 0, False), (1, 12, 12, True),
+    ]
+
+
+def test_a_column_named_like_the_row_number_survives(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, "c d", "y")], "doc_id long, text string, __row string")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, items)
+    assert kept.columns == ["doc_id", "text", "__row"] and [tuple(r) for r in kept.collect()] == [(2, "c d", "y")]

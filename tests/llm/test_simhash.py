@@ -80,3 +80,24 @@ def test_stage_keeps_one_row_of_each_group(spark):
     data = [(1, "a b c d"), (1, "a b c d"), (1, other), (2, other), (None, "n o p"), (None, "n o p"), (3, "a b c d")]
     kept = simhash.keep_one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "n o p"), (1, "a b c d"), (1, other)]
+
+
+def test_every_row_has_its_own_fingerprint(spark):
+    data = [(1, "a b c d"), (1, "q r s t u v"), (None, "a b c d"), (None, "n o p"), (None, "n o p"), (2, "q r s t u v"), (3, "n o p")]
+    got = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    prints = {text: f"{brute.fingerprint(text):016x}" for _, text in data}
+    assert sorted((r.doc_id or 0, r.fingerprint, r.component_id) for r in got) == sorted(
+        [(1, prints["a b c d"], 1), (0, prints["a b c d"], 1), (1, prints["q r s t u v"], 1), (2, prints["q r s t u v"], 1)]
+        + [(0, prints["n o p"], 3)] * 2 + [(3, prints["n o p"], 3)]
+    )
+
+
+def test_rows_without_any_id(spark):
+    got = simhash.near_duplicates(spark.createDataFrame([(None, "a b c"), (None, None)], "doc_id long, text string")).collect()
+    assert [r.component_id for r in got] == [None, None]
+
+
+def test_a_column_named_like_the_row_number_survives(spark):
+    docs = spark.createDataFrame([(2, "a b c", "x"), (1, "a b c", "y")], "doc_id long, text string, __row string")
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == ["doc_id", "text", "__row"] and [tuple(r) for r in kept.collect()] == [(1, "a b c", "y")]
