@@ -29,6 +29,7 @@ HEADLINE = (
     "normalise_signals",
     "er_components",
     "er_full",
+    "er_customers",
     "dq_report",
     "scorecard",
     "cleanse_bulk",
