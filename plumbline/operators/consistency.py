@@ -90,9 +90,7 @@ def _check_pair(df, dataset_id, keys, value, hot_rows) -> Findings:
             F.lit(Severity.HIGH.value).alias("severity"),
             F.lit(1.0).alias("confidence"),
             F.format_string(
-                f"Inconsistency in '{value}': the key (".replace("%", "%%")
-                + "%s) maps to %d different values: [%s%s]. The same entity appears under "
-                "several names or has conflicting attributes.",
+                f"Rows of one key disagree on '{value}'; ".replace("%", "%%") + "(%s) maps to %d different values: [%s%s].",
                 "label",
                 "kinds",
                 F.array_join(F.transform("shown", lambda s: s["value"]), ", "),
@@ -104,7 +102,7 @@ def _check_pair(df, dataset_id, keys, value, hot_rows) -> Findings:
             F.lit("FLAG_ONLY").alias("action_type"),
             F.lit(value).alias("target_column"),
             F.lit(
-                f"Several values exist for one key. An analyst must choose the right '{value}'."
+                f"Nothing in the table says which '{value}' is meant; pick one by hand."
             ).alias("rationale"),
         )
     )

@@ -51,9 +51,8 @@ def outlier_tests(df: DataFrame, sigma: float = OUTLIER_SIGMA) -> list[RowTest]:
         failing = z > sigma
         name = c.replace("%", "%%")
         text = (
-            f"Column '{name}' has %d value(s) more than {sigma:.0f} standard deviations from "
-            f"the mean (mean={mean:,.2f}, std={std:,.2f}, max |z|=%.1f). Outlier values: [%s]. "
-            "These may be entry errors or genuine exceptions."
+            f"%d cells of '{name}' lie over {sigma:.0f} sigma away from {mean:,.2f} "
+            f"(sigma {std:,.2f}; the farthest is %.1f sigma off). First ones: %s."
         )
         tests.append(
             RowTest(
@@ -64,7 +63,7 @@ def outlier_tests(df: DataFrame, sigma: float = OUTLIER_SIGMA) -> list[RowTest]:
                 description=lambda m, text=text: F.format_string(
                     text, m["n"], m["max_z"], F.array_join(F.slice(m["samples"], 1, 5), ", ")
                 ),
-                rationale="Outliers need human judgement; no automatic fix is proposed.",
+                rationale="Rare is not wrong: nothing is changed before someone has looked.",
                 confidence=0.80,
                 samples=10,
                 extras={"max_z": F.max(F.when(failing, z))},

@@ -67,9 +67,8 @@ def _check_column(df, dataset_id, column, reference, hot_rows) -> Findings:
     )
     issue = issue.join(F.broadcast(sample_values(members, 10)), "issue_id", "left")
     text = (
-        f"Column '{column}' contains ".replace("%", "%%")
-        + "%d value(s) not found in the reference set. Invalid values: [%s%s]. "
-        "A lookup of these rows would find nothing."
+        f"'{column}' holds codes nobody has listed: ".replace("%", "%%")
+        + "%d cells with [%s%s]. Joins on the list of known codes will miss these rows."
     )
     issues = issue.select(
         "issue_id",
