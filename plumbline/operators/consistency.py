@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.durable import materialise
 from plumbline.model import ROW_ID, Category, Findings, Role, Severity, findings, issue_id
 from plumbline.operators.completeness import data_columns
 from plumbline.operators.samples import first_k, sample_values
@@ -20,24 +21,27 @@ def key_text(parts: list[Column]) -> Column:
     return F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
 
 
-def key_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(_k0, _k1, ..., value, n, first_row): values per non-null key, null values included."""
-    rows = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    return rows.groupBy(
-        *key_parts(keys), F.col(f"`{value}`").cast("string").alias("value")
-    ).agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_row"))
+def keyed_rows(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(key, label, row_id, value) of rows whose key has no null part; null values included."""
+    parts = key_parts(keys)
+    return df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).select(
+        key_text(parts).alias("key"),
+        F.concat_ws(", ", *parts).alias("label"),
+        F.col(ROW_ID).alias("row_id"),
+        F.col(f"`{value}`").cast("string").alias("value"),
+    )
 
 
-def inconsistent_keys(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(key, label, n, kinds) of keys with more than one distinct non-null value."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    bad = (
-        values.groupBy(*names)
-        .agg(F.sum("n").alias("n"), F.count("value").alias("kinds"))
-        .where("kinds > 1")
+def inconsistent_keys(rows: DataFrame) -> DataFrame:
+    """(key, label, n) of keys with more than one distinct non-null value; n counts all their rows.
+
+    The least and the greatest value tell whether there is more than one, so map tasks send
+    one small row per key, however many values it has.
+    """
+    extremes = rows.groupBy("key", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    key = key_text([F.col(n) for n in names])
-    return bad.select(key.alias("key"), F.concat_ws(", ", *names).alias("label"), "n", "kinds")
+    return extremes.where("low <> high").select("key", "label", "n")
 
 
 def check_consistency(
@@ -55,29 +59,23 @@ def check_consistency(
 
 
 def _check_pair(df, dataset_id, keys, value, hot_rows) -> Findings:
-    # Counting per (key, value) first splits a hot key over its values.
-    values = key_values(df, keys, value)
-    bad = inconsistent_keys(values, keys)
-    parts = [F.col(f"_k{i}") for i in range(len(keys))]
+    # One scan finds the keys, a second one lists their rows; both outcomes are written, and what
+    # is shown comes from the rows listed. Clean rows leave no shuffle but the first.
+    rows = keyed_rows(df, keys, value)
+    bad = materialise(inconsistent_keys(rows), "inconsistent-keys")
+    listed = join_counted(
+        rows.drop("label"), bad.select("key", "n"), "key", "n", hot_rows, written=True
+    )
+    listed = materialise(listed.select("key", "row_id", "value"), "inconsistent-rows")
     columns = [*keys, value]
     key = issue_id(dataset_id, Category.CONSISTENCY, ",".join(columns), F.col("key"))
+    members = listed.select(key.alias("issue_id"), "row_id", "value")
+    firsts = listed.where("value IS NOT NULL").groupBy("key", "value").agg(F.min("row_id").alias("first_row"))
     shown = (
-        first_k(
-            values.where("value IS NOT NULL").select(key_text(parts).alias("key"), "first_row", "value"),
-            "key",
-            "first_row",
-            10,
-        )
+        first_k(firsts, "key", "first_row", 10)
         .groupBy("key")
         .agg(F.array_sort(F.collect_list(F.struct("first_row", "value"))).alias("shown"))
-    )
-    rows = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).select(
-        key_text(key_parts(keys)).alias("key"),
-        F.col(ROW_ID).alias("row_id"),
-        F.col(f"`{value}`").cast("string").alias("value"),
-    )
-    members = join_counted(rows, bad.select("key", "n"), "key", "n", hot_rows).select(
-        key.alias("issue_id"), "row_id", "value"
+        .join(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")), "key")
     )
     issues = (
         bad.join(shown, "key")

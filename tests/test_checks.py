@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +191,31 @@ def test_consistency(spark, hot_rows):
     assert "(47) maps to 2 different values: [Acme, ACME]" in issues[0].description
 
 
+@pytest.mark.parametrize("hot_rows", [5, 10**6])
+def test_consistency_against_plain_code(spark, hot_rows):
+    """A key with a third of all rows, keys of two parts, null parts and null values."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(300):
+        a = "hot" if rng.random() < 0.3 else rng.choice(["a", "b", "1:a", "", None])
+        b = 1 if a == "hot" else rng.choice([1, 2, 3, None])
+        value = f"v{rng.randrange(40)}" if a == "hot" else rng.choice(["x", "x", None, "y"] if b == 1 else ["x", None])
+        rows.append((a, b, value))
+    want = {}
+    for i, (a, b, value) in enumerate(rows):
+        if a is not None and b is not None:
+            want.setdefault((a, b), []).append((i, value))
+    want = {k: v for k, v in want.items() if len({x for _, x in v} - {None}) > 1}
+    found = check_consistency(frame(spark, "a string, b int, c string", rows), "d", [(["a", "b"], "c")], hot_rows)
+    got = {i: {r for r, _ in v} for i, v in rows_by_issue(found).items()}
+    assert sorted(map(sorted, got.values())) == sorted(sorted(i for i, _ in v) for v in want.values())
+    for issue in found.issues.collect():
+        (values,) = (v for v in want.values() if {i for i, _ in v} == got[issue.issue_id])
+        firsts = list(dict.fromkeys(x for _, x in values if x is not None))
+        assert issue.affected_row_count == len(values)
+        assert f"{len(firsts)} different values: [{', '.join(firsts[:10])}" in issue.description
+
+
 # --- outliers and rules ------------------------------------------------------------------
 
 
