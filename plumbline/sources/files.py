@@ -44,7 +44,7 @@ def too_many_rows(df: DataFrame, label: str, max_rows: int | None) -> str | None
     return f"'{label}' has more than the maximum of {max_rows:,} rows. Narrow the input and try again."
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -118,7 +118,7 @@ def ingest_file(
     if extension.lower() not in EXTENSIONS:
         return Ingested(False, error=f"Unsupported file type '{extension}'. Supported: {EXTENSIONS}")
     try:
-        if not _exists(spark, path):
+        if not path_exists(spark, path):
             return Ingested(False, error=f"File not found: {path}")
         if extension.lower() == ".csv":
             df = read_csv(spark, path, schema, text_columns, multi_line)

@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.durable import materialise, shared_dir
 from plumbline.model import AUDIT, ROW_ID, DatasetMeta
-from plumbline.sources import files, publish, sinks, tables
+from plumbline.sources import files, grown, publish, sinks, tables
 from plumbline.sources.profile import profile
 from plumbline.sources.rowid import fold_nan, with_row_id
 from tests.helpers import frame
@@ -198,3 +200,74 @@ def test_written_tables_live_in_the_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     kept = materialise(spark.range(3), "three")
     assert kept.count() == 3 and shared_dir(spark) in kept.inputFiles()[0]
+
+
+# --- profiles of folders that grow -------------------------------------------------------
+
+
+def grown_profile(spark, folder, store):
+    got = grown.profile_grown(spark, str(folder), str(store))
+    return {r.column: (r.rows, r.nulls, r.unique_count) for r in got.columns.collect()}, {
+        os.path.basename(r.path) for r in got.read.collect()
+    }
+
+
+def parts_of(folder):
+    return {f for _, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+
+
+def test_a_grown_folder_reads_new_files_only(spark, tmp_path):
+    folder, store = tmp_path / "data", tmp_path / "store"
+    low = spark.range(0, 1000, 1, 2).select("id", F.expr("if(id % 4 = 0, null, concat('v', id % 50))").alias("v"))
+    low.write.parquet(str(folder))
+    old = parts_of(folder)
+    assert grown_profile(spark, folder, store) == ({"id": (1000, 0, pytest.approx(1000, rel=0.06)), "v": (1000, 250, 50)}, old)
+    assert grown_profile(spark, folder, store)[1] == set()
+    # Old files lose their contents but neither length nor date: reading one would fail.
+    for name in old:
+        path = folder / name
+        seen = os.stat(path)
+        path.write_bytes(b"x" * seen.st_size)
+        os.utime(path, ns=(seen.st_atime_ns, seen.st_mtime_ns))
+        (folder / f".{name}.crc").unlink(missing_ok=True)
+    more = spark.range(500, 3000, 1, 3).select("id", F.concat(F.lit("v"), F.col("id") % 80).alias("v"), F.lit(1.5).alias("w"))
+    more.write.mode("append").parquet(str(folder))
+    columns, read = grown_profile(spark, folder, store)
+    assert read == parts_of(folder) - old
+    assert columns["v"] == (3500, 250, 80) and columns["w"] == (3500, 1000, 1)
+    assert columns["id"] == (3500, 0, pytest.approx(3000, rel=3 * grown.RELATIVE_ERROR))
+
+
+def test_changed_and_lost_files_end_their_batch(spark, tmp_path):
+    folder, store = tmp_path / "data", tmp_path / "store"
+    for k in range(2):
+        spark.range(100 * k, 100 * k + 100, 1, 2).write.mode("append").parquet(str(folder))
+        first = parts_of(folder) if k == 0 else first
+        grown_profile(spark, folder, store)
+    gone = sorted(first)[0]
+    (folder / gone).unlink()
+    columns, read = grown_profile(spark, folder, store)
+    assert read == first - {gone} and columns["id"][0] == 150
+    for name in first - {gone}:
+        (folder / name).unlink()
+    columns, read = grown_profile(spark, folder, store)
+    assert read == set() and columns["id"][0] == 100
+    assert columns["id"][2] == pytest.approx(100, rel=3 * grown.RELATIVE_ERROR)
+
+
+def test_a_dead_run_leaves_the_profile_as_it_was(spark, tmp_path):
+    folder, store = tmp_path / "data", tmp_path / "store"
+    spark.range(10).write.parquet(str(folder))
+    # Sketches without a list of files: the run died before its last step.
+    orphan = grown.column_sketches(spark.range(7)).select(F.lit("dead").alias("batch"), "*")
+    orphan.write.parquet(str(store / "sketches"))
+    assert grown_profile(spark, folder, store)[0]["id"] == (10, 0, 10)
+
+
+def test_sketches_stay_within_their_error(spark):
+    """Batches that overlap, of three sizes; an exact count beside each."""
+    for n in (100, 10_000, 300_000):
+        parts = [grown.column_sketches(spark.range(a, a + n // 2).select(F.col("id").cast("string").alias("c"))) for a in (0, n // 4, n // 2)]
+        all_parts = [p.select(F.lit(str(i)).alias("batch"), "*") for i, p in enumerate(parts)]
+        (row,) = grown.merged(all_parts[0].union(all_parts[1]).union(all_parts[2])).collect()
+        assert row.rows == 3 * (n // 2) and row.unique_count == pytest.approx(n, rel=3 * grown.RELATIVE_ERROR)
