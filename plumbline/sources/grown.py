@@ -77,14 +77,18 @@ def profile_grown(spark: SparkSession, folder: str, store: str, pattern: str = "
         paths = [r.path for r in fresh.select("path").toLocalIterator()]  # names only; Spark's reader wants them
         if paths:
             added = column_sketches(spark.read.options(mergeSchema=True, basePath=folder).parquet(*paths))
-            added.select(F.lit(batch).alias("batch"), "*").write.mode("append").parquet(f"{store}/sketches")
+            added.select(F.lit(batch).alias("batch"), "*").write.parquet(f"{store}/sketches/{batch}")
         entered = fresh.select(F.lit(batch).alias("batch"), F.lit(False).alias("retired"), *same)
         ended = stale.select("batch", F.lit(True).alias("retired"), *[F.lit(None).cast(t).alias(c) for c, t in now.dtypes])
         entered.unionByName(ended).coalesce(1).write.mode("append").parquet(f"{store}/files")
         known = _table(spark, f"{store}/files", FILES)
         live = known.where("NOT retired").join(known.where("retired").select("batch"), "batch", "left_anti")
-    batches = live.select("batch").distinct()
-    return GrownProfile(merged(_table(spark, f"{store}/sketches", SKETCHES).join(batches, "batch")), fresh)
+    # One name per run. Spark takes two reads of one folder for the same, whatever was appended
+    # between them; folders per batch keep the profiles of two runs apart in one plan.
+    batches = sorted(r.batch for r in live.select("batch").distinct().collect())
+    kept = [f"{store}/sketches/{b}" for b in batches]
+    sketches = spark.read.schema(SKETCHES).parquet(*kept) if kept else spark.createDataFrame([], SKETCHES)
+    return GrownProfile(merged(sketches), fresh)
 
 
 def merged(sketches: DataFrame) -> DataFrame:

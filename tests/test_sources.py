@@ -255,12 +255,27 @@ def test_changed_and_lost_files_end_their_batch(spark, tmp_path):
     assert columns["id"][2] == pytest.approx(100, rel=3 * grown.RELATIVE_ERROR)
 
 
+def test_profiles_of_two_runs_in_one_plan(spark, tmp_path):
+    folder, store = str(tmp_path / "data"), str(tmp_path / "store")
+    seen = []
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).write.mode("append").parquet(folder)
+        seen.append(grown.profile_grown(spark, folder, store).columns.select(F.lit(k).alias("run"), "rows", "unique_count"))
+    rows = seen[0].union(seen[1]).union(seen[2]).orderBy("run").collect()
+    assert [tuple(r) for r in rows] == [(0, 10, 10), (1, 20, 20), (2, 30, 30)]
+
+
+def test_an_empty_folder_has_no_columns(spark, tmp_path):
+    (tmp_path / "data").mkdir()
+    assert grown_profile(spark, tmp_path / "data", tmp_path / "store") == ({}, set())
+
+
 def test_a_dead_run_leaves_the_profile_as_it_was(spark, tmp_path):
     folder, store = tmp_path / "data", tmp_path / "store"
     spark.range(10).write.parquet(str(folder))
     # Sketches without a list of files: the run died before its last step.
     orphan = grown.column_sketches(spark.range(7)).select(F.lit("dead").alias("batch"), "*")
-    orphan.write.parquet(str(store / "sketches"))
+    orphan.write.parquet(str(store / "sketches" / "dead"))
     assert grown_profile(spark, folder, store)[0]["id"] == (10, 0, 10)
 
 
