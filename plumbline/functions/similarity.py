@@ -13,12 +13,14 @@ from zlib import crc32
 
 import numpy as np
 
+from plumbline.functions import longtexts
+
 _BUCKETS = 128
 _GRAM_BUCKETS = 256
 _NEEDLE_PAD = np.uint32(0xFFFFFFFF)
 _HAY_PAD = np.uint32(0xFFFFFFFE)
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-_CELLS = 100_000  # array cells that one step may allocate
+_CELLS = 100_000  # array cells that one step may allocate; a pair that needs more is done alone
 
 
 class Texts:
@@ -190,7 +192,11 @@ def lcs_lengths(a, b) -> np.ndarray:
     long = np.where(swap, a, b)
     sizes = np.array([len(t) for t in short], dtype=np.int64)
     lengths = np.array([len(t) for t in long], dtype=np.int64)
-    for rows in _chunks(np.lexsort((lengths, sizes)), sizes, lengths):
+    alone = _alone(sizes, lengths)
+    for row in np.flatnonzero(alone):
+        out[row] = longtexts.lcs_length(short[row], long[row])
+    order = np.lexsort((lengths, sizes))
+    for rows in _chunks(order[~alone[order]], sizes, lengths):
         masks = _masks(_codes(short[rows], _NEEDLE_PAD), _codes(long[rows], _HAY_PAD))
         state = np.full(masks.shape[:2], _ONES, dtype=np.uint64)
         for j in range(masks.shape[2]):
@@ -199,6 +205,11 @@ def lcs_lengths(a, b) -> np.ndarray:
     return out
 
 
+def _alone(sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Pairs too long for a step of many."""
+    return np.maximum((sizes + 63) // 64, 1) * (lengths + 1) > _CELLS
+
+
 def _chunks(order: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, same_size: bool = False):
     """Cut ``order`` (sorted by size) into runs whose arrays stay small."""
     start = 0
@@ -261,11 +272,14 @@ def partial_ratio(a, b) -> np.ndarray:
     sizes = np.array([len(t) for t in needle], dtype=np.int64)
     lengths = np.array([len(t) for t in hay], dtype=np.int64)
     out = np.where((sizes == 0) & (lengths == 0), 100.0, 0.0)
-    live = np.flatnonzero(sizes > 0)
+    alone = _alone(sizes, lengths) & (sizes > 0)
+    for row in np.flatnonzero(alone):
+        out[row] = longtexts.partial_ratio(needle[row], hay[row])
+    live = np.flatnonzero((sizes > 0) & ~alone)
     order = live[np.lexsort((lengths[live], sizes[live]))]
     for rows in _chunks(order, sizes, lengths, same_size=True):
         out[rows] = _window_ratios(needle[rows], hay[rows], int(sizes[rows[0]]))
-    even = np.flatnonzero((sizes == lengths) & (sizes > 0) & (out < 100.0))
+    even = np.flatnonzero((sizes == lengths) & (sizes > 0) & (out < 100.0) & ~alone)
     for rows in _chunks(even[np.argsort(sizes[even])], sizes, lengths, same_size=True):
         turned = _window_ratios(hay[rows], needle[rows], int(sizes[rows[0]]))
         out[rows] = np.maximum(out[rows], turned)

@@ -1,8 +1,10 @@
 import random
+import resource
 
 import numpy as np
 import pytest
 
+from plumbline.functions import longtexts
 from plumbline.functions import similarity as sim
 from tests.helpers import name_score, partial, token_set
 
@@ -52,3 +54,36 @@ def test_known_scores():
     assert round(name_score("acme corp.", "acme corporation"), 2) == 94.74
     assert name_score("", "") == 100.0
     assert name_score("a", "") == 0.0
+
+
+@pytest.mark.parametrize("letters,longest", [("ab", 9), ("abcde é😀", 40), ("ab ", 70)])
+def test_one_sweep_has_every_window(letters, longest):
+    random.seed(longest)
+    make = lambda n: "".join(random.choice(letters) for _ in range(n))
+    for _ in range(60):
+        a, b = make(random.randint(1, longest)), make(random.randint(1, longest))
+        if random.random() < 0.3:
+            b = make(len(a))
+        needle, hay = sorted((a, b), key=len)
+        assert longtexts.partial_ratio(needle, hay) == pytest.approx(partial(needle, hay))
+        assert longtexts.lcs_length(a, b) == longtexts.Braid(a, b).whole() == sim.lcs_lengths([a], [b])[0]
+
+
+def test_long_pairs_score_like_short_ones(monkeypatch):
+    left, right = _texts(3, 60, 60)
+    left, right = [*left, "", "abc"], [*right, "", ""]
+    a, b, at = sim.Texts(left), sim.Texts(right), np.arange(len(left))
+    whole = sim.token_set_ratio(a, at, b, at), sim.partial_ratio(a.texts, b.texts)
+    monkeypatch.setattr(sim, "_CELLS", 20)
+    alone = sim.token_set_ratio(a, at, b, at), sim.partial_ratio(a.texts, b.texts)
+    assert np.allclose(whole[0], alone[0]) and np.allclose(whole[1], alone[1])
+
+
+def test_long_texts_take_little_memory():
+    random.seed(5)
+    hay = "".join(random.choices("abcdefgh ", k=30_000))
+    needle = hay[9_000:21_000].replace("a", "b")
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    (score,) = sim.partial_ratio(np.array([needle], object), np.array([hay], object))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+    assert 100 * (1 - needle.count("b") / len(needle)) <= score < 100
