@@ -90,7 +90,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
 
     Rows link when their labels are equal and their cosine is at least ``threshold``. Rows with a
     null label, id or vector, and vectors that are empty, zero or hold a null or a value that is
-    not finite, link with nothing. Repeated rows link with each other like other equal vectors.
+    not finite, link with nothing. Repeated rows link with each other like other equal vectors. Rows
+    that share a vec_id are vectors of their own: each has its links and its component.
     """
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -104,8 +105,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
     good = rows.where("usable")
     classes = written(
         good.groupBy("label", "digest").agg(
-            F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")
-        ),
+            F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")
+        ).withColumn("rep", F.monotonically_increasing_id()),
         "vector-classes",
     )
     size = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
@@ -123,14 +124,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
     )
     joined = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
+    # Classes are numbered for the links; a component goes by the smallest vec_id of its classes.
+    members = joined.join(classes.select("rep", "least"), F.col("node") == F.col("rep"))
+    smallest = members.groupBy("component").agg(F.min("least").alias("smallest"))
+    named = joined.join(smallest, "component").select("node", "smallest")
     of_class = (
         classes.join(counts, F.col("rep") == F.col("a"), "left")
-        .join(joined, F.col("rep") == F.col("node"), "left")
+        .join(named, F.col("rep") == F.col("node"), "left")
         .select(
             F.col("label").alias("l"),
             F.col("digest").alias("d"),
             (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"),
-            F.coalesce("component", "rep").alias("component"),
+            F.coalesce("smallest", "least").alias("component"),
         )
     )
     narrow = rows.select("vec_id", "label", "digest")

@@ -46,6 +46,15 @@ def test_repeated_rows_link(spark):
     assert got == [(0, 0, True), (1, 1, True), (1, 1, True)]
 
 
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    """Also across labels: links and components are not pooled by id."""
+    east, north, west = [1.0, 0.0], [0.0, 1.0], [-1.0, 0.1]
+    data = [(5, east, 1), (5, north, 1), (5, east, 2), (7, [2.0, 0.0], 1), (3, [0.0, 3.1], 1), (8, [1.0, 0.05], 2), (5, west, 2)]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in data], SCHEMA)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(frame).collect())
+    assert got == [(3, 1, 3, True), (5, 0, 5, True), (5, 1, 3, False), (5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (8, 1, 5, False)]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 64))
