@@ -17,10 +17,10 @@ HTTP_HEADER = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n
 END = "\r\n\r\n"
 
 
-def _record_id(page_id: Column) -> Column:
-    uuid = F.regexp_replace(
-        F.md5(F.coalesce(page_id.cast("string"), F.lit(""))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
-    )
+def _record_id(page_id: Column, url: Column) -> Column:
+    """The same for the same page_id, url and payload, another one for any other record."""
+    named = F.to_json(F.struct(page_id.alias("page_id"), url.alias("url"), "digest"))
+    uuid = F.regexp_replace(F.md5(named), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     return F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))
 
 
@@ -31,7 +31,8 @@ def write_archive(
 
     The payload is the html in UTF-8, null being empty. Of records with equal payloads of at
     least ``revisit_bytes`` that with the largest page_id is the response and the others revisit
-    it. Rows that repeat a page_id and its payload are equal records: all of the same type.
+    it. Rows that repeat a page_id and its payload are of the same type; if they repeat the url too,
+    they are one record written as often as it occurs, under one record id.
     Rows with a null page_id are never the response that others refer to, unless all have none.
 
     Payloads go through one shuffle, where copies that share a task are already one row.
@@ -41,12 +42,14 @@ def write_archive(
         "page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
     rows.groupBy("digest").agg(
-        F.max("page_id").alias("owner"),
+        F.max(F.struct("page_id", "url")).alias("owned"),
         F.first("payload").alias("payload"),
     ).withColumn("sha1", F.sha1("payload")).withColumn("length", F.octet_length("payload")).write.option(
         "compression", "zstd"
     ).parquet(f"{path}/payloads")
-    kept = spark.read.parquet(f"{path}/payloads").select("digest", "owner", "sha1", "length")
+    kept = spark.read.parquet(f"{path}/payloads").select(
+        "digest", F.col("owned.page_id").alias("owner"), F.col("owned.url").alias("owner_url"), "sha1", "length"
+    )
     record = rows.select("page_id", "url", "digest").join(kept, "digest")
     revisit = (F.col("length") >= revisit_bytes) & (F.col("page_id") != F.col("owner"))
     revisit = F.coalesce(revisit, F.col("page_id").isNull() & F.col("owner").isNotNull())
@@ -54,12 +57,12 @@ def write_archive(
     length = F.lit(len(HTTP_HEADER)) + F.when(revisit, 0).otherwise(F.col("length"))
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: "), _record_id(F.col("page_id")),
+        F.lit("\r\nWARC-Record-ID: "), _record_id(F.col("page_id"), F.col("url")),
         F.lit("\r\nWARC-Target-URI: "), line,
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Payload-Digest: sha1:"), F.col("sha1"),
         F.when(revisit, F.concat(
             F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            F.lit("\r\nWARC-Refers-To: "), _record_id(F.col("owner")),
+            F.lit("\r\nWARC-Refers-To: "), _record_id(F.col("owner"), F.col("owner_url")),
             F.lit("\r\nX-Refers-To-Page: "), F.col("owner").cast("string"),
         )).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),

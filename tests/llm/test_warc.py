@@ -56,6 +56,18 @@ def test_records_come_back_byte_for_byte(spark):
         assert lines[b"WARC-Payload-Digest"] == b"sha1:" + hashlib.sha1(html[r.page_id]).hexdigest().encode()
 
 
+def test_record_ids(spark):
+    """Different records of one page have different ids, and revisits name the id of their response."""
+    rows = [(1, "http://a/", LONG, "x"), (2, "http://b/", LONG, "x"), (2, "http://c/", LONG, "x"), (2, None, "x", "x"), (2, "", "x", "x"), (2, "", "y", "x")]
+    records = [bytes(r.record).decode() for r in warc.read_records(spark, archive(spark, rows)).collect()]
+    lines = [dict(x.split(": ", 1) for x in r.split("\r\n\r\n")[0].split("\r\n")[1:]) for r in records]
+    ids = {x["WARC-Record-ID"]: x for x in lines}
+    assert len(ids) == len(rows)
+    (revisit,) = (x for x in lines if x["WARC-Type"] == "revisit")
+    referred = ids[revisit["WARC-Refers-To"]]
+    assert (referred["WARC-Type"], referred["WARC-Target-URI"]) == ("response", "http://c/")
+
+
 def test_payloads_are_stored_once(spark):
     stored = spark.read.parquet(archive(spark, ROWS) + "/payloads")
     assert stored.count() == len({r[2] or "" for r in ROWS})
