@@ -80,7 +80,9 @@ def _count_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     asked = [unpack(d) for d in rows["data"]]
     words = [np.cumsum(a[0], dtype="u8") for a in asked]
     known, at = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([a[1] for a in asked])).astype("u4")
+    total = np.bincount(at, weights=np.concatenate([a[1] for a in asked])).astype("u8")
+    # Half the width where it holds every count; chunks join the answers of all buckets at the wider one.
+    total = total.astype(np.min_scalar_type(max(int(total.max(initial=0)), 1 << 16)))
     out, low = [(key[0], -1, int(total.sum(dtype="u8")), int((total > 0).sum()), None)], 0
     for chunk, own in zip(rows["chunk"], words, strict=True):
         out.append((key[0], chunk, None, None, pack(total[at[low : low + len(own)]])))
