@@ -12,6 +12,7 @@ settled by a semi join.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -34,11 +35,13 @@ class BloomFilter:
 
     def holds(self, key: Column) -> Column:
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        found = F.lit(True)
-        for place in _places(key, self.level, self.bits):
+
+        def is_set(place: Column) -> Column:
             word = F.get(words, F.floor(place / 64).cast("int"))
-            found = found & (F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1)
-        return found
+            return F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1
+
+        # One function over all places, so the plan has the words once.
+        return F.forall(F.array(*_places(key, self.level, self.bits)), is_set)
 
 
 def _places(key: Column, level: int, bits: int) -> list[Column]:
@@ -131,53 +134,51 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         ),
         "rules",
     )
-    # A url has as many labels and characters as it has, so the shapes of rules are few.
-    shapes = keyed.select("labels", "length").distinct().collect()
-    candidates = [
-        F.concat(F.substring_index("host", ".", -s.labels), F.left("path", F.lit(s.length)))
-        for s in shapes
-    ]
-    if not candidates:
+    # A url has as many labels and characters as it has, so the shapes of rules are few. They are
+    # data of one array column: the plan is the same for any number of them.
+    shapes = [(s.labels, s.length) for s in keyed.select("labels", "length").distinct().collect()]
+    if not shapes:
         nothing = F.lit(None).cast("string").alias("rule")
         return urls.select("page_id", "host", "path", nothing, F.lit(default).alias("verdict"))
-    universe = urls.select(F.explode(F.array(*candidates)).alias("key"))
+    universe = urls.select(F.explode(_candidates(shapes)).alias("candidate")).select("candidate.key")
     block = keyed.where("verdict = 'block'")
     listed = build_cascade(keyed, universe)
     blocked = build_cascade(block, keyed) if listed else None
     if listed is None or blocked is None:
-        return _judge_by_join(urls, keyed, shapes, candidates, default)
-    fits = [
-        F.when(
-            listed.holds(key),
-            F.struct(
-                F.char_length(key).alias("length"),
-                F.lit(s.labels).alias("labels"),
-                key.alias("key"),
-                F.when(blocked.holds(key), "block").otherwise("allow").alias("verdict"),
-            ),
-        )
-        for s, key in zip(shapes, candidates, strict=True)
-    ]
-    best = urls.withColumn("best", F.array_max(F.array(*fits)))
+        return _judge_by_join(urls, keyed, shapes, default)
+    # The longest candidate that is listed.
+    best = urls.withColumn("best", F.array_max(F.filter(_candidates(shapes), lambda x: listed.holds(x["key"]))))
+    verdict = F.when(blocked.holds(F.col("best.key")), "block").otherwise("allow")
     return best.select(
         "page_id",
         "host",
         "path",
         F.col("best.key").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        F.when(F.col("best").isNull(), default).otherwise(verdict).alias("verdict"),
     )
 
 
-def _judge_by_join(urls, keyed, shapes, candidates, default):
+def _candidates(shapes: list[tuple[int, int]]) -> Column:
+    """The keys that a rule may have to fit the row's host and path: (length, labels, key) each."""
+    listed = F.from_json(F.lit(json.dumps(shapes)), F.lit("array<array<int>>"))
+
+    def candidate(shape: Column) -> Column:
+        host = F.call_function("substring_index", F.col("host"), F.lit("."), -shape[0])
+        key = F.concat(host, F.left(F.col("path"), shape[1]))
+        return F.struct(F.char_length(key).alias("length"), shape[0].alias("labels"), key.alias("key"))
+
+    return F.transform(listed, candidate)
+
+
+def _judge_by_join(urls, keyed, shapes, default):
     """The same for lists beyond ``MAX_BITS``: distinct urls meet the rules in a join."""
     known = keyed.groupBy("key").agg(F.max(F.struct("verdict")).alias("v"))
-    parts = [F.struct(F.lit(s.labels).alias("labels"), k.alias("key")) for s, k in zip(shapes, candidates, strict=True)]
     distinct = urls.select("host", "path").distinct()
-    keys = distinct.select("host", "path", F.inline(F.array(*parts)))
+    keys = distinct.select("host", "path", F.inline(_candidates(shapes)))
     best = (
         keys.join(known, "key")
         .groupBy("host", "path")
-        .agg(F.max(F.struct(F.char_length("key").alias("n"), "labels", "key", "v.verdict")).alias("best"))
+        .agg(F.max(F.struct("length", "labels", "key", "v.verdict")).alias("best"))
     )
     return urls.join(best, ["host", "path"], "left").select(
         "page_id",

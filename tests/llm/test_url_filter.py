@@ -78,3 +78,17 @@ def test_lists_beyond_the_limit_are_joined(spark, monkeypatch):
 def test_no_rules_or_no_pages(spark, pages):
     check(spark, pages, [])
     check(spark, [], [("org", "/", "block")])
+
+
+def test_plans_do_not_grow_with_the_shapes_of_rules(spark):
+    """Hundreds of path lengths, some longer than any path; the plan has each filter a few times at most."""
+    rules = [("org", "/" + "p" * i, "block" if i % 3 else "allow") for i in range(250)]
+    rules += [("a.org", "/" + "p" * i, "allow") for i in range(0, 250, 7)]
+    found = [f"http://{h}/{'p' * i}?x" for h in ("org", "a.org", "c.net") for i in (0, 1, 7, 8, 100, 249, 400)]
+    check(spark, found + ODD, rules)
+    pages = spark.createDataFrame([(1, "http://a.org/", "x", "y")], PAGES)
+    sizes = []
+    for some in (rules[:2], rules):
+        plan = url_filter.judge_urls(pages, spark.createDataFrame(some, RULES))._jdf.queryExecution().analyzed().toString()
+        sizes.append(plan.count("xxhash64"))
+    assert sizes[1] <= 4 * sizes[0]
