@@ -223,4 +223,31 @@ FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
      LEFT JOIN cuts ON step > 0 AND cuts.source IS NOT DISTINCT FROM d.source AND cuts.class = len(bin(size))
 """
 
-ORACLES = {"op2_warc": OP2, "op3_decontamination": OP3, "op10_url_filters": OP10, "op11_conversation_repair": OP11, "op12_collocations": OP12, "op13_mixing": OP13}
+# Every pair of a label, and all that a vector reaches over links.
+OP9 = """
+WITH RECURSIVE vectors AS (
+    SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS MATERIALIZED (
+    SELECT * FROM vectors
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.r AS a, b.r AS b, b.vec_id AS other
+    FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r
+    WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) ELSE 0 END >= 0.93
+), reached AS (
+    SELECT a AS r, b AS at FROM links
+    UNION
+    SELECT reached.r, links.b FROM reached JOIN links ON reached.at = links.a
+), smallest AS (
+    SELECT reached.r, min(usable.vec_id) AS least FROM reached JOIN usable ON reached.at = usable.r GROUP BY reached.r
+), linked AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id,
+    coalesce(vec_id = least(vec_id, coalesce(least, vec_id)), TRUE) AS kept
+FROM vectors LEFT JOIN linked ON vectors.r = linked.a LEFT JOIN smallest ON vectors.r = smallest.r
+"""
+
+ORACLES = {"op2_warc": OP2, "op3_decontamination": OP3, "op9_embeddings": OP9, "op10_url_filters": OP10, "op11_conversation_repair": OP11, "op12_collocations": OP12, "op13_mixing": OP13}

@@ -1,7 +1,10 @@
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import embeddings
+from plumbline.llm.oracles import OP9
 from tests.llm import brute
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rep long, n long"
@@ -32,6 +35,21 @@ def test_against_all_pairs(spark, block_rows):
     check(spark, rows(), block_rows=block_rows)
 
 
+def test_sql_against_all_pairs():
+    """The SQL that the query has to equal, on vectors that link; the given tables have few links."""
+    data = rows()
+    duck = duckdb.connect()
+    ids, vectors, labels = zip(*data, strict=True)
+    duck.register("embeddings", pa.table({
+        "vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array(labels, pa.int32())
+    }))
+    got = {i: (n, c, k) for i, n, c, k in duck.execute(OP9).fetchall()}
+    links = brute.cosine_links(data, 0.93)
+    parts = brute.components(links, lambda a, b: b in links[a])
+    assert sum(map(len, links.values())) > 100
+    assert got == {i: (len(links[i]), parts[i], parts[i] == i) for i in links}
+
+
 def test_lower_threshold(spark):
     check(spark, rows(16, 80), threshold=0.5, block_rows=20)
 
