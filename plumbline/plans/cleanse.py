@@ -30,7 +30,7 @@ from plumbline.model import (
 )
 from plumbline.operators.cells import fit, nested_columns, retype
 from plumbline.operators.merges import POLICIES, effective_merges, merge_components
-from plumbline.skew import join_counted, with_row_counts
+from plumbline.skew import join_counted, shuffled, with_row_counts
 
 _PHASE = {
     Action.RETYPE_COLUMN.value: 1,
@@ -84,8 +84,8 @@ def execute_approved(
 
     typed, retyped, retype_cells = _retype(df, work)
     merging = work.where(F.col("action_type") == Action.MERGE_ROWS.value).select("issue_id")
-    misfits = _misfits(typed, canonical_values.join(merging, "issue_id", "left_semi"))
-    planned = work.where(F.col("action_type") != Action.RETYPE_COLUMN.value).join(misfits, "issue_id", "left")
+    misfits = _misfits(typed, canonical_values.join(shuffled(merging), "issue_id", "left_semi"))
+    planned = work.where(F.col("action_type") != Action.RETYPE_COLUMN.value).join(shuffled(misfits), "issue_id", "left")
     planned = planned.withColumns(
         {
             "error": F.coalesce(_plan_error(typed), F.col("misfit")),
@@ -103,7 +103,7 @@ def execute_approved(
         written=True,
     )
     ids = typed.select(F.col(ROW_ID).alias("row_id"))
-    roles = materialise(roles.join(ids, "row_id", "left_semi"), "roles")
+    roles = materialise(roles.join(shuffled(ids), "row_id", "left_semi"), "roles")
 
     merge_state, first_gone = _removals(good, roles, merge_policy)
     flat_values = canonical_values.where(~F.col("column").isin(nested_columns(typed)))
@@ -114,7 +114,7 @@ def execute_approved(
     results = materialise(results, "results")
     done = results.where("success").select("issue_id", F.lit(True).alias("_done"))
     written = (
-        issues.join(done, "issue_id", "left")
+        issues.join(shuffled(done), "issue_id", "left")
         .withColumns(
             {
                 "status": F.when(F.col("_done"), Status.EXECUTED.value).otherwise(F.col("status")),
@@ -128,7 +128,7 @@ def execute_approved(
     cells = _audit_cells(typed, events, first_gone)
     cells = cells.unionByName(retype_cells) if retype_cells is not None else cells
     entries = audit.select("entry_id", "issue_id")
-    cells = conform(cells.join(entries, "issue_id"), AUDIT_CELLS)
+    cells = conform(cells.join(shuffled(entries), "issue_id"), AUDIT_CELLS)
     return Cleansed(cleaned, written, results, totals, audit, cells)
 
 
@@ -249,18 +249,18 @@ def _removals(good: DataFrame, roles: DataFrame, policy: str):
         "target_column",
         "canonical_value",
         F.col("_rows").alias("n"),
-    ).join(keep, "issue_id")
+    ).join(shuffled(keep), "issue_id")
     retired = roles.where((F.col("role") == Role.RETIRE.value) & (F.col("action_type") == Action.MERGE_ROWS.value))
     ordered = materialise(runnable.select("issue_id", "at", "retain_id", "n"), "merge-order")
     phase = F.lit(_PHASE[Action.MERGE_ROWS.value]).alias("phase")
     if policy == "components":
         keepers, gone = merge_components(ordered, retired.select("issue_id", "row_id"))
-        state = runnable.drop("retain_id").join(keepers, "issue_id").withColumn("ok", F.lit(True))
+        state = runnable.drop("retain_id").join(shuffled(keepers), "issue_id").withColumn("ok", F.lit(True))
         state = materialise(state.withColumnRenamed("keeper", "retain_id"), "merges")
         effective = gone.select("row_id", "issue_id", phase, "at")
     else:
         state = effective_merges(ordered, retired.select("issue_id", "row_id"))
-        state = materialise(runnable.join(state, "issue_id"), "merges")
+        state = materialise(runnable.join(shuffled(state), "issue_id"), "merges")
         effective = join_counted(
             retired.select("row_id", "issue_id", "phase", "at"),
             state.where("ok").select("issue_id", "n"),
@@ -296,10 +296,10 @@ def _cell_events(good, roles, merge_state, canonical_values) -> DataFrame:
     direct = join_counted(targets, plans, "issue_id", "n", written=True).drop("n")
 
     winners = merge_state.where("ok").select("issue_id", "at", "retain_id", "target_column", "canonical_value")
-    records = canonical_values.join(winners.select("issue_id", "at", "retain_id"), "issue_id")
+    records = canonical_values.join(shuffled(winners.select("issue_id", "at", "retain_id")), "issue_id")
     scalars = (
         winners.where("target_column IS NOT NULL AND canonical_value IS NOT NULL")
-        .join(canonical_values.select("issue_id"), "issue_id", "left_anti")
+        .join(shuffled(canonical_values.select("issue_id")), "issue_id", "left_anti")
         .select(
             "issue_id",
             F.col("target_column").alias("column"),
@@ -343,8 +343,8 @@ def _apply(df: DataFrame, events: DataFrame, removed: DataFrame) -> DataFrame:
         # one entry per changed column of one row
         .agg(F.map_from_entries(F.collect_list(F.struct("column", "write"))).alias("_writes"))
     )
-    joined = df.join(last, ROW_ID, "left").join(
-        removed.select(F.col("row_id").alias(ROW_ID)), ROW_ID, "left_anti"
+    joined = df.join(shuffled(last), ROW_ID, "left").join(
+        shuffled(removed.select(F.col("row_id").alias(ROW_ID))), ROW_ID, "left_anti"
     )
     out = []
     for field in df.schema:
@@ -381,9 +381,9 @@ def _results(planned, retyped, roles, merge_state, removed, refused) -> DataFram
         )
     )
     ran = (
-        planned.join(targets, "issue_id", "left")
-        .join(gone, "issue_id", "left")
-        .join(merge_state.select("issue_id", "retain_id", "ok"), "issue_id", "left")
+        planned.join(shuffled(targets), "issue_id", "left")
+        .join(shuffled(gone), "issue_id", "left")
+        .join(shuffled(merge_state.select("issue_id", "retain_id", "ok")), "issue_id", "left")
         .select(
             "issue_id",
             "action_type",
@@ -425,7 +425,7 @@ def _results(planned, retyped, roles, merge_state, removed, refused) -> DataFram
 
 
 def _totals(issues: DataFrame, results: DataFrame) -> DataFrame:
-    marked = issues.select("issue_id").join(results.select("issue_id", "success"), "issue_id", "left")
+    marked = issues.select("issue_id").join(shuffled(results.select("issue_id", "success")), "issue_id", "left")
     counts = marked.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("success").alias("succeeded"),
@@ -442,7 +442,7 @@ def audit_id(*parts: Column) -> Column:
 
 def _audit(issues, results, actor, actor_role, now) -> DataFrame:
     notes = F.when(F.col("success"), F.coalesce("reviewer_note", F.lit(""))).otherwise(F.col("error"))
-    entries = results.drop("action_type").join(issues, "issue_id").select(
+    entries = results.drop("action_type").join(shuffled(issues), "issue_id").select(
         audit_id(F.lit("execute"), F.col("issue_id"), now.cast("string")).alias("entry_id"),
         now.alias("ts"),
         "dataset_id",
@@ -469,7 +469,7 @@ def _audit_cells(df: DataFrame, events: DataFrame, removed: DataFrame) -> DataFr
         return out
 
     base = df.withColumnRenamed(ROW_ID, "row_id")
-    touched = base.join(events, "row_id")
+    touched = base.join(shuffled(events), "row_id")
     writes = touched.select(
         "row_id",
         "column",
@@ -500,10 +500,10 @@ def _audit_cells(df: DataFrame, events: DataFrame, removed: DataFrame) -> DataFr
         for f in columns
     ]
     gone = (
-        base.join(removed.select("row_id", "issue_id"), "row_id")
+        base.join(shuffled(removed.select("row_id", "issue_id")), "row_id")
         .select("issue_id", "row_id", F.explode(F.array(*cells)).alias("cell"))
         .select("issue_id", "row_id", "cell.*")
-        .join(last, ["row_id", "column"], "left")
+        .join(shuffled(last), ["row_id", "column"], "left")
         .select(
             "issue_id",
             "column",
