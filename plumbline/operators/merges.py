@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.durable import materialise
 from plumbline.operators.components import connected_components
-from plumbline.skew import join_counted
+from plumbline.skew import join_counted, shuffled
 
 POLICIES = ("sequential", "components")
 
@@ -23,7 +23,7 @@ def _first_two(steps: DataFrame) -> DataFrame:
         F.min(F.when(F.col("rank") == 2, F.col("at"))).alias("second"),
     )
     goes = live.where("ok").groupBy(F.col("row_id").alias("retain_id")).agg(F.min("at").alias("goes"))
-    return two.join(goes, "retain_id", "left")
+    return two.join(shuffled(goes), "retain_id", "left")
 
 
 def _follow(state: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def _follow(state: DataFrame) -> DataFrame:
         ahead = pointers.select(
             F.col("issue_id").alias("before"), F.col("ok").alias("ok2"), F.col("before").alias("before2"), F.col("flip").alias("flip2")
         )
-        met = pointers.where("before IS NOT NULL").join(ahead, "before")
+        met = pointers.where("before IS NOT NULL").join(shuffled(ahead), "before")
         # What is settled or jumps further moves; what points at a merge that must wait stays.
         known = F.when(F.col("ok2").isNotNull(), F.col("ok2") != F.col("flip"))
         on = F.col("ok2").isNull() & F.col("before2").isNotNull()
@@ -74,11 +74,11 @@ def effective_merges(merges: DataFrame, retired: DataFrame) -> DataFrame:
     settles, so the loop ends.
     """
     open_rows = merges.select(F.col("retain_id").alias("row_id")).distinct()
-    contested = materialise(retired.join(open_rows, "row_id", "left_semi"), "contested")
+    contested = materialise(retired.join(shuffled(open_rows), "row_id", "left_semi"), "contested")
     state = materialise(merges.withColumn("ok", F.lit(None).cast("boolean")), "merge-state")
     while True:
         steps = join_counted(contested, state.select("issue_id", "n", "at", "ok"), "issue_id", "n", written=True)
-        seen = state.join(_first_two(steps), "retain_id", "left")
+        seen = state.join(shuffled(_first_two(steps)), "retain_id", "left")
         gone = F.col("goes").isNotNull() & (F.col("goes") < F.col("at"))
         stays = F.col("first").isNull() | (F.col("first") >= F.col("at"))
         settled = F.when(F.col("ok").isNotNull(), F.col("ok")).when(gone, False).when(stays, True)
@@ -89,7 +89,7 @@ def effective_merges(merges: DataFrame, retired: DataFrame) -> DataFrame:
         state = materialise(state, "merge-state")
         if state.where("ok IS NULL AND before IS NOT NULL").take(1):
             found = _follow(state).withColumnRenamed("ok", "found")
-            state = state.join(found, "issue_id").select("issue_id", "at", "retain_id", "n", F.coalesce("ok", "found").alias("ok"))
+            state = state.join(shuffled(found), "issue_id").select("issue_id", "at", "retain_id", "n", F.coalesce("ok", "found").alias("ok"))
             state = materialise(state, "merge-state")
         else:
             state = state.drop("before")
