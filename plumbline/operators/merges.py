@@ -111,13 +111,13 @@ def merge_components(merges: DataFrame, retired: DataFrame) -> tuple[DataFrame,
     labels = connected_components(named.select(F.col("keep").alias("a"), F.col("row_id").alias("b")))
     labels = materialise(labels, "components")
     # A merge without rows to retire, or with its own row only, is a component of its own.
-    own = merges.join(labels, F.col("retain_id") == F.col("node"), "left").select(
+    own = merges.join(shuffled(labels), F.col("retain_id") == F.col("node"), "left").select(
         "issue_id", "at", "retain_id", F.coalesce("component", "retain_id").alias("component")
     )
     own = materialise(own, "owned")
     keepers = own.groupBy("component").agg(F.min_by("retain_id", "at").alias("keeper"))
     # The skew join of the adaptive planner splits a component with many merges.
-    kept = materialise(own.join(keepers, "component").select("issue_id", "at", "retain_id", "keeper"), "kept")
+    kept = materialise(own.join(shuffled(keepers), "component").select("issue_id", "at", "retain_id", "keeper"), "kept")
     gone = named.select("issue_id", "row_id").unionByName(kept.select("issue_id", F.col("retain_id").alias("row_id")))
-    gone = gone.join(kept.select("issue_id", "at", "keeper"), "issue_id").where("row_id <> keeper").select("issue_id", "row_id", "at")
+    gone = gone.join(shuffled(kept.select("issue_id", "at", "keeper")), "issue_id").where("row_id <> keeper").select("issue_id", "row_id", "at")
     return kept.select("issue_id", "keeper"), gone
