@@ -17,6 +17,7 @@ from plumbline.functions import longtexts
 
 _BUCKETS = 128
 _GRAM_BUCKETS = 256
+_UNARY_COLUMNS = 512
 _NEEDLE_PAD = np.uint32(0xFFFFFFFF)
 _HAY_PAD = np.uint32(0xFFFFFFFE)
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -41,6 +42,55 @@ class Texts:
     def __len__(self) -> int:
         return len(self.texts)
 
+    @cached_property
+    def unary(self) -> np.ndarray | None:
+        """The histogram with a column per character and count, so that products of rows count
+        common characters; None where that takes too many columns."""
+        most = self.histogram.max(axis=0, initial=0)
+        if most.sum() > _UNARY_COLUMNS:
+            return None
+        columns = [self.histogram[:, k] >= j for k in np.flatnonzero(most) for j in range(1, most[k] + 1)]
+        return np.array(columns, dtype=np.float32).reshape(len(columns), len(self)).T.copy()
+
+    @cached_property
+    def distinct(self) -> np.ndarray:
+        """Texts of up to 64 characters whose hashed characters differ wherever the characters do."""
+        return (self.length <= 64) & np.array([t.isascii() and "\x7f" not in t for t in self.texts], dtype=bool)
+
+    @cached_property
+    def kinds(self) -> np.ndarray:
+        """Hashed characters of texts of up to 64, a row per place, 0 past the end."""
+        return self._kinds(False)
+
+    @cached_property
+    def kinds_back(self) -> np.ndarray:
+        """``kinds`` of the texts read backwards."""
+        return self._kinds(True)
+
+    def _kinds(self, reverse: bool) -> np.ndarray:
+        held = np.where(self.length <= 64, self.texts, "")
+        codes = _codes(held, _NEEDLE_PAD, reverse).T
+        return np.where(codes == _NEEDLE_PAD, 0, codes % (_BUCKETS - 1) + 1).astype(np.int64)
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        """For every hashed character, where each text of up to 64 characters has it, as bits."""
+        return _places(self.kinds)
+
+    @cached_property
+    def places_back(self) -> np.ndarray:
+        """``places`` of the texts read backwards."""
+        return _places(self.kinds_back)
+
+    @cached_property
+    def holders(self) -> dict[str, np.ndarray]:
+        """Which texts have a token, for tokens of two texts or more."""
+        found: dict[str, list[int]] = {}
+        for row, tokens in enumerate(self.tokens):
+            for t in tokens:
+                found.setdefault(t, []).append(row)
+        return {t: np.array(rows) for t, rows in found.items() if len(rows) > 1}
+
     @cached_property
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Counts of adjacent character pairs, hashed, of the texts and of the joined tokens."""
@@ -56,6 +106,15 @@ class Texts:
         return out
 
 
+def _places(kinds: np.ndarray) -> np.ndarray:
+    width = np.uint32 if len(kinds) <= 32 else np.uint64
+    out = np.zeros((_BUCKETS, kinds.shape[1]), dtype=width)
+    for i, row in enumerate(kinds):
+        has = np.flatnonzero(row)
+        out[row[has], has] |= width(1 << i)
+    return out
+
+
 def _gram_counts(texts) -> np.ndarray:
     out = np.zeros((len(texts), _GRAM_BUCKETS), dtype=np.float32)
     for row, text in enumerate(texts):
@@ -109,6 +168,137 @@ def upper_bound(common: np.ndarray, least: np.ndarray) -> np.ndarray:
         return np.where(least > 0, 200.0 * c / (least + c), 100.0)
 
 
+class Bounds:
+    """Bounds on the scores of a few texts ``left`` of a batch with many others, ``right``.
+
+    Of the tokens of two texts, those they share have ``s`` characters and are no more than c of
+    all that are common, so a token set scores 200 * c / (a + b) at most, or 200 * s / (s + a) by
+    the shared tokens alone, a and b being the lengths of the joined tokens. A window holds no
+    longer common subsequence than its whole text. In single precision, so leave a little room.
+    """
+
+    def __init__(self, texts: Texts, left: np.ndarray, right: np.ndarray):
+        self.texts, self.left, self.right = texts, left, right
+        if texts.unary is None:
+            self.common = common_grid(texts.histogram[left], texts.histogram[right]).astype(np.float32)
+        else:
+            self.common = texts.unary[left] @ texts.unary[right].T
+        self.column = np.full(len(texts), -1)
+        self.column[right] = np.arange(len(right))
+        self.length, self.joined = (x[right].astype(np.float32) for x in (texts.length, texts.joined_length))
+        self.empty = np.flatnonzero((self.length == 0) | (self.joined == 0))
+        self.shares: dict[int, np.ndarray] = {}
+        self.columns: dict[str, np.ndarray] = {}
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        return self.texts.places.take(self.right, axis=1)
+
+    def token_sets(self, k: int) -> np.ndarray:
+        """Bound on the token set scores of text ``left[k]``."""
+        texts, own = self.texts, int(self.texts.joined_length[self.left[k]])
+        if own not in self.shares:
+            self.shares[own] = np.float32(200) / np.maximum(self.joined + own, 1)
+        out = self.shares[own] * self.common[k]
+        held = [t for t in texts.tokens[self.left[k]] if t in texts.holders]
+        if held:
+            s = np.full(len(self.right), -1, np.float32)
+            for t in held:
+                if t not in self.columns:
+                    at = self.column[texts.holders[t]]
+                    self.columns[t] = at[at >= 0]
+                s[self.columns[t]] += len(t) + 1
+            on = self.columns[held[0]] if len(held) == 1 else np.flatnonzero(s > 0)
+            s = s[on]
+            out[on] = np.maximum(out[on], 200 * s / np.maximum(s + np.minimum(self.joined[on], own), 1))
+        out[slice(None) if not own else self.empty] = 100
+        return out
+
+    def characters(self, k: int) -> np.ndarray:
+        """Bound on the window scores of text ``left[k]`` without a look at the order of characters."""
+        own = int(self.texts.length[self.left[k]])
+        least = np.minimum(self.length, own)
+        common = np.minimum(least, self.common[k])
+        least += common
+        out = np.divide(common, np.maximum(least, 1, out=least), out=common)
+        out *= 200
+        out[slice(None) if not own else self.empty] = 100
+        return out
+
+    def windows(self, k: int, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds on the scores of text ``left[k]`` with windows of texts ``right[on]``: of all, and
+        of those as long as the shorter text."""
+        text = self.texts.texts[self.left[k]]
+        common = self.common[k][on]
+        if len(text) <= 64:
+            places, few = self.places, len(on) < len(self.right) // 3
+            state = np.full(len(on) if few else len(self.right), ~places.dtype.type(0), dtype=places.dtype)
+            for code in self.texts.kinds[: len(text), self.left[k]]:
+                state = _advance_one(state, places[code].take(on, mode="clip") if few else places[code])
+            found = np.bitwise_count(~(state if few else state[on]))
+            common = np.where(self.length[on] <= 64, np.minimum(common, found), common)
+        least = np.minimum(self.length[on], len(text))
+        return upper_bound(common, least), 100.0 * np.minimum(common, least) / np.maximum(least, 1)
+
+
+def end_bound(texts: Texts, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Bound on the scores of the shorter text of each pair with shorter prefixes and suffixes of the
+    longer one; 100 where a text has more than 64 characters."""
+    out = np.full(len(ia), 100.0)
+    fits = np.flatnonzero((texts.length[ia] <= 64) & (texts.length[ib] <= 64))
+    for start in range(0, len(fits), 8192):
+        rows = fits[start : start + 8192]
+        out[rows] = _ends(texts, ia[rows], ib[rows])
+    return out
+
+
+def _ends(texts: Texts, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    p, q = texts.length[ia], texts.length[ib]
+    best = np.zeros(len(ia))
+    for places, kinds in ((texts.places, texts.kinds), (texts.places_back, texts.kinds_back)):
+        state = np.full(len(ia), ~places.dtype.type(0), dtype=places.dtype)
+        kind, flat = kinds[:, ia], places.ravel()
+        for t in range(1, int(p.max()) + 1):
+            state = _advance_one(state, flat.take(kind[t - 1] * len(texts) + ib))
+            found = 200.0 * np.bitwise_count(~state) / (q + t)
+            np.maximum(best, found, out=best, where=(t < q) & (q <= p))
+        left = ~state
+        for t in range(1, int(np.minimum(p, q).max())):
+            found = 200.0 * np.bitwise_count(left & places.dtype.type((1 << t) - 1)) / (p + t)
+            np.maximum(best, found, out=best, where=(t < p) & (p <= q))
+    return best
+
+
+def near_pairs(texts: Texts, left: np.ndarray, right: np.ndarray, need: float, names: bool):
+    """(ia, ib, windows, sure) of the pairs of a grid whose score may reach ``need``.
+
+    For names ``windows`` tells whether their windows may reach it, and ``sure`` whether they do:
+    the one window of two texts of one length is the whole text.
+    """
+    bounds, room = Bounds(texts, left, right), 1e-3
+    out, row, col, inner = np.zeros((len(left), len(right)), dtype=np.uint8), [], [], []
+    for k in range(len(left)):
+        sets = bounds.token_sets(k)
+        out[k] = sets >= need - room
+        if names:
+            on = np.flatnonzero(bounds.characters(k) >= need - room)
+            windows, whole = bounds.windows(k, on)
+            at = np.flatnonzero(windows >= need - room)
+            row.append(np.full(len(at), k))
+            col.append(on[at])
+            inner.append(whole[at])
+    if row:
+        x, y, z = (np.concatenate(parts) for parts in (row, col, inner))
+        a, b = left[x], right[y]
+        sure = (z >= need + room) & (texts.length[a] == texts.length[b]) & texts.distinct[a] & texts.distinct[b]
+        out[x[sure], y[sure]] = 3
+        x, y, z = x[~sure], y[~sure], z[~sure]
+        may = np.maximum(z, end_bound(texts, left[x], right[y])) >= need - room
+        out[x[may], y[may]] = 2
+    x, y = np.nonzero(out)
+    return left[x], right[y], out[x, y] > 1, out[x, y] > 2
+
+
 def gram_bound(texts: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A second bound on the score of every pair of a grid, from adjacent characters.
 
@@ -180,6 +370,12 @@ def _advance(state: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return total | (state & ~mask)
 
 
+def _advance_one(state: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The same for texts of one word."""
+    hit = state & mask
+    return (state + hit) | (state - hit)
+
+
 def _zeros(state: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~state).sum(axis=0, dtype=np.int64)
 
@@ -313,7 +509,7 @@ def _window_ratios(needle, hay, size: int) -> np.ndarray:
 def name_score(
     a: Texts, ia: np.ndarray, b: Texts, ib: np.ndarray, bound: np.ndarray
 ) -> np.ndarray:
-    """max(token_set_ratio, partial_ratio); windows only where they can still win."""
+    """max(token_set_ratio, partial_ratio); windows only where their ``bound`` can still win."""
     score = token_set_ratio(a, ia, b, ib)
     rows = np.flatnonzero(bound > score)
     score[rows] = np.maximum(score[rows], partial_ratio(a.texts[ia[rows]], b.texts[ib[rows]]))

@@ -124,19 +124,57 @@ class Batch:
         return weight, exact
 
     def near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Grid of pairs whose score could still reach the threshold."""
-        row, col = (lambda x: x[left][:, None]), (lambda x: x[right][None, :])
-        weight, best = self._known(row, col)
-        for s, t in self.texts.items():
-            common = similarity.common_grid(t.histogram[left], t.histogram[right])
-            bound = similarity.upper_bound(common, np.minimum(row(t.least), col(t.least)))
-            best = best + self.weights[s] * (row(self.present[s]) & col(self.present[s])) * bound / 100
-        return (weight > 0) & (best >= (REACH - 1e-9) * weight)
-
-    def score(self, ia: np.ndarray, ib: np.ndarray):
+        """Grid of pairs whose score could still reach the threshold: 2 where windows of names
+        could take it there, 1 where only the rest could."""
+        out = np.zeros((len(left), len(right)), dtype=np.uint8)
+        bounds = {s: similarity.Bounds(t, left, right) for s, t in self.texts.items()}
+        has = {s: self.present[s][right] for s in self.weights}
+        codes = {s: self.codes[s][right].astype(np.int32) for s in self.weights if s in EXACT}
+        plain: dict[tuple, tuple] = {}
+        held: list[tuple] = []
+        for k, i in enumerate(left):
+            own = tuple(s for s in self.weights if self.present[s][i])
+            if own not in plain:
+                # What fuzzy scores have to add up to, with room for single precision; nothing
+                # reaches it where no signal is on both sides.
+                weight = sum((self.weights[s] * has[s] for s in own), np.zeros(len(right)))
+                need = np.where(weight > 0, (REACH - 1e-5) * weight, np.inf).astype(np.float32)
+                share = {s: (self.weights[s] * has[s] / 100).astype(np.float32) for s in own if s not in EXACT}
+                plain[own] = need, share
+            need, share = plain[own]
+            need = need.copy()
+            for s in own:
+                if s in EXACT:
+                    need -= np.float32(self.weights[s]) * (codes[s] == self.codes[s][i])
+                elif s != "name":
+                    need -= share[s] * bounds[s].token_sets(k)
+            if "name" not in share:
+                out[k] = need <= 0
+                continue
+            point, sets = share["name"], bounds["name"].token_sets(k)
+            names = bounds["name"].characters(k)
+            np.maximum(names, sets, out=names)
+            names *= point
+            on = np.flatnonzero(names >= need)
+            if len(on):
+                need, point = need[on], point[on]
+                windows, inner = bounds["name"].windows(k, on)
+                out[k, on[point * sets[on] >= need]] = 1
+                at = np.flatnonzero(point * windows >= need)
+                held.append((np.full(len(at), k), on[at], need[at], point[at], inner[at]))
+        if held:
+            # Windows at the ends of texts, for all rows of the grid at once.
+            row, col, need, point, inner = (np.concatenate(x) for x in zip(*held, strict=True))
+            ends = similarity.end_bound(self.texts["name"], left[row], right[col])
+            good = point * np.maximum(inner, ends) >= need
+            out[row[good], col[good]] = 2
+        return out
+
+    def score(self, ia: np.ndarray, ib: np.ndarray, windows: np.ndarray | None = None):
         """Composite scores (rounded to 4 places) and the raw fuzzy scores of given pairs.
 
-        A fuzzy score is worked out only where the composite can still reach the threshold.
+        A fuzzy score is worked out only where the composite can still reach the threshold, and
+        windows of names only where ``windows`` says that these can take it there.
         """
         weight, total = self._known(lambda x: x[ia], lambda x: x[ib])
         bounds, raw = {}, {}
@@ -152,7 +190,8 @@ class Batch:
             rows = np.flatnonzero(open_)
             raw[s] = np.zeros(len(ia))
             if s == "name":
-                raw[s][rows] = similarity.name_score(t, ia[rows], t, ib[rows], bounds[s][rows])
+                bound = bounds[s] if windows is None else np.where(windows, bounds[s], 0.0)
+                raw[s][rows] = similarity.name_score(t, ia[rows], t, ib[rows], bound[rows])
             else:
                 raw[s][rows] = similarity.token_set_ratio(t, ia[rows], t, ib[rows])
             total = total + w * raw[s] / 100
@@ -175,17 +214,19 @@ def _stars(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _tile_pairs(tile: pd.DataFrame, batch: Batch, key: str | None):
-    """Candidate index pairs of one tile; grid tiles arrive already bounded."""
+    """Candidate index pairs of one tile, with what ``Batch.score`` wants to know of their windows;
+    grid tiles arrive already bounded."""
     sides = tile["_side"].to_numpy()
     if tile["_tile"].iat[0].split("/", 1)[0] in ("bucket", "key"):
-        yield from equal_key_pairs(sides, pd.factorize(tile[key])[0])
+        for ia, ib in equal_key_pairs(sides, pd.factorize(tile[key])[0]):
+            yield ia, ib, None
         return
     for left, right, triangular in grid_pairs(sides):
         keep = batch.near(left, right)
         if triangular:
-            keep &= left[:, None] < right[None, :]
+            keep *= left[:, None] < right[None, :]
         rows, cols = np.nonzero(keep)
-        yield left[rows], right[cols]
+        yield left[rows], right[cols], keep[rows, cols] > 1
 
 
 def _link_tile(config: SignalConfig, key: str | None):
@@ -196,8 +237,8 @@ def _link_tile(config: SignalConfig, key: str | None):
         rep, copies = tile["rep"].to_numpy(), tile["n"].to_numpy().astype(float)
         ends_a, ends_b, links, scored = [], [], 0.0, 0
         best = np.zeros(len(tile))
-        for ia, ib in _tile_pairs(tile, batch, key):
-            composite, _ = batch.score(ia, ib)
+        for ia, ib, windows in _tile_pairs(tile, batch, key):
+            composite, _ = batch.score(ia, ib, windows)
             good = composite >= CLUSTER_LOW
             np.maximum.at(best, ia[good], composite[good])
             np.maximum.at(best, ib[good], composite[good])
@@ -263,8 +304,8 @@ def _pair_tile(config: SignalConfig, key: str | None):
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         batch, rep, n = Batch(tile, config), tile["rep"].to_numpy(), tile["n"].to_numpy()
         out = [pd.DataFrame({c: [] for c in ("a", "b", "n_a", "n_b", "composite")})]
-        for ia, ib in _tile_pairs(tile, batch, key):
-            composite, _ = batch.score(ia, ib)
+        for ia, ib, windows in _tile_pairs(tile, batch, key):
+            composite, _ = batch.score(ia, ib, windows)
             good = np.flatnonzero(composite >= CLUSTER_LOW)
             x, y = ia[good], ib[good]
             first = rep[x] < rep[y]
