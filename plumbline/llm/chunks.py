@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,5 +61,34 @@ def chunked(
     return spark.table(name), buckets
 
 
+def packed_chunks(documents: DataFrame, pack_rows: Callable[[pd.DataFrame], bytes], chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, int]:
+    """(table of chunk, data; number of buckets for the texts' size), written once.
+
+    ``data`` is what ``pack_rows`` makes of doc_id and text of a chunk's rows, with nulls as in ``chunked``.
+    """
+    spark = documents.sparkSession
+    texts = documents.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+    )
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, size // BUCKET_BYTES)
+
+    def chunks(batches):
+        chunk, held = TaskContext.get().partitionId() << 32, pd.DataFrame()
+        for rows in batches:
+            held = pd.concat([held, rows], ignore_index=True) if len(held) else rows
+            while len(held) >= chunk_rows:
+                yield pd.DataFrame({"chunk": [chunk], "data": [pack_rows(held[:chunk_rows])]})
+                chunk, held = chunk + 1, held[chunk_rows:]
+        if len(held):
+            yield pd.DataFrame({"chunk": [chunk], "data": [pack_rows(held)]})
+
+    name = f"chunks_{uuid.uuid4().hex}"
+    table = texts.mapInPandas(chunks, "chunk long, data binary").write.bucketBy(buckets, "chunk")
+    table.option("compression", "none").saveAsTable(name)  # packed already
+    return spark.table(name), buckets
+
+
 def with_null_ids(found: DataFrame) -> DataFrame:
     return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))

@@ -35,6 +35,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_alone(df: DataFrame, name: str, buckets: int = 0, by: str = "") -> DataFrame:
+    """``written``, after which Spark drops the shuffle files of the job at once, not when the driver collects garbage.
+
+    With ``buckets``, it is a table of the session's catalog instead, bucketed by the column ``by``.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        if not buckets:
+            return written(df, name)
+        table = f"{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, by).option("compression", "zstd").saveAsTable(table)
+        return df.sparkSession.table(table)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def numbered(documents: DataFrame, row: str) -> DataFrame:
     """``documents`` with a unique number in the column ``row``, written once, which fixes it."""
     return written(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")

@@ -6,6 +6,7 @@ import pytest
 
 from plumbline.llm import suffix_tree
 from plumbline.llm.chunks import pack
+from plumbline.llm.common import written_alone
 from plumbline.llm.hashing import END, tokens
 from tests.llm import brute
 
@@ -106,3 +107,54 @@ def test_buckets_do_not_change_scores(spark, monkeypatch):
     cut = order(map(tuple, scored(spark, rows())))
     assert [r[:5] for r in cut] == [r[:5] for r in whole]
     assert [r[6] for r in cut] == pytest.approx([r[6] for r in whole])
+
+
+def one_process(data):
+    """Score of every (doc_id, text) by the tree of one chunk and bucket."""
+    texts = [(t or "").encode() for _, t in data]
+    rows = pd.DataFrame({"row": range(len(data)), "doc_id": [d for d, _ in data], "text": texts, "chunk": 0})
+    hashes, owner = tokens(texts)
+    trained = np.array([not suffix_tree.is_held_out(d) for d, _ in data])[owner]
+    words, at = np.unique(hashes, return_inverse=True)
+    counts = np.bincount(at, weights=trained).astype("u4")
+    answers = pd.DataFrame({"bucket": [0], "data": [pack(counts)]})
+    often = suffix_tree._count_pairs(2)((0,), suffix_tree._ask_pairs(1, 2)((0,), rows, answers))
+    asked = suffix_tree._ask_contexts(1, 2)((0,), rows, pd.concat([answers, often]))
+    found = suffix_tree._count_contexts(2)((0,), asked)
+    levels = [(int(k), d) for k, d in zip(found["k"], found["data"], strict=True)]
+    tree = suffix_tree.build_tree(levels, int(counts.sum()), int((counts > 0).sum()), 2)
+    logs = np.log10(tree.probabilities(hashes, owner, counts[at]))
+    return dict(zip((d for d, _ in data), np.bincount(owner, weights=logs).tolist(), strict=True)), asked
+
+
+def test_chunks_and_buckets_score_as_one_process(spark, monkeypatch):
+    """A context takes its share wherever it occurs, also in chunks that hold nothing of what follows it elsewhere."""
+    data = [(d, t) for d, t in rows()[:300] if t] + [(500 + d, f"the w{d}x the quick end{d}") for d in range(9)]
+    want, _ = one_process(data)
+    monkeypatch.setattr("plumbline.llm.chunks.BUCKET_BYTES", 1500)
+    frame = spark.createDataFrame([(d, t, 0.0, 1) for d, t in data], SCHEMA).repartition(40, "doc_id")
+    got = {r.doc_id: r.score for r in suffix_tree.score(frame).collect()}
+    assert got == {d: pytest.approx(x) for d, x in want.items()}
+
+
+def test_contexts_are_asked_in_few_bytes():
+    """Words are named by reference or number; neither shorter contexts nor next words go as hashes with every entry."""
+    rng = random.Random(5)
+    weights = [1 / (i + 1) for i in range(2000)]
+    data = [(d, " ".join(f"w{i}" for i in rng.choices(range(2000), weights, k=300))) for d in range(300)]
+    texts = [t.encode() for _, t in data]
+    chunk = pd.DataFrame({"row": range(300), "doc_id": range(300), "text": texts, "chunk": 0})
+    counted = suffix_tree._count_words(1, 2)((0,), suffix_tree._ask_words(1)(chunk))
+    answers = counted[counted["chunk"] >= 0][["bucket", "chunk", "data"]]
+    often = suffix_tree._count_pairs(2)((0,), suffix_tree._ask_pairs(1, 2)((0,), chunk, answers))
+    asked = suffix_tree._ask_contexts(1, 2)((0,), chunk, pd.concat([answers, often]))
+    assert sum(map(len, often["data"])) < 0.1 * len(tokens(texts)[0])
+    assert sum(map(len, asked["data"])) < 3 * len(tokens(texts)[0])
+
+
+def test_setting_of_shuffles_stays(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    frame = spark.createDataFrame([(1, "a")], "bucket long, data string")
+    assert written_alone(frame.repartition(2), "x").collect() == written_alone(frame, "x", 2, "bucket").collect()
+    assert spark.conf.get(key, None) == before
