@@ -64,9 +64,10 @@ def _planes(values: np.ndarray) -> np.ndarray:
 
 
 def _from_planes(planes: np.ndarray) -> np.ndarray:
-    whole = np.zeros((planes.shape[1], 8), "u1")
+    width = 4 if len(planes) <= 4 else 8
+    whole = np.zeros((planes.shape[1], width), "u1")
     whole[:, : len(planes)] = planes.T
-    return whole.view("<u8")[:, 0]
+    return whole.view(f"<u{width}")[:, 0]
 
 
 def _pack(*numbers: np.ndarray) -> bytes:
@@ -95,8 +96,8 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct codes in order, place of each code among them)."""
     ordered, order = _sorted(codes)
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(codes)]
-    at = np.empty(len(codes), "i8")
-    at[order] = np.cumsum(new) - 1
+    at = np.empty(len(codes), "u4")
+    at[order] = np.cumsum(new, dtype="u4") - np.uint32(1)
     return ordered[new], at
 
 
@@ -130,9 +131,9 @@ def _chunk_tokens(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
     else:
         doc_ids, lengths, words, at = _unpack(rows["data"].iloc[0])
         words, order = _sorted(np.cumsum(words, dtype="u8"))
-        rank = np.empty(len(words), "i8")
+        rank = np.empty(len(words), "u4")
         rank[order] = np.arange(len(words))
-        doc_ids, owner, at = doc_ids.view("i8"), np.repeat(np.arange(len(lengths)), lengths.astype("i8")), rank[at]
+        doc_ids, owner, at = doc_ids.astype("u8").view("i8"), np.repeat(np.arange(len(lengths), dtype="u4"), lengths.astype("i8")), rank[at]
     return doc_ids, words, at, owner, ~np.array([is_held_out(d) for d in doc_ids.tolist()], bool)
 
 
@@ -204,13 +205,13 @@ class _Pairs:
     words: np.ndarray  # hash, name and corpus count by word
     names: np.ndarray
     totals: np.ndarray
-    place: np.ndarray  # second tokens of pairs
-    of: np.ndarray  # the pair at each of these places
+    place: np.ndarray | None  # second tokens of pairs
+    of: np.ndarray | None  # the pair at each of these places
     first: np.ndarray  # words of the pairs, which are sorted by them
     second: np.ndarray
     number: np.ndarray  # of times that training texts of the chunk hold the pair
-    hash: np.ndarray  # in the order of asking
-    order: np.ndarray
+    hash: np.ndarray | None  # in the order of asking
+    order: np.ndarray | None
 
 
 def _pairs(rows: pd.DataFrame, told: pd.DataFrame, buckets: int, least: int) -> _Pairs:
@@ -226,8 +227,8 @@ def _pairs(rows: pd.DataFrame, told: pd.DataFrame, buckets: int, least: int) ->
             names[own] = answer[1]
     names[totals < least] = 0  # never used
     names, order = _sorted(names)
-    rank = np.empty(len(words), "u8")
-    rank[order] = np.arange(len(words), dtype="u8")
+    rank = np.empty(len(words), "u4")
+    rank[order] = np.arange(len(words), dtype="u4")
     word, words, totals = rank[at], words[order], totals[order]
     counts = totals[word]
     often = counts >= least
@@ -305,7 +306,7 @@ def _entries(at: np.ndarray, place: np.ndarray, listed: np.ndarray, word: np.nda
     """(context, word, number) of what follows contexts, and the entry at every place."""
     bits = _bits(word.max(initial=0))
     codes, of = _distinct((at[listed] << bits) | word[place[listed]])
-    entry = np.full(len(place), -1)
+    entry = np.full(len(place), -1, "i4")
     entry[listed] = of
     return *_halves(codes, bits), np.bincount(of, weights=trained[place[listed]], minlength=len(codes)).astype("u8"), entry
 
@@ -328,8 +329,9 @@ def _own_contexts(rows: pd.DataFrame, told: pd.DataFrame, buckets: int, least: i
     linked[pairs.order] = np.concatenate([np.zeros(0, "u1"), *masks]).astype(bool)
     first, second, number = pairs.first[linked], pairs.second[linked], pairs.number[linked]
     # The linked pair that ends at a token, or -1.
-    pair_at = np.full(len(pairs.word), -1)
+    pair_at = np.full(len(pairs.word), -1, "i4")
     pair_at[pairs.place] = np.where(linked, np.cumsum(linked) - 1, -1)[pairs.of]
+    pairs.place = pairs.of = pairs.hash = pairs.order = None
     trained, follows = pairs.training[pairs.owner], _follows(pairs.owner)
 
     # A context that other chunks know what follows takes its share here, whatever follows it.
@@ -337,10 +339,10 @@ def _own_contexts(rows: pd.DataFrame, told: pd.DataFrame, buckets: int, least: i
     order, starts = _by_bucket(_bucket(mixed(pairs.names[words]), buckets), buckets)
     rank = np.empty(len(words), "u8")
     rank[order] = np.arange(len(words), dtype="u8")
-    state_of = np.full(len(pairs.words), -1)
+    state_of = np.full(len(pairs.words), -1, "i4")
     state_of[words] = rank
     entry_order = np.argsort(state_of[first], kind="stable")
-    entry_rank = np.empty(len(first) + 1, "i8")
+    entry_rank = np.empty(len(first) + 1, "i4")
     entry_rank[entry_order], entry_rank[-1] = np.arange(len(first)), -1
     of = state_of[first[entry_order]].astype("u8")
     place = np.flatnonzero(follows)
@@ -352,7 +354,7 @@ def _own_contexts(rows: pd.DataFrame, told: pd.DataFrame, buckets: int, least: i
     states = np.flatnonzero(pairs.words[second] != END)
     order, starts = _by_bucket(_bucket(_pair_hash(pairs.names[first[states]], pairs.names[second[states]]), buckets), buckets)
     states = states[order]
-    rank = np.zeros(len(first), "u8")
+    rank = np.zeros(len(first), "u4")
     rank[states] = np.arange(len(states), dtype="u8")
     place = np.flatnonzero(follows & np.concatenate([[False], pair_at[:-1] >= 0])[: len(follows)])
     at, listed = rank[pair_at[place - 1]], pair_at[place] >= 0
@@ -366,7 +368,7 @@ def _own_contexts(rows: pd.DataFrame, told: pd.DataFrame, buckets: int, least: i
     upper, last = _halves(codes, bits)
     total = np.bincount(at, weights=trained[place], minlength=len(codes)).astype("u8")
     starts = np.searchsorted(upper, starts)
-    of, following, often, entry = _entries(at.astype("u8"), place, listed, pairs.word, trained)
+    of, following, often, entry = _entries(at, place, listed, pairs.word, trained)
     levels.append(_Level(upper, last, total, of, following, often, place, at, entry, starts, np.searchsorted(of, starts)))
     return pairs, levels
 
@@ -459,7 +461,10 @@ def _count_contexts(least: int):
             for i, j in enumerate((0, 3, 6, 9, 11, 15, 17)):
                 taken[i].append(numbers[low : low + len(p[j])])
                 low += len(p[j])
+        bits = _bits(numbers.max(initial=0))
+        low_bits = (np.uint64(1) << bits) - np.uint64(1)
         word, next1, first, next2, second, next3, third = map(_joined, taken)
+        del names, numbers, taken
 
         def together(i: int, sizes: int) -> np.ndarray:
             """References of all chunks to what they list, the lists being one after another."""
@@ -469,8 +474,6 @@ def _count_contexts(least: int):
         def all_of(i: int) -> np.ndarray:
             return _joined([p[i] for p in parts])
 
-        bits = _bits(numbers.max(initial=0))
-        low_bits = (np.uint64(1) << bits) - np.uint64(1)
         # One word.
         known, states_at, one = _summed(word)
         codes, entries_at, listed, number = _summed((states_at.astype("u8")[together(2, 0)] << bits) | next1, all_of(4))
@@ -724,7 +727,8 @@ def _score(buckets: int, least: int, n: int, v: int):
         answers = [_unpack(d) for d in answers["data"]]
         base = (pairs.counts + 1.0) / (n + v + 1)
         p = base.copy()
-        for k, level in enumerate(levels):
+        for k in range(DEPTH):
+            level = levels.pop(0)
             i, j = (0, 4) if k == 0 else (8 * k - 1, 8 * k + 4)
             told = [_whole(*a[i:j]) + _whole(*a[j : j + 3]) for a in answers]
             rest, entries, *more, number = (np.concatenate([np.zeros(0), *x]) for x in (zip(*told, strict=True) if told else [[]] * (3 + (k > 0))))
